@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding
+from . import mixing, sharding, simhash
 from .shared import documents, word_count, written
 
 
@@ -16,6 +16,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(docs, 24, carry_text=False).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir), shingle=4, words=1, blocks=5, word_distance=4, distance=4)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = documents(spark, sf_dir).select("doc_id", "source", word_count(F.col("text")).alias("size"))
     return mixing.mix(written(sized, "mix-sizes")).select("doc_id", "size", "source_size", "target", "taken")
@@ -54,7 +58,7 @@ FROM cut
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op10_mixing)}
+    return {f.__name__: f for f in (op1_sharding, op9_simhash, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
