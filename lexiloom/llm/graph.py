@@ -14,7 +14,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Each round is two aggregates and joins over the edges; its result is a table in the shared folder, so a lost executor
     costs at most one step. Edges never come to the driver, only their number and a checksum.
     """
-    pairs = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    pairs = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     last = None
     for _ in range(most_rounds):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
