@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, licences, mixing, mtree, quality, sharding, simhash
+from . import decontamination, licences, mixing, mtree, quality, sharding, simhash, urls
 from .shared import documents, word_count, written
 
 
@@ -46,6 +46,15 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 """
 
 
+#: The rules that op8 is given: longest first wins.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return urls.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), shingle=4, words=1, blocks=5, word_distance=4, distance=4)
 
@@ -88,7 +97,7 @@ FROM cut
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_licences, op3_decontamination, op4_quality, op7_topk, op9_simhash, op10_mixing)}
+    return {f.__name__: f for f in (op1_sharding, op2_licences, op3_decontamination, op4_quality, op7_topk, op8_urls, op9_simhash, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
