@@ -18,7 +18,6 @@ Repeats come back to their documents as runs of passage starts, the union of the
 
 from __future__ import annotations
 
-import gc
 import hashlib
 
 import numpy as np
@@ -27,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import bounded_join, written
+from .shared import bounded_join, numbered, release, written
 
 LENGTH = 100
 TRIGGER = 32
@@ -292,26 +291,6 @@ def cut(text: str | None, runs) -> tuple[int, int, int, str, bytes]:
     return len(data), removed, spans, hashlib.sha256(rest).hexdigest(), rest
 
 
-def release(df: DataFrame) -> None:
-    """Let Spark's cleaner drop the shuffle files of steps that are done."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
-def numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
-    """``docs`` (doc_id, text) plus rid, which orders documents; and whether rows may share one.
-
-    Usually rid is the doc_id. If doc_ids are null or repeat, rows are numbered by doc_id (null last), then by text hash.
-    """
-    known = docs.agg(F.count("*").alias("n"), F.count("doc_id").alias("ids")).first()
-    if known["n"] == known["ids"] == docs.select("doc_id").distinct().count():
-        return docs.withColumn("rid", F.col("doc_id").cast("long")), False
-    keyed = docs.withColumn("_hash", F.sha2(F.coalesce("text", F.lit("")), 256)).withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    order = keyed.select("doc_id", "_id", "_hash").distinct().orderBy(F.col("doc_id").asc_nulls_last(), "_hash")
-    order = written(order.withColumn("rid", F.monotonically_increasing_id()).drop("doc_id"), "order")
-    return written(keyed.join(order, ["_id", "_hash"]).drop("_id", "_hash"), "numbered"), True
-
-
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """(rid, first, last), written: runs of starts of passages that stand earlier; ``docs`` has rid and text."""
     rows = docs.select("rid", "text").mapInPandas(parse, "h long, d long, rid long, place long")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, licences, mixing, mtree, passages, quality, sharding, simhash, urls
+from . import decontamination, licences, linechunks, mixing, mtree, passages, quality, sharding, simhash, urls
 from .shared import documents, word_count, written
 
 
@@ -30,6 +30,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op5_linechunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linechunks.remove_repeated_lines(documents(spark, sf_dir), keep_text=False)
+
+
 def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.remove_repeats(documents(spark, sf_dir))
 
@@ -101,7 +105,7 @@ FROM cut
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_licences, op3_decontamination, op4_quality, op6_passages, op7_topk, op8_urls, op9_simhash, op10_mixing)}
+    return {f.__name__: f for f in (op1_sharding, op2_licences, op3_decontamination, op4_quality, op5_linechunks, op6_passages, op7_topk, op8_urls, op9_simhash, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
