@@ -1,8 +1,56 @@
-"""Corpus pipeline: stages over the documents table, each written as Parquet and read again."""
+"""Corpus pipeline: from the documents table to shards, in five stages.
 
-STAGES = []
+Each stage is a function of (spark, docs, sf_dir); its result is written as Parquet and read again as the next one's docs. All
+but the last return the columns of documents. Documents that the quality classifier rejects go; one document of each group of
+near-duplicates stays; documents that hold a benchmark item go; sources are mixed to their target weights, so documents may
+repeat or drop out; the last stage adds size, text_crc32, law, shard and slot.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lexiloom.llm import decontamination, mixing, quality, sharding, simhash
+from lexiloom.llm.shared import DOCUMENT_COLUMNS, documents, written
+
+SHARDS = 24
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rated = quality.score(docs.select(*DOCUMENT_COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return rated.filter("predicted = 1").select(*DOCUMENT_COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.one_of_each(docs.select(*DOCUMENT_COLUMNS), **simhash.SIMILAR)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(docs.select(*DOCUMENT_COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_rows(docs.select(*DOCUMENT_COLUMNS))
+
+
+def into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sharding.shard(docs.select(*DOCUMENT_COLUMNS), SHARDS)
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("simhash near-dedup", drop_near_duplicates),
+    ("benchmark decontamination", drop_benchmark_leaks),
+    ("source mixing", mix_sources),
+    ("sharding", into_shards),
+]
+
+#: The classifier, the fingerprints and the packing have no SQL form; tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

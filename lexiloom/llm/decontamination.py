@@ -183,12 +183,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS) -> DataFrame:
     """The rows of ``docs`` that hold no item; all columns stay. Edge cases as in ``find_leaks``."""
-    for block in blocks_of(benchmark, similarity, least_words):
 
+    def leaks_of(block):
         @F.pandas_udf("boolean")
-        def leaks(texts: pd.Series, block=block) -> pd.Series:
+        def leaks(texts: pd.Series) -> pd.Series:
             found = matcher(block)
             return pd.Series([next(found.leaks(t), None) is not None for t in texts], dtype=bool)
 
-        docs = docs.filter(~leaks(F.col("text")))
+        return leaks
+
+    for block in blocks_of(benchmark, similarity, least_words):
+        docs = docs.filter(~leaks_of(block)(F.col("text")))
     return docs
