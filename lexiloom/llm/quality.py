@@ -1,7 +1,7 @@
 """Quality by nearest-neighbour voting in a latent semantic space.
 
 Text becomes hashed counts of its byte n-grams plus a few terms for its shape; the space is the truncated SVD of a
-bounded sample of labelled rows. The labelled vectors (at most ``2 * PER_CLASS`` of ``RANK`` floats, about 0.8 MB) are
+bounded sample of labelled rows. The labelled vectors (at most ``2 * PER_CLASS`` of ``RANK`` floats, about 0.6 MB) are
 broadcast. Every document is compared with all of them, exactly, in blocks of cosine products; its nearest neighbours
 vote with their similarity.
 """
@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled rows of each class that the model may hold; the rows are chosen by hash.
-PER_CLASS = 2000
-TERMS = 2048
+PER_CLASS = 1500
+TERMS = 1024  # a power of two
 RANK = 48
 NEIGHBOURS = 25
 POWER = 4
@@ -33,9 +33,9 @@ def term_vector(text: str | None) -> np.ndarray:
     counts = np.zeros(TERMS, dtype=np.float64)
     if len(raw) > 1:
         two = raw[:-1] * np.uint32(256) + raw[1:]
-        counts += np.bincount((two * np.uint32(2654435761)) >> np.uint32(21), minlength=TERMS)
+        counts += np.bincount((two * np.uint32(2654435761)) >> np.uint32(33 - TERMS.bit_length()), minlength=TERMS)
         three = two[:-1] * np.uint32(256) + raw[2:]
-        counts += np.bincount((three * np.uint32(2246822519)) >> np.uint32(21), minlength=TERMS)
+        counts += np.bincount((three * np.uint32(2246822519)) >> np.uint32(33 - TERMS.bit_length()), minlength=TERMS)
     vector = np.log1p(counts)
     norm = math.sqrt(float(vector @ vector))
     if norm:
@@ -100,7 +100,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
 
     @F.pandas_udf("binary")
     def vector(texts: pd.Series) -> pd.Series:
-        return pd.Series([term_vector(t).tobytes() for t in texts], dtype=object)
+        return pd.Series([term_vector(t).astype(np.float16).tobytes() for t in texts], dtype=object)
 
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", vector("text").alias("v"))
     # at most one text for each chosen row, should ids repeat
@@ -109,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
         return None
     rows.sort(key=lambda r: (r["doc_id"], r["quality"]))
     total = sum(shares.values())
-    vectors = np.stack([np.frombuffer(r["v"], dtype=np.float32) for r in rows])
+    vectors = np.stack([np.frombuffer(r["v"], dtype=np.float16) for r in rows]).astype(np.float32)
     return Model(vectors, np.array([r["quality"] for r in rows]), (shares.get(0, 0) / total, shares.get(1, 0) / total))
 
 
