@@ -123,4 +123,5 @@ def remove_repeated_lines(docs: DataFrame, keep_text: bool = True) -> DataFrame:
                 out.append((doc_id, len(lines), len(chunks(lines)), len(gone), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "surrogatepass"))[: len(names)])
             yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
 
-    return docs.join(cuts, "rid", "left").select("doc_id", "text", "cuts").mapInPandas(finish, kind)
+    # always a shuffled join: the runs grow with the corpus, so they are never broadcast
+    return docs.join(cuts.hint("merge"), "rid", "left").select("doc_id", "text", "cuts").mapInPandas(finish, kind)
