@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Column-level functions: separators, whitespace, syllables, scores of adjacent units."""

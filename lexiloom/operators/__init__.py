@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Operators over utterances: (doc_id, line_no, text) in, DataFrames out."""

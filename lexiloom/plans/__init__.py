@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Named queries and the SQL that gives the same rows."""

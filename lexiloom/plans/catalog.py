@@ -1,11 +1,134 @@
-"""Named queries over the driver's tables and the SQL that gives the same rows."""
+"""Named queries over the driver's tables: lines of prose are gold utterances, their letters phones."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.separator import Separator
+from ..operators import baseline, dibs, evaluate, folding, prepare, puddle, sampling, statistics, tp
+from ..sources import corpus
+from .oracle import oracle_sql  # noqa: F401
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+SEP = Separator(phone=" ", syllable=";esyll", word=";eword")
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def gold_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.derived_corpus(table(spark, sf_dir, "documents"))
+
+
+def tagged_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.tagged(gold_of(spark, sf_dir), SEP)
+
+
+def prepared_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prepare.prepare(tagged_of(spark, sf_dir), SEP)
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
+
+def validate_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = corpus.numbered_lines(table(spark, sf_dir, "documents")).withColumnRenamed("line", "text")
+    return prepare.validate(lines, SEP).groupBy("error").agg(F.count("*").alias("n"))
+
+
+def statistic(level: str) -> Query:
+    return lambda spark, d: statistics.describe_tokens(statistics.tokens(tagged_of(spark, d), level, SEP))
+
+
+def tp_table(dependency: str) -> Query:
+    return lambda spark, d: rounded(tp.fit(prepared_of(spark, d), dependency), "score")
+
+
+def tp_segment(threshold: str, dependency: str) -> Query:
+    return lambda spark, d: tp.segment(prepared_of(spark, d), threshold=threshold, dependency=dependency)
+
+
+def tp_train_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = corpus.derived_corpus(table(spark, sf_dir, "benchmark"), key="item_id")
+    return tp.segment(prepare.prepare(corpus.tagged(held_out, SEP), SEP), train=prepared_of(spark, sf_dir))
+
+
+def dibs_model(kind: str) -> Query:
+    return lambda spark, d: dibs.fit(dibs.summary(tagged_of(spark, d), SEP), kind)
+
+
+def dibs_segment(kind: str) -> Query:
+    return lambda spark, d: dibs.apply(prepared_of(spark, d), dibs_model(kind)(spark, d))
+
+
+def evaluated(segmented: Query) -> Query:
+    return lambda spark, d: rounded(evaluate.scores(segmented(spark, d), gold_of(spark, d)), "precision", "recall", "fscore")
+
+
+def conserved(segmented: DataFrame, gold: DataFrame) -> DataFrame:
+    """Whether each utterance still has its letters, in order."""
+    letters = lambda df, to: df.select("doc_id", "line_no", F.replace("text", F.lit(" "), F.lit("")).alias(to))
+    both = letters(segmented, "own").join(letters(gold, "given"), ["doc_id", "line_no"], "full")
+    return both.select("doc_id", "line_no", F.coalesce(F.col("own") == F.col("given"), F.lit(False)).alias("conserved"))
+
+
+def puddle_frozen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model from the benchmark items, frozen, over all documents."""
+    items = corpus.tagged(corpus.derived_corpus(table(spark, sf_dir, "benchmark"), key="item_id"), SEP)
+    model = puddle.train(prepare.prepare(items, SEP))
+    return conserved(puddle.apply(prepared_of(spark, sf_dir), model), gold_of(spark, sf_dir))
+
+
+def sampled_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = sampling.samples(prepared_of(spark, sf_dir), sweeps=3, keep=2)
+    return conserved(sampling.vote(drawn), gold_of(spark, sf_dir))
+
+
+def unfold_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folding.unfold(folding.fold(gold_of(spark, sf_dir), 5), 5).select("doc_id", "line_no", "text")
+
+
+def queries() -> dict[str, Query]:
+    tp_default, dibs_default = tp_segment("relative", "ftp"), dibs_segment("phrasal")
+    out: dict[str, Query] = {
+        "corpus_utterances": gold_of,
+        "prepare_phone": prepared_of,
+        "gold_words": lambda s, d: prepare.gold(tagged_of(s, d), SEP),
+        "validate_errors": validate_errors,
+        "unigram_topk": lambda s, d: statistics.most_common(statistics.tokens(tagged_of(s, d), "word", SEP), 100),
+        "describe_words": statistic("word"),
+        "describe_phones": statistic("phone"),
+        "describe_utterances": lambda s, d: statistics.describe_utterances(tagged_of(s, d), SEP),
+        "mattr": lambda s, d: rounded(statistics.moving_ratio(statistics.tokens(tagged_of(s, d), "word", SEP)), "mattr"),
+        "entropy": lambda s, d: rounded(statistics.entropy(tagged_of(s, d), SEP), "entropy"),
+        "unit_counts": lambda s, d: tp.unit_counts(prepared_of(s, d)),
+        "bigram_counts": lambda s, d: tp.bigram_counts(prepared_of(s, d)),
+        "tp_train_test": tp_train_test,
+        "dibs_counts": lambda s, d: dibs.summary(tagged_of(s, d), SEP)["counts"],
+        "dibs_diphones": lambda s, d: dibs.summary(tagged_of(s, d), SEP)["diphones"],
+        "evaluate_tp": evaluated(tp_default),
+        "evaluate_dibs": evaluated(dibs_default),
+        "ari_tp": lambda s, d: rounded(evaluate.adjusted_rand_index(tp_default(s, d), gold_of(s, d)), "adjusted_rand_index"),
+        "error_summary_tp": lambda s, d: evaluate.error_summary(tp_default(s, d), gold_of(s, d)),
+        "fold_assignment": lambda s, d: folding.fold(gold_of(s, d), 5).select("doc_id", "line_no", "block", "fold", "turn"),
+        "unfold_roundtrip": unfold_roundtrip,
+        "baseline_none": lambda s, d: baseline.segment(prepared_of(s, d), 0.0),
+        "baseline_all": lambda s, d: baseline.segment(prepared_of(s, d), 1.0),
+        "baseline_random": lambda s, d: conserved(baseline.segment(prepared_of(s, d), 0.5), gold_of(s, d)),
+        "puddle_online": lambda s, d: conserved(puddle.segment_online(prepared_of(s, d)), gold_of(s, d)),
+        "puddle_frozen": puddle_frozen,
+        "sampled_vote": sampled_vote,
+    }
+    for dependency in ("ftp", "btp", "mi"):
+        out[f"tp_table_{dependency}"] = tp_table(dependency)
+        for threshold in ("relative", "absolute"):
+            out[f"tp_{threshold}_{dependency}"] = tp_segment(threshold, dependency)
+    for kind in ("gold", "phrasal", "lexical"):
+        out[f"dibs_model_{kind}"] = lambda s, d, k=kind: rounded(dibs_model(k)(s, d), "score")
+        out[f"dibs_{kind}"] = dibs_segment(kind)
+    return out

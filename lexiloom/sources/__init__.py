@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Readers that give (doc_id, line_no, text) or plain lists, and writers."""
