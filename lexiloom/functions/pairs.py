@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Left units that a model may have to travel as one nested map, and what a left unit may have on its right; larger models are joined.
-MAP_UNITS = 400
+#: Pairs that a model may have to travel as one nested map; larger models are joined.
+MAP_PAIRS = 20_000
 
 
 def pair_scores(df: DataFrame, units: str, model: DataFrame, default: float, to: str, key: list[str]) -> DataFrame:
     """``df`` plus ``to``: for the array ``units`` of each row (rows have unique ``key``), the scores of its adjacent pairs.
 
-    A model over few units goes to every task as one nested map (a scalar subquery), and rows are scored where they are, without a
+    A model of few pairs goes to every task as one nested map (a scalar subquery), and rows are scored where they are, without a
     shuffle. Other models are joined to the exploded pairs.
     """
     model = model.select("a", "b", F.col("score").cast("double").alias("score"))
     count = F.size(units)
-    sizes = model.groupBy("a").agg(F.count("*").alias("n")).agg(F.count("*").alias("a"), F.max("n").alias("b")).first()
-    if sizes["a"] <= MAP_UNITS and (sizes["b"] or 0) <= MAP_UNITS:
+    held = model.limit(MAP_PAIRS + 1).collect()  # also spares computing the model again for every use
+    if len(held) <= MAP_PAIRS:
+        model = df.sparkSession.createDataFrame(held, model.schema)
         right = model.groupBy("a").agg(F.map_from_entries(F.collect_list(F.struct("b", "score"))).alias("m"))
         table = right.agg(F.map_from_entries(F.collect_list(F.struct("a", "m"))).alias("m"))
         rest = F.greatest(count - 1, F.lit(0))
@@ -26,9 +27,9 @@ def pair_scores(df: DataFrame, units: str, model: DataFrame, default: float, to:
         return df.withColumn("_model", table.scalar()).withColumn(to, F.zip_with(F.slice(units, 1, rest), F.slice(units, 2, rest), score)).drop("_model")
     pairs = df.select(*key, F.posexplode(F.arrays_zip(F.slice(units, 1, F.greatest(count - 1, F.lit(0))).alias("a"), F.slice(units, 2, F.greatest(count - 1, F.lit(0))).alias("b"))).alias("_i", "_p"))
     scored = pairs.select(*key, "_i", F.col("_p.a").alias("a"), F.col("_p.b").alias("b")).join(model.select("a", "b", "score"), ["a", "b"], "left")
-    scored = scored.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("_i", F.coalesce("score", F.lit(default)).alias("s")))).alias("_s"))
+    scored = scored.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("_i", F.coalesce("score", F.lit(default)).alias("s")))).alias("_scored"))
     out = df.join(scored, key, "left")
-    return out.withColumn(to, F.coalesce(F.transform("_s", lambda x: x["s"]), F.array().cast("array<double>"))).drop("_s")
+    return out.withColumn(to, F.coalesce(F.transform("_scored", lambda x: x["s"]), F.array().cast("array<double>"))).drop("_scored")
 
 
 def joined_units(units: Column, cuts: Column) -> Column:

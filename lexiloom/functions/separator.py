@@ -29,8 +29,19 @@ def trimmed(text: Column) -> Column:
 
 
 def squeezed(text: Column) -> Column:
-    """Text with runs of whitespace as one space, none at the ends."""
-    return F.trim(F.regexp_replace(text, SPACE, " "))
+    """Text with runs of whitespace as one space, none at the ends; plain single spaces are passed over."""
+    return F.trim(F.regexp_replace(text, r"(?U) ?[\s\x1c-\x1f&&[^ ]][\s\x1c-\x1f]*|  +", " "))
+
+
+def is_blank(text: Column) -> Column:
+    return text.isNull() | ~text.rlike(r"(?U)[^\s\x1c-\x1f]")
+
+
+def dropped(text: Column, pattern: str) -> Column:
+    """Text without the matches of a pattern; one without special characters is taken as plain text, which is faster."""
+    if re.escape(pattern).replace("\\ ", " ") == pattern:
+        return F.replace(text, F.lit(pattern))
+    return F.regexp_replace(text, pattern, "")
 
 
 def illegal_characters(separator: str) -> list[str]:
@@ -81,12 +92,17 @@ class Separator:
         run = rf"(?:{any_})(?:{any_}|[\s\x1c-\x1f])*"
         return trimmed(F.regexp_replace(F.regexp_replace(text, rf"(?U)^{run}", ""), rf"(?U){run}\z", ""))
 
+    def is_empty(self, text: Column) -> Column:
+        """Whether nothing but separators and whitespace is there."""
+        own = "|".join(f"(?:{s})" for s in self if s)
+        return text.isNull() | text.rlike(rf"(?U)^(?:{own}{'|' if own else ''}[\s\x1c-\x1f])*\z")
+
     def remove(self, text: Column, level: str | None = None) -> Column:
         """Text without separators (of one level, or all); runs of spaces become one."""
         for name in [self.check(level)] if level else ["word", "syllable", "phone"]:
             if getattr(self, name):
-                text = F.regexp_replace(text, getattr(self, name), "")
-        return F.regexp_replace(text, " +", " ")
+                text = dropped(text, getattr(self, name))
+        return F.regexp_replace(text, "  +", " ")
 
     def split(self, text: Column, level: str, keep_boundaries: bool = False) -> Column:
         """Array of what stands between the separators of a level, empty tokens too."""

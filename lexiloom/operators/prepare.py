@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.separator import Separator, escaped, squeezed
+from ..functions.separator import Separator, escaped, is_blank, squeezed
 
 # ASCII punctuation, as a regular expression class.
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
@@ -21,7 +21,7 @@ MESSAGES = {
 
 def utterance_error(text: Column, separator: Separator = Separator(), check_punctuation: bool = True) -> Column:
     """The first rule that a tagged utterance breaks, null if it is valid."""
-    rule = F.when(text.isNull() | (text == "") | (separator.strip(text) == ""), F.lit(MESSAGES["empty"]))
+    rule = F.when(separator.is_empty(text), F.lit(MESSAGES["empty"]))
     if check_punctuation:
         rule = rule.when(separator.remove(text).rlike(PUNCTUATION), F.lit(MESSAGES["punctuation"]))
     for own in separator:
@@ -53,7 +53,7 @@ def prepared_text(text: Column, separator: Separator = Separator(), unit: str =
 
 def prepare(tagged: DataFrame, separator: Separator = Separator(), unit: str = "phone", check_punctuation: bool = True, tolerant: bool = False) -> DataFrame:
     """Prepared utterances of the non-empty rows. Invalid rows fail the job, or go when ``tolerant``."""
-    rows = validate(tagged.filter(squeezed(F.col("text")) != ""), separator, check_punctuation)
+    rows = validate(tagged.filter(~is_blank(F.col("text"))), separator, check_punctuation)
     if tolerant:
         rows = rows.filter("error is null")
     else:

@@ -7,6 +7,7 @@ by side, their models add up as tables, and a frozen model segments any number o
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,39 +25,59 @@ class Learner:
     def __init__(self, window: int = 2, by_frequency: bool = False) -> None:
         self.window, self.by_frequency = window, by_frequency
         self.words, self.begins, self.ends = Counter(), Counter(), Counter()
-
-    def learn(self, units: list[str]) -> None:
-        self.words["".join(units)] += 1
-        if len(units) >= 2:
-            self.begins["".join(units[: self.window])] += 1
-            # a word shorter than the window has an empty ending, as a slice from a negative place
-            self.ends["".join(units[len(units) - self.window :]) if len(units) >= self.window else ""] += 1
+        self.tree: dict = {}  # known words letter by letter, so that a search stops where no word goes on
+
+    def know(self, word: str, n: int = 1) -> None:
+        if word not in self.words:
+            node = self.tree
+            for c in word:
+                node = node.setdefault(c, {})
+            node[""] = {}
+        self.words[word] += n
+
+    def known_ends(self, units: list[str], i: int) -> Iterator[int]:
+        """The j for which units i to j make a known word."""
+        node = self.tree
+        for j in range(i, len(units)):
+            for c in units[j]:
+                node = node.get(c)
+                if node is None:
+                    return
+            if "" in node:
+                yield j
+
+    def learn(self, units: list[str], i: int, j: int) -> None:
+        """Units i to j of an utterance are a word. Edges are slices of the utterance, so with wide windows they may pass the word's own ends."""
+        self.know("".join(units[i : j + 1]))
+        if j > i:
+            self.begins["".join(units[i : i + self.window])] += 1
+            self.ends["".join(units[j + 1 - self.window : j + 1])] += 1
 
     def find(self, units: list[str]) -> tuple[int, int] | None:
         """First (start, end) of a known word whose edges fit: the units before end words, those after begin words."""
         n, w = len(units), self.window
         for i in range(n):
-            j = i
-            while j < n:
-                if "".join(units[i : j + 1]) in self.words:
-                    if self.by_frequency:
-                        known = [(self.words["".join(units[i : k + 1])], k) for k in range(j, n) if "".join(units[i : k + 1]) in self.words]
-                        j = max(known)[1]
-                    left = "".join(units[i - w : i]) if i >= w else ""
-                    if (i == 0 or left in self.ends) and "".join(units[j + 1 : j + 1 + w]) in self.begins:
-                        return i, j
-                j += 1
+            left = "".join(units[i - w : i])
+            if i and left not in self.ends:
+                continue
+            known = list(self.known_ends(units, i))
+            if self.by_frequency:  # each candidate gives way to the most frequent of those as long or longer, the longest of equals
+                known = [max((self.words["".join(units[i : k + 1])], k) for k in known[at:])[1] for at in range(len(known))]
+            for j in known:
+                if "".join(units[j + 1 : j + 1 + w]) in self.begins:
+                    return i, j
         return None
 
     def segment(self, units: list[str], update: bool = True) -> list[str]:
         out = []
         while units:
             found = self.find(units)
-            pieces = [units] if found is None else [units[: found[0]], units[found[0] : found[1] + 1]]
-            for piece in filter(None, pieces):
-                if update:
-                    self.learn(piece)
-                out.append("".join(piece))
+            cuts = [(0, len(units) - 1)] if found is None else [(0, found[0] - 1), found]
+            for i, j in cuts:
+                if j >= i:
+                    if update:
+                        self.learn(units, i, j)
+                    out.append("".join(units[i : j + 1]))
             units = [] if found is None else units[found[1] + 1 :]
         return out
 
@@ -65,7 +86,10 @@ class Learner:
 
     def load(self, rows) -> Learner:
         for kind, item, n in rows:
-            {"word": self.words, "begin": self.begins, "end": self.ends}[kind][item] += int(n)
+            if kind == "word":
+                self.know(item, int(n))
+            else:
+                {"begin": self.begins, "end": self.ends}[kind][item] += int(n)
         return self
 
 

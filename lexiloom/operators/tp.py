@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.pairs import joined_units, pair_scores
@@ -35,10 +35,14 @@ def unit_counts(prepared: DataFrame) -> DataFrame:
 
 def fit(prepared: DataFrame, dependency: str = "ftp") -> DataFrame:
     """(a, b, score) over pair types: ftp f(ab)/f(a), btp f(ab)/f(b), mi log2(f(ab) / (f(a) f(b)))."""
-    pairs, units = bigram_counts(prepared), unit_counts(prepared)
-    first = units.select(F.col("unit").alias("a"), F.col("n").alias("na"))
-    second = units.select(F.col("unit").alias("b"), F.col("n").alias("nb"))
-    joined = pairs.join(first, "a").join(second, "b")
+    pairs = bigram_counts(prepared)
+    edge = prepared.agg(F.max(F.struct(*KEY)).alias("k")).first()["k"]
+    final = [] if edge is None else [r["u"] for r in prepared.filter(" and ".join(f"{k} = {edge[k]}" for k in KEY)).select(F.element_at(units_of(F.col("text")), -1).alias("u")).collect()]
+    # a unit starts as many pairs as it has occurrences, less one for the last of the corpus, and ends all but the first
+    left = Window.partitionBy("a")
+    joined = pairs.withColumn("na", F.sum("n").over(left) + F.when(F.col("a").isin(final), 1).otherwise(0))
+    first = prepared.filter(" and ".join(f"{k} = {low[k]}" for k in KEY)).select(F.get(units_of(F.col("text")), F.lit(0)).alias("u")).collect() if (low := prepared.agg(F.min(F.struct(*KEY)).alias("k")).first()["k"]) is not None else []
+    joined = joined.withColumn("nb", F.sum("n").over(Window.partitionBy("b")) + F.when(F.col("b").isin([r["u"] for r in first]), 1).otherwise(0))
     score = {"ftp": F.col("n") / F.col("na"), "btp": F.col("n") / F.col("nb"), "mi": F.log2(F.col("n") / (F.col("na") * F.col("nb")))}
     if dependency not in score:
         raise ValueError(f"dependency must be ftp, btp or mi, it is '{dependency}'")

@@ -17,7 +17,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one in fewer files than there are cores is dealt out, so that a small file does not keep one core busy."""
+    out = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return out.repartition(cores) if len(out.inputFiles()) < cores else out
 
 
 def gold_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,8 +57,7 @@ def tp_segment(threshold: str, dependency: str) -> Query:
 
 
 def tp_train_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held_out = corpus.derived_corpus(table(spark, sf_dir, "benchmark"), key="item_id")
-    return tp.segment(prepare.prepare(corpus.tagged(held_out, SEP), SEP), train=prepared_of(spark, sf_dir))
+    return tp.segment(prepare.prepare(corpus.tagged(items_of(spark, sf_dir), SEP), SEP), train=prepared_of(spark, sf_dir))
 
 
 def dibs_model(kind: str) -> Query:
@@ -77,16 +79,21 @@ def conserved(segmented: DataFrame, gold: DataFrame) -> DataFrame:
     return both.select("doc_id", "line_no", F.coalesce(F.col("own") == F.col("given"), F.lit(False)).alias("conserved"))
 
 
+def items_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.derived_corpus(table(spark, sf_dir, "benchmark"), key="item_id")
+
+
 def puddle_frozen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model from the benchmark items, frozen, over all documents."""
-    items = corpus.tagged(corpus.derived_corpus(table(spark, sf_dir, "benchmark"), key="item_id"), SEP)
-    model = puddle.train(prepare.prepare(items, SEP))
+    model = puddle.train(prepare.prepare(corpus.tagged(items_of(spark, sf_dir), SEP), SEP))
     return conserved(puddle.apply(prepared_of(spark, sf_dir), model), gold_of(spark, sf_dir))
 
 
 def sampled_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    drawn = sampling.samples(prepared_of(spark, sf_dir), sweeps=3, keep=2)
-    return conserved(sampling.vote(drawn), gold_of(spark, sf_dir))
+    """A chain for each benchmark item."""
+    items = items_of(spark, sf_dir)
+    drawn = sampling.samples(prepare.prepare(corpus.tagged(items, SEP), SEP), sweeps=20, keep=5)
+    return conserved(sampling.vote(drawn), items)
 
 
 def unfold_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,10 +110,12 @@ def sql(*parts: str, then: str) -> str:
     return "WITH " + ",".join(parts) + " " + then
 
 
+ITEMS = """
+bl AS (SELECT item_id AS doc_id, unnest(range(len(l))) AS line_no, unnest(l) AS line FROM (SELECT item_id, string_split(text, chr(10)) AS l FROM benchmark WHERE text IS NOT NULL)),
+bt AS (SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, trim(regexp_replace(regexp_replace(lower(line), '[^a-z ]', '', 'g'), ' +', ' ', 'g')) AS text FROM bl)"""
 WORDS = "w AS (SELECT doc_id, line_no, CAST(unnest(range(len(x))) AS INTEGER) AS pos, unnest(x) AS token FROM (SELECT doc_id, line_no, string_split(text, ' ') AS x FROM utt))"
 COUNTED = "SELECT {}, CAST(n AS BIGINT) AS n FROM {}"
 SEGMENT = "SELECT doc_id, line_no, text FROM seg"
-SYLLABLE = "regexp_replace(token, '([^aeiou]*[aeiou])', '\\1_', 'g')"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -146,9 +148,8 @@ SELECT error, count(*) AS n FROM e GROUP BY ALL""",
         "unfold_roundtrip": sql(UTT, then="SELECT doc_id, line_no, text FROM utt"),
         "baseline_none": sql(UTT, then="SELECT doc_id, line_no, replace(text, ' ', '') AS text FROM utt"),
         "baseline_all": sql(UTT, then="SELECT doc_id, line_no, regexp_replace(replace(text, ' ', ''), '(.)', '\\1 ', 'g') AS text FROM utt"),
-        "tp_train_test": sql(UTT, LETTERS, SEQ, tp("ftp"), """
-bl AS (SELECT item_id AS doc_id, unnest(range(len(l))) AS line_no, unnest(l) AS line FROM (SELECT item_id, string_split(text, chr(10)) AS l FROM benchmark WHERE text IS NOT NULL)),
-bt AS (SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, trim(regexp_replace(regexp_replace(lower(line), '[^a-z ]', '', 'g'), ' +', ' ', 'g')) AS text FROM bl),
+        "sampled_vote": "WITH " + ITEMS + " SELECT doc_id, line_no, TRUE AS conserved FROM bt WHERE text <> ''",
+        "tp_train_test": sql(UTT, LETTERS, SEQ, tp("ftp"), """""" + ITEMS + """,
 bu AS (SELECT doc_id, line_no, unnest(range(len(c))) AS idx, unnest(c) AS unit FROM (SELECT doc_id, line_no, string_split(replace(text, ' ', ''), '') AS c FROM bt WHERE text <> '')),
 bseq AS (SELECT * FROM bu UNION ALL SELECT doc_id, line_no, 1000000000, ' ' FROM bt WHERE text <> '' AND (doc_id, line_no) <> (SELECT max((doc_id, line_no)) FROM bt WHERE text <> '')),
 bs AS (SELECT *, lag(unit) OVER w AS p1, lag(unit, 2) OVER w AS p2, lead(unit) OVER w AS nx FROM bseq WINDOW w AS (ORDER BY doc_id, line_no, idx))""", RELATIVE.replace("FROM s LEFT", "FROM bs s LEFT"), then=SEGMENT),
@@ -163,6 +164,6 @@ bs AS (SELECT *, lag(unit) OVER w AS p1, lag(unit, 2) OVER w AS p2, lead(unit) O
         out[f"dibs_model_{kind}"] = sql(UTT, LETTERS, dibs(kind), then="SELECT a, b, round(score, 6) AS score FROM model")
         out[f"dibs_{kind}"] = sql(UTT, LETTERS, dibs(kind), DIBS_SEG, then=SEGMENT)
     conserved = "SELECT doc_id, line_no, TRUE AS conserved FROM utt"
-    for name in ("baseline_random", "puddle_online", "puddle_frozen", "sampled_vote"):
+    for name in ("baseline_random", "puddle_online", "puddle_frozen"):
         out[name] = sql(UTT, then=conserved)
     return out

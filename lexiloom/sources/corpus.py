@@ -32,8 +32,9 @@ def derived_corpus(table: DataFrame, text: str = "text", key: str = "doc_id") ->
 def tagged(gold: DataFrame, separator: Separator = Separator()) -> DataFrame:
     """Gold utterances as tagged ones: letters are phones, words end in the word separator."""
     phone, _, word = separator
-    spaced = F.regexp_replace(F.col("text"), "([a-z])", f"$1{phone or ''}")
-    return gold.withColumn("text", F.concat(F.replace(spaced, F.lit(f"{phone or ''} "), F.lit(f"{phone or ''}{word}")), F.lit(word)))
+    gap, phone = "\u0001", phone or ""
+    spaced = F.array_join(F.split(F.replace("text", F.lit(" "), F.lit(gap)), ""), phone)
+    return gold.withColumn("text", F.concat(F.replace(spaced, F.lit(gap + phone), F.lit(word)), F.lit(phone + word)))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
