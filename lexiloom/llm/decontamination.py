@@ -12,6 +12,7 @@ memory, with one pass over the documents for each block.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -135,26 +136,26 @@ class Matcher:
                 yield item.item_id, best[0], len(item.words), best[1], best[2]
 
 
-_built: dict[int, Matcher] = {}
+_built: dict[str, Matcher] = {}
 
 
-def matcher(block) -> Matcher:
-    """The worker's matcher of a broadcast block, built once."""
-    key = id(block)
-    if key not in _built:
+def matcher(name: str, block) -> Matcher:
+    """The worker's matcher of a broadcast block, built once. Blocks go by a name of their own, as workers outlive broadcasts."""
+    if name not in _built:
         _built.clear()
-        _built[key] = Matcher(*block.value)
-    return _built[key]
+        _built[name] = Matcher(*block.value)
+    return _built[name]
 
 
-def blocks_of(benchmark: DataFrame, similarity: float, least_words: int, block_bytes: int = BLOCK_BYTES) -> Iterator:
-    """Broadcast (items, similarity, least_words), each of about ``block_bytes`` of text at most."""
+def blocks_of(benchmark: DataFrame, similarity: float, least_words: int, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple]:
+    """(name, broadcast of (items, similarity, least_words)), each of about ``block_bytes`` of text at most."""
     rows = benchmark.select("item_id", "text").filter("text is not null")
     held = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     n = max(1, -(-held // block_bytes))
     for i in range(n):
         part = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == i)
-        yield benchmark.sparkSession.sparkContext.broadcast(([(r["item_id"], r["text"]) for r in part.collect()], similarity, least_words))
+        items = [(r["item_id"], r["text"]) for r in part.collect()]
+        yield uuid.uuid4().hex, benchmark.sparkSession.sparkContext.broadcast((items, similarity, least_words))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -166,10 +167,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
     """
     kind = "doc_id long, item_id long, edits int, item_words int, first_word long, last_word long"
     out = None
-    for block in blocks_of(benchmark, similarity, least_words):
+    for name, block in blocks_of(benchmark, similarity, least_words):
 
-        def scan(batches, block=block):
-            found = matcher(block)
+        def scan(batches, name=name, block=block):
+            found = matcher(name, block)
             for pdf in batches:
                 rows = [(d, *leak) for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) for leak in found.leaks(t)]
                 if rows:
@@ -184,14 +185,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
 def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS) -> DataFrame:
     """The rows of ``docs`` that hold no item; all columns stay. Edge cases as in ``find_leaks``."""
 
-    def leaks_of(block):
+    def leaks_of(name, block):
         @F.pandas_udf("boolean")
         def leaks(texts: pd.Series) -> pd.Series:
-            found = matcher(block)
+            found = matcher(name, block)
             return pd.Series([next(found.leaks(t), None) is not None for t in texts], dtype=bool)
 
         return leaks
 
-    for block in blocks_of(benchmark, similarity, least_words):
-        docs = docs.filter(~leaks_of(block)(F.col("text")))
+    for name, block in blocks_of(benchmark, similarity, least_words):
+        docs = docs.filter(~leaks_of(name, block)(F.col("text")))
     return docs
