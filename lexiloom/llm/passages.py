@@ -320,25 +320,19 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     of digest; passages of distinct phrases are ranked by their bytes.
     """
     docs, shared = numbered(docs.select("doc_id", "text"))
+    if shared:  # equal rows get numbers of their own
+        docs = docs.withColumn("_copy", F.row_number().over(Window.partitionBy("rid").orderBy("rid"))).orderBy("rid", "_copy")
+        docs = written(docs.withColumn("rid", F.monotonically_increasing_id()).drop("_copy"), "rows")
     runs = repeated_runs(docs).groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    kind = "doc_id long, rid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
+    kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
     names = [c.split()[0] for c in kind.split(", ")]
 
     def finish(batches):
         for pdf in batches:
             out = []
-            for doc_id, rid, text, own in zip(pdf["doc_id"], pdf["rid"], pdf["text"], pdf["runs"], strict=True):
+            for doc_id, text, own in zip(pdf["doc_id"], pdf["text"], pdf["runs"], strict=True):
                 n, removed, spans, sha, rest = cut(text, [(r["first"], r["last"]) for r in own] if own is not None else [])
-                out.append((doc_id, rid, n, removed, spans, sha, rest)[: len(names)])
+                out.append((doc_id, n, removed, spans, sha, rest)[: len(names)])
             yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
 
-    out = docs.join(runs, "rid", "left").select("doc_id", "rid", "text", "runs").mapInPandas(finish, kind)
-    if shared:  # of equal rows all but one are repeats as a whole
-        again = (F.row_number().over(Window.partitionBy("rid").orderBy("rid")) > 1) & (F.col("n_bytes") >= LENGTH)
-        out = out.withColumn("_again", again).withColumn("n_removed", F.when(F.col("_again"), F.col("n_bytes")).otherwise(F.col("n_removed")))
-        out = out.withColumn("n_spans", F.when(F.col("_again"), F.lit(1)).otherwise(F.col("n_spans")).cast("long"))
-        out = out.withColumn("kept_sha256", F.when(F.col("_again"), F.sha2(F.lit(""), 256)).otherwise(F.col("kept_sha256")))
-        if keep_text:
-            out = out.withColumn("kept", F.when(F.col("_again"), F.lit(b"")).otherwise(F.col("kept")))
-        out = out.drop("_again")
-    return out.drop("rid")
+    return docs.join(runs, "rid", "left").select("doc_id", "text", "runs").mapInPandas(finish, kind)

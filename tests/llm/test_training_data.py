@@ -195,6 +195,16 @@ def test_passages(spark, odd, none, monkeypatch):
     assert found[found["doc_id"] == 5]["n_removed"].item() == len(LONG)
 
 
+def test_passages_of_equal_rows(spark):
+    """Of wholly equal rows, which share doc_id and text or lack a doc_id, one keeps its bytes."""
+    rng = random.Random(10)
+    own = ["".join(rng.choice("abcdefgh ") for _ in range(500)) for _ in range(3)]
+    rows = [(1, own[0]), (1, own[0]), (2, own[1]), (2, own[1]), (2, own[1]), (None, own[2]), (None, own[2]), (3, own[0] + own[2])]
+    found = passages.remove_repeats(spread(spark.createDataFrame(rows, "doc_id long, text string")), keep_text=True).collect()
+    kept = sorted((r.doc_id or 9, r.n_removed, bytes(r.kept).decode()) for r in found)
+    assert kept == sorted([(1, 0, own[0]), (1, 500, ""), (2, 0, own[1]), (2, 500, ""), (2, 500, ""), (3, 500, own[2]), (9, 500, ""), (9, 500, "")])
+
+
 def test_mtree(spark, none, monkeypatch):
     rng = np.random.default_rng(4)
     monkeypatch.setattr(mtree, "LEAF", 8)
