@@ -31,17 +31,23 @@ SLAB = 1 << 14
 SEED = 42
 
 
-def text_fingerprint(text: str | None, shingle: int, words: int) -> bytes:
-    """Big-endian bytes of the fingerprint. Word 0 takes the bits of XXH64 with seed 42, word i those of a remixed hash."""
+def gram_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 with seed 42 of each run of ``shingle`` words; of a shorter text that has words, of all its words."""
     tokens = (text or "").encode("utf-8", "replace").lower().split()  # bytes.lower: A-Z only; bytes.split: space, tab, LF, VT, FF, CR
     if not tokens:
-        return bytes(8 * words)
+        return np.zeros(0, dtype=np.uint64)
     if len(tokens) < shingle:
         grams = [b" ".join(tokens)]
     else:
         grams = map(b" ".join, zip(*[tokens[i:] for i in range(shingle)], strict=False))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(g, SEED) for g in grams], dtype=np.uint64)
+    return np.array([digest(g, SEED) for g in grams], dtype=np.uint64)
+
+
+def hashes_fingerprint(hashes: np.ndarray, words: int) -> bytes:
+    """Big-endian bytes of the fingerprint. Word 0 takes the bits of the hashes, word i those of a remixed hash."""
+    if not len(hashes):
+        return bytes(8 * words)
     out = b""
     for i in range(words):
         h = hashes if i == 0 else remixed(hashes, i)
@@ -53,6 +59,10 @@ def text_fingerprint(text: str | None, shingle: int, words: int) -> bytes:
     return out
 
 
+def text_fingerprint(text: str | None, shingle: int, words: int) -> bytes:
+    return hashes_fingerprint(gram_hashes(text, shingle), words)
+
+
 def remixed(h: np.ndarray, i: int) -> np.ndarray:
     """A second hash from a first one: xor with a multiple of an odd constant, then two multiply-shift rounds."""
     x = h ^ np.uint64(i * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
@@ -142,13 +152,8 @@ def block_bounds(blocks: int) -> list[tuple[int, int]]:
     return [(s, e - s) for s, e in zip(edges, edges[1:], strict=False)]
 
 
-def linked(prints: DataFrame, words: int, blocks: int, word_distance: int, distance: int) -> DataFrame:
-    """(node, root) of the linked ones among distinct ``prints`` (fingerprint), nodes as lower-case hex.
-
-    Two fingerprints link if some block agrees, that block's word differs in at most ``word_distance`` bits and all words
-    together in at most ``distance``. With one word and ``blocks > distance`` those are exactly all pairs within
-    ``distance``, as a block without a difference is left.
-    """
+def dealt(prints: DataFrame, words: int, blocks: int) -> DataFrame:
+    """The rows of ``prints`` (fingerprint, anything else) once for each block, together with all that agree in it."""
     bounds = block_bounds(blocks)
 
     def keyed(batches):
@@ -159,23 +164,48 @@ def linked(prints: DataFrame, words: int, blocks: int, word_distance: int, dista
             for t in range(words * blocks):
                 start, bits = bounds[t % blocks]
                 key = (codes[:, t // blocks] >> np.uint64(64 - start - bits)) & np.uint64((1 << bits) - 1)
-                yield pd.DataFrame({"table": np.full(len(pdf), t, dtype=np.int32), "key": key.astype(np.int64), "fingerprint": pdf["fingerprint"]})
+                yield pdf.assign(table=np.full(len(pdf), t, dtype=np.int32), key=key.astype(np.int64))
+
+    kind = ", ".join(f"{n} {t}" for n, t in prints.dtypes) + ", table int, key long"
+    rows = written(prints.mapInPandas(keyed, kind), "blocks")
+    crowded = rows.groupBy("table", "key").count().filter(F.col("count") > SPLIT)
+    crowded = crowded.select("table", "key", F.ceil(F.col("count") / SPLIT).cast("int").alias("_chunks"))
+    rows = bounded_join(rows, crowded, ["table", "key"]).withColumn("_chunks", F.coalesce("_chunks", F.lit(1)))
+    chunk = F.pmod(F.xxhash64("fingerprint"), F.col("_chunks")).cast("int")
+    rows = rows.withColumn("_chunk", chunk).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
+    rows = rows.select("table", "key", F.least("_chunk", "_other").alias("one"), F.greatest("_chunk", "_other").alias("other"), *prints.columns)
+    return rows.repartition("table", "key", "one", "other")
+
+
+def buckets(batches, words: int, bounds: list[tuple[int, int]]) -> Iterator[tuple[pd.DataFrame, GrayIndex, np.ndarray]]:
+    """(rows, index, codes) of each group of rows that meet, rows and codes in the order of the index."""
+    frames = [p for p in batches if len(p)]
+    if not frames:
+        return
+    held = pd.concat(frames, ignore_index=True)
+    for (t, _, _), part in held.groupby(["table", "one", "other"], sort=False):
+        if len(part) < 2:
+            continue
+        codes = np.frombuffer(b"".join(part["fingerprint"]), dtype=">u8").astype(np.uint64).reshape(-1, words)
+        start, bits = bounds[t % len(bounds)]
+        word = codes[:, t // len(bounds)]
+        turned = (word << np.uint64(start)) | (word >> np.uint64(64 - start)) if start else word
+        index = GrayIndex(turned, bits)
+        yield part.iloc[index.order], index, codes[index.order]
+
+
+def linked(prints: DataFrame, words: int, blocks: int, word_distance: int, distance: int) -> DataFrame:
+    """(node, root) of the linked ones among distinct ``prints`` (fingerprint), nodes as lower-case hex.
+
+    Two fingerprints link if some block agrees, that block's word differs in at most ``word_distance`` bits and all words
+    together in at most ``distance``. With one word and ``blocks > distance`` those are exactly all pairs within
+    ``distance``, as a block without a difference is left.
+    """
+    bounds = block_bounds(blocks)
 
     def forest(batches):
-        frames = [p for p in batches if len(p)]
-        if not frames:
-            return
-        held = pd.concat(frames, ignore_index=True)
-        for (t, _, _), part in held.groupby(["table", "one", "other"], sort=False):
-            if len(part) < 2:
-                continue
-            prints_ = part["fingerprint"].to_numpy()
-            codes = np.frombuffer(b"".join(prints_), dtype=">u8").astype(np.uint64).reshape(-1, words)
-            start, bits = bounds[t % blocks]
-            word = codes[:, t // blocks]
-            turned = (word << np.uint64(start)) | (word >> np.uint64(64 - start)) if start else word
-            index = GrayIndex(turned, bits)
-            codes, prints_ = codes[index.order], prints_[index.order]
+        for prints_, index, codes in buckets(batches, words, bounds):
+            names = prints_["fingerprint"].to_numpy()
             root = np.arange(len(codes))
             for a, b in index.close_pairs(word_distance):
                 keep = root[a] != root[b]
@@ -186,16 +216,9 @@ def linked(prints: DataFrame, words: int, blocks: int, word_distance: int, dista
                     root = merge(root, a[keep], b[keep])
             own = np.flatnonzero(root != np.arange(len(root)))
             if len(own):
-                yield pd.DataFrame({"a": [p.hex() for p in prints_[own]], "b": [p.hex() for p in prints_[root[own]]]})
+                yield pd.DataFrame({"a": [p.hex() for p in names[own]], "b": [p.hex() for p in names[root[own]]]})
 
-    rows = written(prints.mapInPandas(keyed, "table int, key long, fingerprint binary"), "blocks")
-    crowded = rows.groupBy("table", "key").count().filter(F.col("count") > SPLIT)
-    crowded = crowded.select("table", "key", F.ceil(F.col("count") / SPLIT).cast("int").alias("_chunks"))
-    rows = bounded_join(rows, crowded, ["table", "key"]).withColumn("_chunks", F.coalesce("_chunks", F.lit(1)))
-    chunk = F.pmod(F.xxhash64("fingerprint"), F.col("_chunks")).cast("int")
-    rows = rows.withColumn("_chunk", chunk).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
-    rows = rows.select("table", "key", F.least("_chunk", "_other").alias("one"), F.greatest("_chunk", "_other").alias("other"), "fingerprint")
-    return components(rows.repartition("table", "key", "one", "other").mapInPandas(forest, "a string, b string"))
+    return components(dealt(prints, words, blocks).mapInPandas(forest, "a string, b string"))
 
 
 def roots_of(made: DataFrame, words: int, blocks: int, word_distance: int, distance: int) -> DataFrame:
@@ -220,23 +243,119 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, words: int = 1, blocks: i
     return made.join(known, "fingerprint", "left").select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
 
 
-#: For similarity of about 0.8 or more over five-word shingles: 320 bits, of which similar texts differ in 15 % at 0.8 and 10 % at 0.9.
-SIMILAR = {"shingle": 5, "words": 5, "blocks": 5, "word_distance": 24, "distance": 55}
+#: Five-word shingles; of 320 bits, texts with a Jaccard of 0.8 differ in 15 %, so 72 are nearly four deviations above.
+SIMILAR = {"shingle": 5, "words": 5, "blocks": 6, "word_distance": 24, "distance": 72}
+JACCARD = 0.8
+
+
+def tree_links(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(roots, a, b): the union of pairs as in ``merge``, and pairs that suffice for it, earlier ones first."""
+    left, right = [], []
+    while True:
+        ra, rb = root[a], root[b]
+        open_ = ra != rb
+        if not open_.any():
+            break
+        a, b, ra, rb = a[open_], b[open_], ra[open_], rb[open_]
+        high, at = np.unique(np.maximum(ra, rb), return_index=True)
+        root[high] = np.minimum(ra, rb)[at]
+        left.append(a[at])
+        right.append(b[at])
+        while not np.array_equal(up := root[root], root):
+            root = up
+    none = np.zeros(0, dtype=np.int64)
+    return root, np.concatenate([none, *left]), np.concatenate([none, *right])
+
 
+def candidates(prints: DataFrame, every: bool, words: int, blocks: int, word_distance: int, distance: int, jaccard: float) -> DataFrame:
+    """(a, b), distinct and written: nodes that may be similar, of ``prints`` (node, n, fingerprint), n the size of the set.
 
-def one_of_each(docs: DataFrame, shingle: int = 5, words: int = 5, blocks: int = 5, word_distance: int = 24, distance: int = 55) -> DataFrame:
+    In each block value only pairs that join all others, close ones first; with ``every``, all pairs of different ``group``.
+    """
+    bounds = block_bounds(blocks)
+
+    def pairs(batches):
+        for rows, index, codes in buckets(batches, words, bounds):
+            node, n = rows["node"].to_numpy(), rows["n"].to_numpy()
+            group = rows["group"].to_numpy() if every else np.arange(len(node))
+            for a, b in index.close_pairs(word_distance):
+                keep = (group[a] != group[b]) & (np.minimum(n[a], n[b]) >= jaccard * np.maximum(n[a], n[b]) - 1e-6)
+                a, b = a[keep], b[keep]
+                apart = np.bitwise_count(codes[a] ^ codes[b]).sum(axis=1)
+                keep = apart <= distance
+                a, b, apart = a[keep], b[keep], apart[keep]
+                if not every and len(a):
+                    order = np.lexsort((np.maximum(node[a], node[b]), np.minimum(node[a], node[b]), apart))
+                    group, a, b = tree_links(group, a[order], b[order])
+                if len(a):
+                    yield pd.DataFrame({"a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b])})
+
+    return written(dealt(prints, words, blocks).mapInPandas(pairs, "a long, b long").distinct(), "candidates")
+
+
+def judged(pairs: DataFrame, texts: DataFrame, shingle: int, jaccard: float) -> DataFrame:
+    """(a, b, ok), written: whether the shingle sets of two nodes have a Jaccard of ``jaccard`` or more; ``texts`` has node and text."""
+
+    @F.pandas_udf("binary")
+    def grams(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(gram_hashes(t, shingle)).tobytes() for t in texts], dtype=object)
+
+    @F.pandas_udf("boolean")
+    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b, strict=True):
+            x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(both >= jaccard * (len(x) + len(y) - both) - 1e-9)
+        return pd.Series(out, dtype=bool)
+
+    sets = written(texts.dropDuplicates(["node"]).select("node", grams("text").alias("grams")), "sets")
+    pairs = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
+    return written(pairs.select("a", "b", similar("x", "y").alias("ok")), "judged")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, words: int = 5, blocks: int = 6, word_distance: int = 24, distance: int = 72, jaccard: float = JACCARD) -> DataFrame:
     """The rows of ``docs`` less near-duplicates: of each group of linked texts the row of least doc_id stays (null last), then of least text hash.
 
+    Texts link if the Jaccard of their sets of shingles is ``jaccard`` or more. Fingerprints of the sets only give the candidates: first pairs
+    that join each block value, then, where one of those is not similar, all other pairs around it that links don't join yet.
+
     Of wholly equal rows (doc_id and text) one stays. Null texts count as empty, and texts without words are one group. All columns
     stay. An empty table gives an empty result.
     """
     columns = docs.columns
     hashed = F.sha2(F.coalesce("text", F.lit("")), 256)
     id_ = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    made = written(fingerprints(docs.select("doc_id", "text"), shingle, words).select("fingerprint", "doc_id", id_.alias("_id"), hashed.alias("_hash")), "fingerprints")
-    known = written(roots_of(made, words, blocks, word_distance, distance), "roots")
+
+    @F.pandas_udf("node long, n int, fingerprint binary")
+    def sketch(texts: pd.Series) -> pd.DataFrame:
+        sets = [np.unique(gram_hashes(t, shingle)) for t in texts]
+        node = [xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) for x in sets]
+        return pd.DataFrame({"node": node, "n": [len(x) for x in sets], "fingerprint": [hashes_fingerprint(x, words) for x in sets]})
+
+    made = docs.select("doc_id", id_.alias("_id"), hashed.alias("_hash"), sketch("text").alias("_made")).select("doc_id", "_id", "_hash", "_made.*")
+    made = written(made, "fingerprints")
+    prints = made.select("node", "n", "fingerprint").distinct()
+    size = (words, blocks, word_distance, distance, jaccard)
+
+    def check(pairs: DataFrame) -> DataFrame:
+        met = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        where = made.groupBy("node").agg(F.min(F.struct("_id", "_hash")).alias("at")).join(met, "node").select("node", "at.*")
+        return judged(pairs, docs.select(id_.alias("_id"), hashed.alias("_hash"), "text").join(where, ["_id", "_hash"]).select("node", "text"), shingle, jaccard)
+
+    checked = check(candidates(prints, False, *size))
+    links = checked.filter("ok").select("a", "b")
+    roots = written(components(links), "roots")
+    failed = checked.filter("not ok")
+    if not failed.isEmpty():
+        loose = written(components(checked.select("a", "b")), "loose")
+        open_ = loose.join(failed.select(F.col("a").alias("node")), "node").select("root").distinct()
+        open_ = loose.join(open_, "root", "left_semi").select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("group"))
+        more = check(candidates(prints.join(open_, "node"), True, *size).join(failed, ["a", "b"], "left_anti"))
+        roots = written(components(links.unionByName(more.filter("ok").select("a", "b"))), "roots")
+    known = prints.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("_root"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("_id"), F.col("_hash"))
-    first = made.groupBy("fingerprint").agg(F.min(order).alias("first")).join(known, "fingerprint").groupBy("_root").agg(F.min("first").alias("first"))
+    first = made.groupBy("node").agg(F.min(order).alias("first")).join(known, "node").groupBy("_root").agg(F.min("first").alias("first"))
     stay = written(first.select("first._id", "first._hash"), "representatives")
     kept = docs.withColumn("_id", id_).withColumn("_hash", hashed).join(stay, ["_id", "_hash"], "left_semi")
     if not made.groupBy("_id", "_hash").count().filter("count > 1").isEmpty():

@@ -276,6 +276,29 @@ def test_simhash(spark, odd, none, monkeypatch):
     assert simhash.one_of_each(none, **simhash.SIMILAR).count() == 0
 
 
+def test_near_duplicates_by_jaccard(spark):
+    """Pairs link from a Jaccard of 0.8 on and not below, repeated lines or not: against the sets of five-word shingles."""
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    texts = []
+    for i in range(240):
+        own = [word() for _ in range(200)]
+        other = own[:]
+        for at in rng.sample(range(4, 196), 1 + i % 9):
+            other[at] = word()
+        texts += [" ".join(own), " ".join(other)]
+    line = " ".join(word() for _ in range(8))
+    texts += [" ".join([line] * 40 + [word() for _ in range(60)]) for _ in range(6)]
+    grams = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    close = lambda x, y: len(x & y) >= 0.8 * len(x | y)
+    pairs = [close(grams(a), grams(b)) for a, b in zip(texts[:480:2], texts[1:480:2], strict=True)]
+    assert 60 < sum(pairs) < 180
+    kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), **simhash.SIMILAR).collect()}
+    wrong = [i for i, p in enumerate(pairs) if not p and not {2 * i, 2 * i + 1} <= kept]
+    missed = [i for i, p in enumerate(pairs) if p and 2 * i + 1 in kept]
+    assert not wrong and len(missed) <= 0.01 * sum(pairs) and set(range(480, 486)) <= kept
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (7, 7)]
     found = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
