@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: Rows that a side may have to be broadcast; beyond it, joins shuffle.
 BROADCAST_ROWS = 50_000
 
+#: Whole texts that a Python worker gets at once; what follows from them may be many times larger.
+TEXT_BATCH = 1000
+
 #: The columns of the documents table, in order.
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -72,20 +75,38 @@ def power_of_two(n: float) -> int:
 
 
 def release(df: DataFrame) -> None:
-    """Let Spark's cleaner drop the shuffle files of steps that are done."""
+    """Let Spark's cleaner drop the shuffle files of steps that are done; it waits for collected references."""
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
-def numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
-    """``docs`` (doc_id, text) plus rid, which orders documents; and whether rows may share one.
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for temporary columns that no column of ``df`` has, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def lean_batches(spark: SparkSession, rows: int = TEXT_BATCH) -> None:
+    """Let Python workers get at most ``rows`` whole texts at once, from here on in this session; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) plus rid, unlike for all rows, which orders documents.
 
-    Usually rid is the doc_id. If doc_ids are null or repeat, rows are numbered by doc_id (null last), then by text hash.
+    Usually rid is the doc_id. If doc_ids are null or repeat, rows are sorted by doc_id (null last), then by a hash of the text, wholly equal
+    rows in any order, and numbered in that order; the range sort spreads equal rows by a hash of their place, so no task gets them all.
     """
     known = docs.agg(F.count("*").alias("n"), F.count("doc_id").alias("ids")).first()
     if known["n"] == known["ids"] == docs.select("doc_id").distinct().count():
-        return docs.withColumn("rid", F.col("doc_id").cast("long")), False
-    keyed = docs.withColumn("_hash", F.sha2(F.coalesce("text", F.lit("")), 256)).withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    order = keyed.select("doc_id", "_id", "_hash").distinct().orderBy(F.col("doc_id").asc_nulls_last(), "_hash")
-    order = written(order.withColumn("rid", F.monotonically_increasing_id()).drop("doc_id"), "order")
-    return written(keyed.join(order, ["_id", "_hash"]).drop("_id", "_hash"), "numbered"), True
+        return docs.withColumn("rid", F.col("doc_id").cast("long"))
+    keyed = docs.withColumn("_hash", F.xxhash64("text")).withColumn("_place", F.xxhash64(F.monotonically_increasing_id()))
+    order = keyed.orderBy(F.col("doc_id").asc_nulls_last(), "_hash", F.sha2(F.coalesce("text", F.lit("")), 256), "_place")
+    return written(order.withColumn("rid", F.monotonically_increasing_id()).drop("_hash", "_place"), "numbered")
