@@ -1,7 +1,8 @@
 """Quality by nearest-neighbour voting in a latent semantic space.
 
 Text becomes hashed counts of its byte n-grams plus a few terms for its shape; the space is the truncated SVD of a
-bounded sample of labelled rows. The labelled vectors (at most ``2 * PER_CLASS`` of ``RANK`` floats, about 0.6 MB) are
+bounded sample of labelled rows, found by one task in a fixed number of subspace iterations over at most ``2 * PER_CLASS`` vectors
+(33 MB). Only the axes and the labelled vectors in them (``RANK`` floats each, about 1.2 MB) come to the driver and are
 broadcast. Every document is compared with all of them, exactly, in blocks of cosine products; its nearest neighbours
 vote with their similarity.
 """
@@ -9,23 +10,25 @@ vote with their similarity.
 from __future__ import annotations
 
 import math
+import pickle
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import lean_batches
+
 #: Labelled rows of each class that the model may hold; the rows are chosen by hash.
-PER_CLASS = 1500
-TERMS = 1024  # a power of two
-RANK = 48
+PER_CLASS = 2000
+TERMS = 2048  # a power of two
+RANK, SPARE, ROUNDS = 48, 16, 12
 NEIGHBOURS = 25
 POWER = 4
 BLOCK = 512
 THRESHOLD = 0.7
 
 
-
 def term_vector(text: str | None) -> np.ndarray:
     """Unit vector of log counts of byte 2-grams and 3-grams, and of shape terms."""
     data = (text or "").encode("utf-8", "replace")
@@ -51,6 +54,17 @@ def term_vector(text: str | None) -> np.ndarray:
     return np.concatenate([vector, 0.5 * shape]).astype(np.float32)
 
 
+def principal_axes(vectors: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """The RANK leading right singular vectors of ``vectors - mean``, by subspace iteration from a fixed start."""
+    n, d = vectors.shape
+    q = np.linalg.qr(np.random.Generator(np.random.PCG64(5)).normal(size=(d, min(d, RANK + SPARE))))[0].astype(np.float32)
+    for _ in range(ROUNDS):
+        y = vectors @ q - mean @ q
+        q = np.linalg.qr((vectors.T @ y - np.outer(mean, y.sum(axis=0))).astype(np.float64))[0].astype(np.float32)
+    y = (vectors @ q - mean @ q).astype(np.float64)
+    return (q @ np.linalg.eigh(y.T @ y)[1][:, ::-1][:, :RANK]).astype(np.float32)
+
+
 class Model:
     """The latent space and the labelled vectors in it."""
 
@@ -58,11 +72,9 @@ class Model:
         """shares: of label 0 and of label 1 among all labelled rows that may be learned from."""
         self.prior = shares[1]
         self.mean = vectors.mean(axis=0, dtype=np.float64).astype(np.float32)
-        centred = (vectors - self.mean).astype(np.float64)
-        values, axes = np.linalg.eigh(centred.T @ centred)
-        self.axes = axes[:, ::-1][:, :RANK].astype(np.float32)
+        self.axes = principal_axes(vectors, self.mean)
         self.labels = labels.astype(np.float32)
-        self.known = self.unit((vectors - self.mean) @ self.axes)
+        self.known = self.unit(vectors @ self.axes - self.mean @ self.axes)
         held = [max(1, int((labels == c).sum())) for c in (0, 1)]
         self.weights = np.where(labels == 1, shares[1] / held[1], shares[0] / held[0]).astype(np.float32)
         self.weights /= self.weights.mean()
@@ -72,13 +84,14 @@ class Model:
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
     def scores(self, vectors: np.ndarray) -> np.ndarray:
-        points = self.unit((vectors - self.mean) @ self.axes)
+        """Share of label 1 among the votes of the NEIGHBOURS most similar vectors; all that tie with the last of them vote too."""
+        points = self.unit(vectors @ self.axes - self.mean @ self.axes)
         near = points @ self.known.T
-        k = min(NEIGHBOURS, near.shape[1])
-        best = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        votes = np.maximum(np.take_along_axis(near, best, axis=1), 0) ** POWER * self.weights[best]
+        k = near.shape[1] - min(NEIGHBOURS, near.shape[1])
+        least = np.partition(near, k, axis=1)[:, k : k + 1]
+        votes = np.where(near >= least, np.maximum(near, 0) ** POWER * self.weights, 0)
         total = votes.sum(axis=1)
-        return np.where(total > 0, (votes * self.labels[best]).sum(axis=1) / np.maximum(total, 1e-12), self.prior)
+        return np.where(total > 0, votes @ self.labels / np.maximum(total, 1e-12), self.prior).clip(0, 1)
 
 
 def held_out(doc_id) -> F.Column:
@@ -100,17 +113,24 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
 
     @F.pandas_udf("binary")
     def vector(texts: pd.Series) -> pd.Series:
-        return pd.Series([term_vector(t).astype(np.float16).tobytes() for t in texts], dtype=object)
+        return pd.Series([term_vector(t).tobytes() for t in texts], dtype=object)
 
+    # one row for each document, of which there are at most 2 * per_class; a broadcast of as many ids
+    chosen = chosen.groupBy("doc_id").agg(F.collect_list("quality").alias("quality"))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", vector("text").alias("v"))
-    # at most one text for each chosen row, should ids repeat
-    rows = rows.groupBy("doc_id", "quality").agg(F.min("v").alias("v")).collect()
-    if not rows:
-        return None
-    rows.sort(key=lambda r: (r["doc_id"], r["quality"]))
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("v", "quality")).alias("r")).select("doc_id", "r.*")
     total = sum(shares.values())
-    vectors = np.stack([np.frombuffer(r["v"], dtype=np.float16) for r in rows]).astype(np.float32)
-    return Model(vectors, np.array([r["quality"] for r in rows]), (shares.get(0, 0) / total, shares.get(1, 0) / total))
+    known = (shares.get(0, 0) / total, shares.get(1, 0) / total)
+
+    def train(batches):
+        held = [(i, q, np.frombuffer(v, dtype=np.float32)) for pdf in batches for i, qs, v in zip(pdf["doc_id"], pdf["quality"], pdf["v"], strict=True) for q in sorted(qs)]
+        if held:
+            held.sort(key=lambda r: r[:2])
+            labels = np.array([q for _, q, _ in held])
+            yield pd.DataFrame({"model": [pickle.dumps(Model(np.stack([v for _, _, v in held]), labels, known))]})
+
+    found = rows.repartition(1).mapInPandas(train, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else None
 
 
 def score(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
@@ -118,8 +138,11 @@ def score(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Dat
 
     A null text counts as empty; empty texts are points like others. Without any labelled row to learn from, every score
     is 1, so that nothing is rejected. Null labels, and labels of unknown documents, are ignored; repeated labels of a
-    document count once each. Null doc_ids count as held out. Repeated rows stay. Input columns named like results are replaced.
+    document count once each. Null doc_ids count as held out. Repeated rows stay. Neighbours that tie with the last one all vote. A very long
+    text is counted whole, by one task, in about twenty times its size. An empty table gives an empty result. Input columns named like
+    results are replaced.
     """
+    lean_batches(docs.sparkSession)
     docs = docs.drop("held_out", "score", "predicted")
     model = fit(docs, labels, per_class)
     if model is None:
