@@ -8,6 +8,7 @@ that covers enough of its template gives the template's label.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections import defaultdict
 
@@ -15,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import free_names, lean_batches
+
 # The phrases and their labels.
 PHRASES = {
     "cc by": "cc-by",
@@ -122,7 +125,7 @@ class Scanner:
             self.phrases_at.append(found)
 
     def scan(self, text: str | None) -> tuple:
-        """(n_words, base places as (start, phrase), {template: (first word, last word, words matched)})."""
+        """(n_words, base places as (start, phrase), {template: chains}, see ``chain``)."""
         words, get = words_of(text), self.ids.get
         m, least = self.machine, LEAST_MATCH
         step, link, length = m.next, m.link, m.length
@@ -153,11 +156,14 @@ class Scanner:
         return len(words), places, {t: self.chain(found) for t, found in matches.items()}
 
     @staticmethod
-    def chain(matches: list[tuple[int, int, int]]) -> tuple[int, int, int]:
-        """Best chain of (text start, template start, words): both starts rise, gaps stay narrow, overlaps count once."""
+    def chain(matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        """Chains of (text start, template start, words) as (first word, last word, words matched), the best ones that don't overlap, in text order.
+
+        Inside a chain both starts rise, gaps stay narrow, overlaps count once. Of equal chains the earlier one counts.
+        """
         matches.sort()
         best: list[tuple[int, int]] = []  # words, first word of the chain
-        first, out = 0, (0, 0, 0)
+        first = 0
         for n, (at, of, size) in enumerate(matches):
             most, begin = size, at
             while matches[first][0] + matches[first][2] + WIDEST_GAP < at and first < n:
@@ -168,48 +174,60 @@ class Scanner:
                 if x < at and y < of and of - (y + z) <= WIDEST_GAP and over < size and best[k][0] + size - over > most:
                     most, begin = best[k][0] + size - over, best[k][1]
             best.append((most, begin))
-            if most > out[2]:
-                out = (begin, at + size - 1, most)
+        out: list[tuple[int, int, int]] = []  # disjoint, in text order
+        for k in sorted(range(len(matches)), key=lambda k: (-best[k][0], k)):
+            (words, begin), last = best[k], matches[k][0] + matches[k][2] - 1
+            place = bisect.bisect_left(out, (begin,))
+            if (not place or out[place - 1][1] < begin) and (place == len(out) or last < out[place][0]):
+                out.insert(place, (begin, last, words))
         return out
 
     def report(self, text: str | None) -> tuple:
         n, places, spans = self.scan(text)
         base = {self.labels[p] for _, p in places}
-        cover = {t: min(1.0, words / self.sizes[t]) for t, (_, _, words) in spans.items()}
-        own = {self.labels[t] for t, c in cover.items() if c >= LEAST_COVER and t >= self.n_phrases}
+        cover = [(min(1.0, words / self.sizes[t]), a, b, t) for t, own in spans.items() for a, b, words in own]
+        kept = sorted((a, b, self.labels[t]) for c, a, b, t in cover if c >= LEAST_COVER and t >= self.n_phrases)
         starts = [at for at, _ in places]
-        kept = sorted((a, b, self.labels[t]) for t, (a, b, _) in spans.items() if cover[t] >= LEAST_COVER and t >= self.n_phrases)
-        score = max([*cover.values(), 1.0 if places else 0.0, 0.0])
-        return (n, len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | own)), score, [f"{a}-{b}:{label}" for a, b, label in kept])
+        score = max([*(c for c, *_ in cover), 1.0 if places else 0.0, 0.0])
+        labels = base | {label for *_, label in kept}
+        return (n, len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, [f"{a}-{b}:{label}" for a, b, label in kept])
 
 
-_scanner: Scanner | None = None
+_scanners: dict[str, Scanner] = {}
 
 
-def scanner() -> Scanner:
-    global _scanner
-    _scanner = _scanner or Scanner()
-    return _scanner
+def scanner(known: tuple) -> Scanner:
+    """The worker's scanner of (phrases, templates), built once."""
+    name = repr(known)
+    if name not in _scanners:
+        _scanners.clear()
+        _scanners[name] = Scanner(*known)
+    return _scanners[name]
 
 
 REPORT = "struct<n_words: bigint, n_base: bigint, first_word: bigint, last_word: bigint, base_labels: string, labels: string, score: double, spans: array<string>>"
 
 
-def scan_licences(docs: DataFrame) -> DataFrame:
+def scan_licences(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """``docs`` plus n_words, n_base, first_word, last_word, base_labels, labels, score and spans (``first-last:label``).
 
     Null texts count as empty: 0 words, no labels (empty strings), score 0. first_word and last_word are null without a
-    base place. The score is the largest share of a template that a span covers, 1 with a base place. Null ids and
-    repeated rows pass through; an empty table gives an empty result. Input columns named like results are replaced.
+    base place. A template that stands several times has a span for each. The score is the largest share of a template that a span
+    covers, 1 with a base place. A very long text is one list of words in one task, about ten times its size. Null ids and
+    repeated rows pass through; an empty table gives an empty result. Input columns named like results are replaced, all others stay.
     """
+    lean_batches(docs.sparkSession)
+    known = (dict(phrases), list(templates))
 
     @F.pandas_udf(REPORT)
     def report(texts: pd.Series) -> pd.DataFrame:
-        found = [scanner().report(t) for t in texts]
+        own = scanner(known)
+        found = [own.report(t) for t in texts]
         names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
         frame = pd.DataFrame(found, columns=names)
         return frame.astype({"n_words": "int64", "n_base": "int64", "first_word": "Int64", "last_word": "Int64", "score": "float64"})
 
     made = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")
-    out = docs.drop(*made).withColumn("_report", report(F.col("text")))
-    return out.select("*", *[F.col(f"_report.{c}").alias(c) for c in made]).drop("_report")
+    docs = docs.drop(*made)
+    (own,) = free_names(docs, "_report")
+    return docs.withColumn(own, report(F.col("text"))).select(*docs.columns, *[F.col(f"{own}.{c}").alias(c) for c in made])
