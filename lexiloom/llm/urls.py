@@ -1,9 +1,10 @@
 """URL filters from hand-written host/path rules and mined association rules.
 
-A url's tokens (scheme, top-level and registered domain, first host label, path segments, extension, query keys) and its
-label make a transaction. Spark's FP-growth finds the frequent ones among the labelled urls; rules towards a label
-are kept by support and confidence, less those that a shorter rule already says as surely. At most ``SLOTS`` tokens a url
-bound the rules by 2^SLOTS / support, whatever the corpus holds.
+A url's tokens (scheme, every host label by its place from the right, every path segment by its place, extension, every query key) and
+its label make a transaction. Tokens that are frequent among the labelled urls and always come together count as one, named by the
+first of them. Spark's FP-growth finds the frequent sets of these; rules of at most ``LONGEST`` tokens towards a label are kept by support
+and confidence, less those that a shorter rule already says as surely. Frequent tokens are at most the mean number of tokens by the
+support, whatever the corpus holds.
 
 Rules match through an inverted index, token to rules: urls are first reduced to the distinct sets of tokens that occur
 in rules at all, a set fires a rule when all of the rule's tokens are found, and its surest rule decides.
@@ -18,9 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import bounded_join, written
+from .shared import bounded_join, free_names, written
 
-SLOTS = 10
+#: Tokens (those that always come together are one) that a rule may name.
+LONGEST = 4
 SUPPORT = 0.01
 CONFIDENCE = 0.8
 DEFAULT = "allow"
@@ -53,39 +55,59 @@ def rule_column(host: Column, path: Column, rules: list[tuple[str, str]], give)
 
 
 def url_tokens(url: Column) -> Column:
-    """At most ``SLOTS`` distinct tokens of a url; digits inside segments count as one class."""
+    """The distinct tokens of a url; digits inside segments count as one class."""
     host, path, after = url_parts(url)
-    labels = F.split(host, r"\.")
-    n = F.size(labels)
+    labels = F.reverse(F.filter(F.split(host, r"\."), lambda x: x != ""))
+    named = lambda name: lambda x, i: F.concat(F.lit(name), i.cast("string"), F.lit("="), x)
+    domain = F.when(F.size(labels) >= 2, F.concat(F.lit("domain="), labels[1], F.lit("."), labels[0]))
     steps = F.filter(F.split(F.regexp_replace(path, r"[0-9]+", "#"), "/"), lambda x: x != "")
-    step = lambda i: F.get(steps, F.lit(i))
     query = F.regexp_extract(after, r"\?([^#]*)", 1)
     keys = F.filter(F.transform(F.split(query, "&"), lambda x: F.regexp_extract(x, r"^[^=]*", 0)), lambda x: x != "")
     ending = F.regexp_extract(path, r"\.([A-Za-z0-9]{1,8})$", 1)
     scheme = F.regexp_extract(F.coalesce(url, F.lit("")), r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1)
-    slots = [
+    single = F.array(
         F.when(scheme != "", F.concat(F.lit("scheme="), lower_ascii(scheme))),
-        F.when(host != "", F.concat(F.lit("top="), F.element_at(labels, -1))),
-        F.when(n >= 2, F.concat(F.lit("domain="), F.concat_ws(".", F.slice(labels, F.greatest(n - 1, F.lit(1)), 2)))),
-        F.when(n >= 3, F.concat(F.lit("sub="), F.get(labels, F.lit(0)))),
-        F.concat(F.lit("step0="), step(0)),
-        F.concat(F.lit("step1="), step(1)),
+        domain,
         F.when(ending != "", F.concat(F.lit("ending="), lower_ascii(ending))),
-        F.concat(F.lit("key="), F.get(keys, F.lit(0))),
-        F.concat(F.lit("key="), F.get(keys, F.lit(1))),
         F.when(after.contains("#"), F.lit("fragment")),
-    ]
-    assert len(slots) == SLOTS
-    return F.array_distinct(F.array_compact(F.array(*slots)))
+    )
+    many = F.concat(F.transform(labels, named("host")), F.transform(steps, named("step")), F.transform(keys, lambda x: F.concat(F.lit("key="), x)))
+    return F.array_distinct(F.concat(F.array_compact(single), many))
+
+
+def together(tokens: DataFrame, least: float) -> tuple[list[str], dict[str, list[str]]]:
+    """(frequent tokens, classes): of ``tokens`` (tokens) those in ``least`` rows or more, and by their first member those that always come together.
+
+    Tokens of a class have equal counts, also as pairs. Only frequent ones pair up, and only equal counts come to the driver.
+    """
+    counts = written(tokens.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("n")).filter(F.col("n") >= least), "token-counts")
+    count_of = {r["t"]: r["n"] for r in counts.collect()}
+    frequent = sorted(count_of)
+    known = F.array_sort(F.array_intersect("tokens", F.array(*[F.lit(t) for t in frequent]) if frequent else F.array().cast("array<string>")))
+    pairs = tokens.select(known.alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+    pairs = pairs.select("n", F.explode(F.transform("k", lambda x, i: F.struct(x.alias("a"), F.slice("k", i + 2, F.size("k")).alias("later")))).alias("p"))
+    pairs = pairs.select("n", "p.a", F.explode("p.later").alias("b")).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    side = lambda at: counts.select(F.col("t").alias(at), F.col("n").alias(f"n_{at}"))
+    equal = bounded_join(bounded_join(pairs, side("a"), ["a"], "inner"), side("b"), ["b"], "inner").filter("n = n_a and n = n_b").select("a", "b").collect()
+    lead = {}
+    for a, b in sorted((r["a"], r["b"]) for r in equal):
+        lead[b] = min(lead.get(b, a), lead.get(a, a))
+    classes: dict[str, list[str]] = {}
+    for t in frequent:
+        classes.setdefault(lead.get(t, t), []).append(t)
+    return frequent, classes
 
 
 def mine_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> list[tuple[frozenset, str, float, float]]:
     """(tokens, verdict, confidence, support) from (tokens, verdict) rows, the surest first."""
-    items = labelled.filter("verdict is not null").select(F.concat("tokens", F.array(F.concat(F.lit(LABEL), "verdict"))).alias("items"))
-    if items.isEmpty():
+    rows = written(labelled.filter("verdict is not null").select("tokens", "verdict"), "labelled-urls")
+    if not (n := rows.count()):
         return []
+    _, classes = together(rows, support * n)
+    leads = F.array(*[F.lit(t) for t in classes]) if classes else F.array().cast("array<string>")
+    items = rows.select(F.concat(F.array_intersect("tokens", leads), F.array(F.concat(F.lit(LABEL), "verdict"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
-    towards = F.col("consequent")[0].startswith(LABEL) & ~F.exists("antecedent", lambda x: x.startswith(LABEL))
+    towards = F.col("consequent")[0].startswith(LABEL) & ~F.exists("antecedent", lambda x: x.startswith(LABEL)) & (F.size("antecedent") <= LONGEST)
     found = [(frozenset(r["antecedent"]), r["consequent"][0].removeprefix(LABEL), r["confidence"], r["support"]) for r in model.associationRules.filter(towards).collect()]
     found.sort(key=lambda r: (len(r[0]), -r[2], r[1], sorted(r[0])))
     kept: dict[frozenset, list[tuple[str, float]]] = {}
@@ -96,7 +118,7 @@ def mine_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float
         # what shorter rules say of any part is handed up, so that only direct parts need a look
         kept.setdefault(tokens, []).append((verdict, max(sure, said)))
         if sure > said:
-            out.append((tokens, verdict, sure, share))
+            out.append((frozenset(t for lead in tokens for t in classes[lead]), verdict, sure, share))
     return sorted(out, key=lambda r: (-r[2], -r[3], len(r[0]), r[1], sorted(r[0])))
 
 
@@ -115,24 +137,26 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], labelled: DataFrame |
 
     The longest (verdict, rule) of ``rules`` that fits decides; else the surest mined rule, else ``default``. The labels are
     ``labelled`` (url, verdict), by default the pages that the given rules decide. Null urls and those without ``://`` have an empty
-    host and path and get the verdict of their (few) tokens. Null ids and repeated rows pass through. An empty table gives an empty result.
-    Input columns named like results are replaced.
+    host and path and get the verdict of their (few) tokens. Null ids and repeated rows pass through; rules that tie in confidence go by support, then
+    the shorter one, then the verdict. A very long url has as many tokens as parts. An empty table gives an empty result. Input columns
+    named like results are replaced, all others stay.
     """
     pages = pages.drop("host", "path", "rule", "verdict")
+    given, tokens, known, said = free_names(pages, "_given", "_tokens", "_known", "_mined")
     host, path, _ = url_parts(F.col("url"))
     seen = pages.withColumn("host", host).withColumn("path", path)
     seen = seen.withColumn("rule", rule_column(F.col("host"), F.col("path"), rules, lambda v, r: r))
-    seen = seen.withColumn("_given", rule_column(F.col("host"), F.col("path"), rules, lambda v, r: v)).withColumn("_tokens", url_tokens(F.col("url")))
+    seen = seen.withColumn(given, rule_column(F.col("host"), F.col("path"), rules, lambda v, r: v)).withColumn(tokens, url_tokens(F.col("url")))
     seen = written(seen, "urls")
     if labelled is None:
-        labelled = seen.select(F.col("_tokens").alias("tokens"), F.col("_given").alias("verdict"))
+        labelled = seen.select(F.col(tokens).alias("tokens"), F.col(given).alias("verdict"))
     else:
         labelled = labelled.select(url_tokens(F.col("url")).alias("tokens"), "verdict")
     mined = mine_rules(labelled, support, confidence)
     if not mined:
-        return seen.withColumn("verdict", F.coalesce("_given", F.lit(default))).drop("_given", "_tokens")
-    used = sorted({t for tokens, *_ in mined for t in tokens})
-    seen = seen.withColumn("_known", F.array_sort(F.array_intersect("_tokens", F.array(*[F.lit(t) for t in used])))).drop("_tokens")
-    decided = written(fire(seen.select(F.col("_known").alias("known")).distinct(), mined), "url-sets").withColumnRenamed("known", "_known").withColumnRenamed("decided", "_mined")
-    out = bounded_join(seen, decided, ["_known"])
-    return out.withColumn("verdict", F.coalesce("_given", "_mined", F.lit(default))).drop("_given", "_mined", "_known")
+        return seen.withColumn("verdict", F.coalesce(given, F.lit(default))).drop(given, tokens)
+    used = sorted({t for own, *_ in mined for t in own})
+    seen = seen.withColumn(known, F.array_sort(F.array_intersect(tokens, F.array(*[F.lit(t) for t in used])))).drop(tokens)
+    decided = fire(seen.select(F.col(known).alias("known")).distinct(), mined).select(F.col("known").alias(known), F.col("decided").alias(said))
+    out = bounded_join(seen, written(decided, "url-sets"), [known])
+    return out.withColumn("verdict", F.coalesce(given, said, F.lit(default))).drop(given, said, known)
