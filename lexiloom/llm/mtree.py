@@ -7,9 +7,13 @@ Vectors go to the nearest of a bounded set of pivots (at most ``PIVOTS``, taken
 is dealt out to several trees by hash. Each tree is bulk-loaded into pages: a page knows its routing centre, its covering radius
 and its distance to the parent's centre, a leaf also each entry's distance to the centre. The pages are a written table.
 
-Queries are packed into blocks of ``BLOCK``. A work unit is one tree against one block, both bounded. Each query walks the
-tree best first, opening the page of the least lower bound; pages and entries that the stored distances and the triangle
-inequality rule out are never compared. The pivots give every query a first bound. Bounds only prune; scores are exact integers.
+Queries go to the nearest pivot too, and each pivot's are packed into blocks of ``BLOCK``: near queries stand together. The pivots give
+every query a first bound, its own cell's first tree a close one. Trees whose root ball no query of the block can reach within its
+bound never meet the block: the root centres and radii are one row a tree, counted and broadcast, and only (tree, block) pairs
+that remain are joined. A work unit is one tree against one block, both bounded. Each query walks the tree best first, opening
+the page of the least lower bound; pages and entries that the stored distances and the triangle inequality rule out are never
+compared. Bounds only prune; scores are exact integers. Where vectors lie so that no ball can be ruled out, every block meets
+every tree, as any exact search must.
 """
 
 from __future__ import annotations
@@ -20,7 +24,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .shared import written
 
@@ -31,15 +34,18 @@ BLOCK = 4096
 SCALE = 256.0
 SLACK = 1e-6
 
-PAGE = "tree int, page int, up int, centre binary, radius double, up_distance double, ids binary, vectors binary, distances binary"
+#: Root balls that may be broadcast.
+ROOTS = 20_000
+
+PAGE = "tree int, page int, up int, centre binary, radius double, up_distance double, ids binary, rows binary, vectors binary, distances binary"
 
 
 def quantised(vectors: DataFrame) -> DataFrame:
-    """(vec_id, q): floor(256 * x) of the rows that take part."""
+    """``vectors`` with vec_id as long and q, floor(256 * x), instead of embedding; only rows that take part."""
     good = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     scaled = F.transform("embedding", lambda x: F.floor(x.cast("double") * F.lit(SCALE)).cast("long"))
-    return vectors.filter(good & F.coalesce(finite, F.lit(False))).select(F.col("vec_id").cast("long"), scaled.alias("q"))
+    return vectors.filter(good & F.coalesce(finite, F.lit(False))).withColumn("vec_id", F.col("vec_id").cast("long")).withColumn("q", scaled).drop("embedding")
 
 
 def matrix(column: pd.Series, dim: int) -> np.ndarray:
@@ -67,7 +73,7 @@ def halves(points: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     return [at[order[: len(at) // 2]], at[order[len(at) // 2 :]]]
 
 
-def pages_of(tree: int, ids: np.ndarray, vectors: np.ndarray, most: float) -> list[tuple]:
+def pages_of(tree: int, ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray, most: float) -> list[tuple]:
     """Pages of a bulk-loaded tree, parents first."""
     points, out = lift(vectors, most), []
     todo = [(np.arange(len(ids)), -1, None)]
@@ -77,7 +83,7 @@ def pages_of(tree: int, ids: np.ndarray, vectors: np.ndarray, most: float) -> li
         centre = p[int(np.argmin(distances(p, p.mean(axis=0, keepdims=True))))]
         away = distances(p, centre[None, :])
         page, leaf = len(out), len(at) <= LEAF
-        held = (ids[at].tobytes(), vectors[at].astype(np.int64).tobytes(), away.tobytes()) if leaf else (b"", b"", b"")
+        held = (ids[at].tobytes(), rows[at].tobytes(), vectors[at].astype(np.int64).tobytes(), away.tobytes()) if leaf else (b"", b"", b"", b"")
         up_distance = 0.0 if up_centre is None else float(distances(centre[None, :], up_centre[None, :])[0])
         out.append((tree, page, up, centre.tobytes(), float(away.max()), up_distance, *held))
         if not leaf:
@@ -95,13 +101,14 @@ class Tree:
         self.radius = rows["radius"].to_numpy()
         self.up_distance = rows["up_distance"].to_numpy()
         self.ids = [np.frombuffer(x, dtype=np.int64) for x in rows["ids"]]
+        self.rows = [np.frombuffer(x, dtype=np.int64) for x in rows["rows"]]
         self.vectors = [np.frombuffer(x, dtype=np.int64).reshape(-1, dim).astype(np.float64) for x in rows["vectors"]]
         self.away = [np.frombuffer(x) for x in rows["distances"]]
         self.children: list[np.ndarray] = [np.flatnonzero(rows["up"].to_numpy() == p) for p in range(len(rows))]
         self.most = most
 
-    def search(self, query_id: int, q: np.ndarray, k: int, floor: float) -> list[tuple[int, int]]:
-        """The k best (score, vec_id) of at least ``floor``, fewer if fewer reach it; equal scores to the smaller id."""
+    def search(self, row: int, q: np.ndarray, k: int, floor: float) -> list[tuple[int, int]]:
+        """The k best (score, vec_id) of at least ``floor`` but for the query's own ``row``, fewer if fewer reach it; equal scores to the smaller id."""
         square = float(q @ q)
         lifted = np.append(q, 0.0)
         slack = SLACK * (1.0 + square + self.most)
@@ -129,11 +136,11 @@ class Tree:
                             heapq.heappush(heap, (low, c, d))
                 continue
             may = np.abs(to_centre - self.away[page]) <= far
-            ids, vectors = self.ids[page], self.vectors[page]
+            ids, rows, vectors = self.ids[page], self.rows[page], self.vectors[page]
             if not may.all():
-                ids, vectors = ids[may], vectors[may]
+                ids, rows, vectors = ids[may], rows[may], vectors[may]
             scores = vectors @ q
-            keep = (scores >= bound) & (ids != query_id)
+            keep = (scores >= bound) & (rows != row)
             if keep.any():
                 best = sorted([*best, *zip(scores[keep].tolist(), ids[keep].tolist(), strict=True)], key=lambda x: (-x[0], x[1]))[:k]
                 if len(best) == k:
@@ -141,82 +148,118 @@ class Tree:
         return best
 
 
-def build(vectors: DataFrame) -> tuple[DataFrame, dict]:
-    """Index pages over all of ``vectors`` (vec_id, q), as a written table, and what a search needs to know of them."""
-    rows = written(vectors, "vectors")
-    square = F.aggregate("q", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    known = rows.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("q")), F.lit(0)).alias("dim"), F.coalesce(F.max(square), F.lit(0.0)).alias("most")).first()
-    n, dim, most = known["n"], max(1, known["dim"]), known["most"]
-    wanted = min(PIVOTS, max(8, -(-n // (TREE_ROWS // 2))))
-    chosen = rows.withColumn("_o", F.xxhash64(F.lit(3), "vec_id")).orderBy("_o", "vec_id").limit(wanted).collect()
-    pivots = matrix(pd.Series([r["q"] for r in chosen], dtype=object), dim)
-    about = {"n": n, "dim": dim, "most": most, "pivots": pivots, "pivot_ids": np.array([r["vec_id"] for r in chosen], dtype=np.int64)}
-    cells = max(1, min(len(chosen), -(-n // (TREE_ROWS // 2))))
-    shared = vectors.sparkSession.sparkContext.broadcast(about)
+def cell_of(about: dict, spark):
+    """A function of q: the nearest of the pivots that make cells."""
+    shared = spark.sparkContext.broadcast(about)
 
     @F.pandas_udf("int")
     def cell(q: pd.Series) -> pd.Series:
         a = shared.value
-        centres = lift(a["pivots"][:cells], a["most"])
+        centres = lift(a["pivots"][: a["cells"]], a["most"])
         points = lift(matrix(q, a["dim"]), a["most"])
-        gone = (centres**2).sum(axis=1)[None, :] - 2 * points @ centres.T
-        return pd.Series(np.argmin(gone, axis=1).astype(np.int32))
+        return pd.Series(np.argmin((centres**2).sum(axis=1)[None, :] - 2 * points @ centres.T, axis=1).astype(np.int32))
+
+    return cell
 
-    placed = written(rows.withColumn("cell", cell("q")), "cells")
+
+def build(vectors: DataFrame) -> tuple[DataFrame, dict]:
+    """Index pages over all of ``vectors`` (row, vec_id, q), as a written table, and what a search needs to know of them."""
+    square = F.aggregate("q", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    known = vectors.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("q")), F.lit(0)).alias("dim"), F.coalesce(F.max(square), F.lit(0.0)).alias("most")).first()
+    n, dim, most = known["n"], max(1, known["dim"]), known["most"]
+    wanted = min(PIVOTS, max(8, -(-n // (TREE_ROWS // 2))))
+    chosen = vectors.withColumn("_o", F.xxhash64(F.lit(3), "vec_id")).orderBy("_o", "row").limit(wanted).collect()
+    pivots = matrix(pd.Series([r["q"] for r in chosen], dtype=object), dim)
+    cells = max(1, min(len(chosen), -(-n // (TREE_ROWS // 2))))
+    about = {"n": n, "dim": dim, "most": most, "pivots": pivots, "pivot_rows": np.array([r["row"] for r in chosen], dtype=np.int64), "cells": cells}
+    placed = written(vectors.withColumn("cell", cell_of(about, vectors.sparkSession)("q")), "cells")
     # one row for each cell, at most PIVOTS: how many trees it makes and the first of them
     sizes = {r["cell"]: -(-r["n"] // TREE_ROWS) for r in placed.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     first = [sum(sizes.get(i, 0) for i in range(c)) for c in range(cells + 1)]
     of_cell = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("cell") + 1)
-    chunk = F.pmod(F.xxhash64("vec_id"), of_cell([max(1, sizes.get(c, 0)) for c in range(cells)])).cast("int")
+    chunk = F.pmod(F.xxhash64("row"), of_cell([max(1, sizes.get(c, 0)) for c in range(cells)])).cast("int")
     placed = placed.withColumn("tree", (of_cell(first[:cells]) + chunk).cast("int"))
+    about["homes"] = first[:cells]
 
     def load(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id", ignore_index=True)
-        made = pages_of(int(pdf["tree"].iloc[0]), pdf["vec_id"].to_numpy(dtype=np.int64), matrix(pdf["q"], dim), most)
+        pdf = pdf.sort_values("row", ignore_index=True)
+        made = pages_of(int(pdf["tree"].iloc[0]), *(pdf[c].to_numpy(dtype=np.int64) for c in ("vec_id", "row")), matrix(pdf["q"], dim), most)
         return pd.DataFrame(made, columns=[c.split()[0] for c in PAGE.split(", ")])
 
-    about["trees"] = max(1, first[cells])
-    return written(placed.select("tree", "vec_id", "q").groupBy("tree").applyInPandas(load, PAGE), "pages"), about
+    return written(placed.select("tree", "row", "vec_id", "q").groupBy("tree").applyInPandas(load, PAGE), "pages"), about
+
+
+def units(roots: DataFrame, blocks: DataFrame, dim: int, most: float) -> DataFrame:
+    """(tree, block): the work units. ``roots`` has one row a tree; those that a block's queries can't reach within their bounds are left out."""
+    rows = roots.select("tree", "centre", "radius").limit(ROOTS + 1).collect()
+    if len(rows) > ROOTS:  # too many to send: every tree meets every block
+        return roots.select("tree").join(blocks.select("block", "home"), F.col("tree") != F.col("home")).select("tree", "block")
+    held = roots.sparkSession.sparkContext.broadcast((np.array([r["tree"] for r in rows]), np.stack([np.frombuffer(r["centre"]) for r in rows]), np.array([r["radius"] for r in rows])))
+
+    def reachable(batches):
+        trees, centres, radius = held.value
+        for pdf in batches:
+            for block, q, floor in zip(pdf["block"], pdf["q"], pdf["floor"], strict=True):
+                own = np.frombuffer(q, dtype=np.int64).reshape(-1, dim).astype(np.float64)
+                square = (own**2).sum(axis=1)
+                lifted = np.concatenate([own, np.zeros((len(own), 1))], axis=1)
+                far = np.sqrt(np.maximum(0, square + most - 2 * np.frombuffer(floor) + SLACK * (1 + square + most)))
+                near = np.zeros(len(trees), dtype=bool)
+                for i in range(0, len(own), 256):
+                    gone = (lifted[i : i + 256] ** 2).sum(axis=1)[:, None] + (centres**2).sum(axis=1)[None, :] - 2 * lifted[i : i + 256] @ centres.T
+                    slack = SLACK * (1 + square[i : i + 256] + most)
+                    gone = np.sqrt(np.maximum(gone - slack[:, None], 0))
+                    near |= (gone - radius[None, :] <= far[i : i + 256, None]).any(axis=0)
+                yield pd.DataFrame({"tree": trees[near].astype(np.int32), "block": np.full(int(near.sum()), block)})
+
+    return blocks.select("block", "q", "floor").mapInPandas(reachable, "tree int, block string").join(blocks.select(F.col("home").alias("tree"), "block"), ["tree", "block"], "left_anti")
 
 
 def search(pages: DataFrame, about: dict, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the ``queries`` (vec_id, q) against all that ``pages`` hold."""
+    """(query_id, rank, vec_id, score) of the ``queries`` (row, vec_id, q), rows of the index, against all others that ``pages`` hold."""
     spark = pages.sparkSession
     dim, most = about["dim"], about["most"]
-    kind = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("rank", T.IntegerType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
     if not about["n"]:
-        return spark.createDataFrame([], kind)
-    shared = spark.sparkContext.broadcast((about["pivots"], about["pivot_ids"]))
-    asked = written(queries.select("vec_id", "q"), "queries")
-    n_blocks = max(1, -(-asked.count() // BLOCK))
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    shared = spark.sparkContext.broadcast((about["pivots"], about["pivot_rows"]))
+    asked = written(queries.withColumn("cell", cell_of(about, spark)("q")), "queries")
+    counts = asked.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("chunks"))  # at most PIVOTS rows
+    asked = asked.join(F.broadcast(counts), "cell")
+    home = F.element_at(F.array(*[F.lit(h) for h in about["homes"]]), F.col("cell") + 1)
+    asked = asked.withColumns({"block": F.concat_ws(":", "cell", F.pmod(F.xxhash64("row"), F.col("chunks"))), "home": home.cast("int")})
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, ids = matrix(pdf["q"], dim), pdf["vec_id"].to_numpy(dtype=np.int64)
-        pivots, pivot_ids = shared.value
-        floor = np.full(len(q), -np.inf)
+        q, ids, rows = matrix(pdf["q"], dim), pdf["vec_id"].to_numpy(dtype=np.int64), pdf["row"].to_numpy(dtype=np.int64)
+        pivots, pivot_rows = shared.value
+        floor = pdf["least"].fillna(-np.inf).to_numpy(dtype=np.float64)
         if len(pivots) > k:
-            scores = np.where(pivot_ids[None, :] == ids[:, None], -np.inf, q @ pivots.T)
-            floor = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
-        return pd.DataFrame({"block": pdf["block"].iloc[:1].to_numpy(), "ids": [ids.tobytes()], "q": [q.astype(np.int64).tobytes()], "floor": [floor.tobytes()]})
+            scores = np.where(pivot_rows[None, :] == rows[:, None], -np.inf, q @ pivots.T)
+            floor = np.maximum(floor, -np.partition(-scores, k - 1, axis=1)[:, k - 1])
+        packed = {"ids": [ids.tobytes()], "rows": [rows.tobytes()], "q": [q.astype(np.int64).tobytes()], "floor": [floor.tobytes()]}
+        return pd.DataFrame({**{c: pdf[c].iloc[:1].to_numpy() for c in ("block", "home")}, **packed})
 
-    blocks = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int")).groupBy("block").applyInPandas(pack, "block int, ids binary, q binary, floor binary")
-    blocks = written(blocks, "query-blocks")
-    # a work unit for each tree and block: bounded rows on both sides
-    units = pages.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    against = blocks.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(about["trees"] - 1))))
+    packed = lambda df, label: written(df.groupBy("block").applyInPandas(pack, "block string, home int, ids binary, rows binary, q binary, floor binary"), label)
 
     def run(key, own: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(own) and len(block):
             tree = Tree(own, dim, most)
-            ids, floor = np.frombuffer(block["ids"].iloc[0], dtype=np.int64), np.frombuffer(block["floor"].iloc[0])
+            ids, rows, floor = np.frombuffer(block["ids"].iloc[0], dtype=np.int64), np.frombuffer(block["rows"].iloc[0], dtype=np.int64), np.frombuffer(block["floor"].iloc[0])
             q = np.frombuffer(block["q"].iloc[0], dtype=np.int64).reshape(-1, dim).astype(np.float64)
             for i in range(len(ids)):
-                found += [(int(key[1]), i, int(ids[i]), v, int(s)) for s, v in tree.search(int(ids[i]), q[i], k, floor[i])]
-        return pd.DataFrame(found, columns=["block", "row", "query_id", "vec_id", "score"])
-
-    out = units.groupBy("tree", "block").cogroup(against.groupBy("tree", "block")).applyInPandas(run, "block int, row int, query_id long, vec_id long, score long")
-    order = Window.partitionBy("block", "row").orderBy(F.desc("score"), "vec_id")
+                found += [(int(rows[i]), int(ids[i]), v, int(s)) for s, v in tree.search(int(rows[i]), q[i], k, floor[i])]
+        return pd.DataFrame(found, columns=["row", "query_id", "vec_id", "score"])
+
+    def found(pairs: DataFrame, blocks: DataFrame, label: str) -> DataFrame:
+        against = pages.join(pairs, "tree").groupBy("tree", "block").cogroup(blocks.join(pairs, "block").groupBy("tree", "block"))
+        return written(against.applyInPandas(run, "row long, query_id long, vec_id long, score long"), label)
+
+    blocks = packed(asked.withColumn("least", F.lit(None).cast("double")), "query-blocks")
+    near = found(written(blocks.select(F.col("home").alias("tree"), "block"), "home-units"), blocks, "near")
+    least = near.groupBy("row").agg(F.count("*").alias("n"), F.min("score").alias("least")).filter(F.col("n") == k).select("row", F.col("least").cast("double").alias("least"))
+    blocks = packed(asked.join(least, "row", "left"), "bounded-blocks")
+    out = near.unionByName(found(written(units(pages.filter("page = 0"), blocks, dim, most), "units"), blocks, "far"))
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -224,10 +267,12 @@ def top_k(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): for the rows where ``is_query`` holds, their k best other rows by integer inner product.
 
     Rows with a null vec_id, a null vector, or a null or non-finite component take no part; an empty vector is all
-    zeros, shorter vectors are padded with 0. Rows with the query's own vec_id are no candidates; other repeated rows count each, and
-    a repeated query gives its rows again. Ties go to the smaller vec_id; with fewer than k candidates all are returned. An empty
-    table gives an empty result. Other columns are ignored. Scores are exact below 2^53.
+    zeros, shorter vectors are padded with 0. Only the query's own row is no candidate: rows that share its vec_id are others, repeated
+    rows count each, and a repeated query gives rows of its own. Ties go to the smaller vec_id; with fewer than k candidates all are
+    returned. A very long vector widens all to its length. An empty table gives an empty result. Other columns are ignored, whatever their
+    names. Scores are exact below 2^53.
     """
-    pages, about = build(quantised(vectors.select("vec_id", "embedding")))
-    asked = quantised(vectors.select("vec_id", "embedding").filter(is_query))
-    return search(pages, about, asked, k)
+    asks = vectors.select("vec_id", "embedding", F.coalesce(is_query, F.lit(False)).alias("asks"))
+    rows = written(quantised(asks.withColumn("row", F.monotonically_increasing_id())), "vectors")
+    pages, about = build(rows.drop("asks"))
+    return search(pages, about, rows.filter("asks").drop("asks"), k)
