@@ -1,38 +1,42 @@
 """Line deduplication over content-defined chunks.
 
-A rolling hash over the hashes of ``WINDOW`` consecutive lines ends a chunk where it meets a pattern, so the boundaries inside a
-passage are the same wherever the passage stands, however many lines stand before it. Of chunks of two lines or more that
-occur again anywhere, in a later document or later in the same one, only the first stays.
-
-Chunks meet by digest in one shuffle, and their bytes are compared there in sorted order with one chunk held in memory. A task sends
-a chunk's bytes once; its further copies in the task, compared on the spot, send no text, so groups of copies stay small.
+A rolling hash over the hashes of ``WINDOW`` consecutive lines ends a chunk where it meets a pattern. A boundary depends on the lines of its
+window alone, so inside a passage all but the first boundaries are the same wherever it stands, however many lines stand before it.
+``SEEDS`` patterns cut the same lines in as many ways, so that a passage that one way cuts badly shows in another. Of
+chunks of two lines or more that occur again in the same way of cutting, in a later document or later in the same one, only
+the first stays.
+
+* Digests of all chunks are counted; a digest's counts are added up in each task first. Most chunks are unlike all others and end here.
+* Those that occur again are fetched from their texts and meet by digest, and their bytes are compared in sorted order with one chunk held. Of
+  equal chunks that a task fetches at once only the first meets others; its copies are repeats already.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import numbered, release, written
+from .shared import lean_batches, numbered, release, written
 
-#: Lines in the rolling window; a chunk ends, on average, after every ``SPACING`` lines; bytes of chunks that a task holds at once.
-WINDOW, SPACING, HELD_BYTES = 2, 3, 48 << 20
+#: Lines in the rolling window, lines between boundaries on average, ways of cutting; bytes of chunks that a task holds at once.
+WINDOW, SPACING, SEEDS, HELD_BYTES = 1, 2, 4, 48 << 20
 LEAST_LINES = 2
 _BASE, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
-def chunks(lines: list[bytes]) -> list[tuple[int, int]]:
-    """(first line, number of lines) of each chunk."""
+def chunks(lines: list[bytes], seed: int = 0) -> list[tuple[int, int]]:
+    """(first line, number of lines) of each chunk, in one way of cutting."""
     out, start, roll = [], 0, 0
-    drop = pow(_BASE, WINDOW, 1 << 64)
+    drop, factor = pow(_BASE, WINDOW, 1 << 64), (0xD6E8FEB86659FD93 + 2 * seed * _BASE) & _MASK
     hashes = [xxhash.xxh3_64_intdigest(line) for line in lines]
     for i, h in enumerate(hashes):
         roll = (roll * _BASE + h - (hashes[i - WINDOW] * drop if i >= WINDOW else 0)) & _MASK
-        if i - start + 1 >= LEAST_LINES and (roll * 0xD6E8FEB86659FD93 & _MASK) >> 32 < (1 << 32) // SPACING:
+        if (roll * factor & _MASK) >> 32 < (1 << 32) // SPACING:
             out.append((start, i + 1 - start))
             start = i + 1
     if start < len(lines):
@@ -44,16 +48,35 @@ def lines_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split(b"\n") if text else []
 
 
+def marked(text: str | None):
+    """(digest, first, lines, bytes) of the chunks of two lines or more, in all ways of cutting; the digest tells the way."""
+    own = lines_of(text)
+    if len(own) >= LEAST_LINES:
+        for seed in range(SEEDS):
+            for first, n in chunks(own, seed):
+                if n >= LEAST_LINES:
+                    data = b"\n".join(own[first : first + n])
+                    yield xxhash.xxh3_64_intdigest(data, seed) - (1 << 63), first, n, data
+
+
 def spread(batches):
-    """Rows (digest, rid, first, lines, chunk); chunk is null where an equal one of this task stands earlier in the corpus."""
+    """Rows (digest, rid, n): the chunks' digests of each text, and how often it has them."""
+    for pdf in batches:
+        rows = [(d, rid, n) for rid, text in zip(pdf["rid"].tolist(), pdf["text"], strict=True) for d, n in Counter(d for d, *_ in marked(text)).items()]
+        if rows:
+            yield pd.DataFrame(rows, columns=["digest", "rid", "n"])
+
+
+def fetch(batches):
+    """Rows (digest, rid, first, lines, chunk) of the wanted chunks; chunk is null where an equal one that was fetched with it stands earlier."""
     names = ["digest", "rid", "first", "lines", "chunk"]
 
     def flush(rows):
         rows.sort(key=lambda r: r[:3])
         out, digest, data = [], None, None
         for row in rows:
-            if row[0] == digest and row[4] == data:
-                out.append((*row[:4], None))
+            if row[0] == digest and row[4] == data:  # nothing is left to compare it with, so it goes anywhere
+                out.append(((row[1] * _BASE + row[2]) % (1 << 63), *row[1:4], None))
             else:
                 digest, data = row[0], row[4]
                 out.append(row)
@@ -65,12 +88,11 @@ def spread(batches):
 
     rows, size = [], 0
     for pdf in batches:
-        for rid, text in zip(pdf["rid"].tolist(), pdf["text"], strict=True):
-            own = lines_of(text)
-            for first, n in chunks(own):
-                if n >= LEAST_LINES:
-                    data = b"\n".join(own[first : first + n])
-                    rows.append((xxhash.xxh3_64_intdigest(data) - (1 << 63), rid, first, n, data))
+        for rid, text, wanted in zip(pdf["rid"].tolist(), pdf["text"], pdf["wanted"], strict=True):
+            wanted = set(wanted.tolist())
+            for digest, first, n, data in marked(text):
+                if digest in wanted:
+                    rows.append((digest, rid, first, n, data))
                     size += len(data)
             if size > HELD_BYTES:
                 yield from flush(rows)
@@ -84,9 +106,12 @@ def repeated(batches):
     for pdf in batches:
         rows = []
         for d, rid, first, n, data in zip(pdf["digest"].tolist(), pdf["rid"].tolist(), pdf["first"].tolist(), pdf["lines"].tolist(), pdf["chunk"], strict=True):
+            if data is None:
+                rows.append((rid, first, n))
+                continue
             if d != digest:
                 digest, known = d, []
-            if data is None or data in known:
+            if data in known:
                 rows.append((rid, first, n))
             else:
                 known.append(data)
@@ -97,15 +122,17 @@ def repeated(batches):
 def remove_repeated_lines(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     """(doc_id, n_lines, n_chunks, n_removed, kept_sha256) for each row of ``docs`` (doc_id, text); with ``keep_text`` also text, what stays.
 
-    n_removed counts lines in removed chunks. Lines end at LF only. Null and empty texts have no lines; a text whose lines are all
-    removed is empty. Documents come in order of doc_id, null last; rows that share a doc_id in order of a hash of the text,
-    wholly equal rows in any, of which one counts as first. Other columns are ignored. An empty table gives an empty result.
+    n_chunks counts the chunks of the first way of cutting, n_removed the lines in removed chunks of any. Lines end at LF only. Null and empty
+    texts have no lines; a text whose lines are all removed is empty. Documents come in order of doc_id, null last; rows that share a
+    doc_id in order of a hash of the text, wholly equal rows in any, of which one counts as first. A very long text is held by one task as
+    its lines and their chunks, about ten times its size. Other columns are ignored, whatever their names. An empty table gives an empty result.
     """
-    docs, shared = numbered(docs.select("doc_id", "text"))
-    if shared:  # equal rows get numbers of their own
-        docs = docs.withColumn("_copy", F.row_number().over(Window.partitionBy("rid").orderBy("rid"))).orderBy("rid", "_copy")
-        docs = written(docs.withColumn("rid", F.monotonically_increasing_id()).drop("_copy"), "rows")
-    rows = docs.select("rid", "text").mapInPandas(spread, "digest long, rid long, first long, lines long, chunk binary")
+    lean_batches(docs.sparkSession)
+    docs = numbered(docs.select("doc_id", "text"))
+    digests = written(docs.select("rid", "text").mapInPandas(spread, "digest long, rid long, n long"), "chunk-digests")
+    again = written(digests.groupBy("digest").agg(F.sum("n").alias("n")).filter("n > 1").select("digest"), "chunks-again")
+    wanted = digests.join(again, "digest").groupBy("rid").agg(F.collect_list("digest").alias("wanted"))
+    rows = docs.select("rid", "text").join(wanted.hint("merge"), "rid").mapInPandas(fetch, "digest long, rid long, first long, lines long, chunk binary")
     rows = rows.repartition("digest").sortWithinPartitions("digest", "rid", "first")
     found = written(rows.mapInPandas(repeated, "rid long, first long, lines long"), "repeated-chunks")
     release(docs)
