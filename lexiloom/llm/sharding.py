@@ -12,12 +12,12 @@ import bisect
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .shared import byte_size, power_of_two, written
 
 PARCELS = 8192
-ROWS_PER_SLOT_RANGE = 20_000
+#: What a task numbers at once, in rows and, where texts travel along, in bytes of them.
+ROWS_PER_SLOT_RANGE, BYTES_PER_SLOT_RANGE = 20_000, 8 << 20
 
 
 class CapacityTree:
@@ -136,20 +136,27 @@ def shard(docs: DataFrame, shards: int, parcels: int = PARCELS, carry_text: bool
 
     Rows with equal text (nulls among themselves, apart from empty texts) share a shard. Shards have near equal
     bytes, as far as a single group above its fair share allows: such a group fills a shard of its own. ``slot``
-    counts from 0 within the shard, in hash order. text_crc32 of a null text is null, its size 8. Null doc_ids and
-    repeated rows are ordinary rows. An empty table gives an empty result. Input columns named like results are replaced.
+    counts from 0 within the shard, in hash order; ties in it are by size, else rows are alike. text_crc32 of a null text is null, as no text
+    has been hashed, and its size 8. A very long text is one row like others, and one above a shard's fair share fills a shard. Null doc_ids
+    and repeated rows are ordinary rows. An empty table gives an empty result. Input columns named like results are replaced, others stay.
     """
-    text, size = F.col("text"), F.col("size")
     made = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
-    rows = docs.drop(*made).withColumn("size", byte_size(text) + F.lit(8)).withColumn("text_crc32", F.crc32(text.cast("binary")))
-    rows = rows.withColumn("_group", F.coalesce(F.unhex(F.sha2(text, 256)), F.lit(b"null")))
+    docs = docs.drop(*made)
+    others = [c for c in docs.columns if c != "text"]
+    text, size = F.col("text"), byte_size(F.col("text")) + F.lit(8)
+    crc = F.crc32(text.cast("binary"))
+    group = F.coalesce(F.unhex(F.sha2(text, 256)), F.lit(b"null"))
+    # input columns travel inside a struct, so that no name can clash
+    mixed = F.xxhash64(F.lit(11), crc, F.coalesce("doc_id", F.lit(-1)), *[F.col(c) for c, t in docs.dtypes if c not in ("text", "doc_id") and not t.startswith(("map", "variant"))])
+    rows = docs.select(F.struct(*others).alias("_row"), *(["text"] if carry_text else []), size.alias("size"), crc.alias("text_crc32"), group.alias("_group"), mixed.alias("_mixed"))
     if carry_text:
         narrow = written(rows.select("_group", "size"), "shard-sizes")
     else:
-        narrow = rows = written(rows.drop("text"), "shard-sizes")
+        narrow = rows = written(rows, "shard-sizes")
+    result = lambda df: df.select(*[F.col("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns if carry_text or c != "text"], "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int"), F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"))
     total = narrow.agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).first()
     if not total["rows"]:
-        return rows.select("*", F.lit("bytes").alias("law"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")).drop("_group")
+        return result(rows.select("*", F.lit(0).alias("shard"), F.lit(0).alias("slot")))
     parcel = F.pmod(F.xxhash64("_group"), F.lit(parcels)).cast("int")
     groups = narrow.groupBy("_group").agg(F.sum("size").alias("bytes"))
     large = F.col("bytes") * F.lit(parcels) >= F.lit(total["bytes"])
@@ -160,17 +167,13 @@ def shard(docs: DataFrame, shards: int, parcels: int = PARCELS, carry_text: bool
     spark = docs.sparkSession
     alone = [(bytes(r["group"]), s) for r, s in zip(items, shard_of, strict=True) if r["group"] is not None]
     together = [(r["parcel"], s) for r, s in zip(items, shard_of, strict=True) if r["parcel"] is not None]
-    kind = lambda of: T.StructType([T.StructField("_group" if of is bytes else "_parcel", T.BinaryType() if of is bytes else T.IntegerType()), T.StructField("_alone" if of is bytes else "_together", T.IntegerType())])
     rows = rows.withColumn("_parcel", parcel)
-    rows = rows.join(F.broadcast(spark.createDataFrame(alone, kind(bytes))), "_group", "left").join(F.broadcast(spark.createDataFrame(together, kind(int))), "_parcel", "left")
-    rows = rows.withColumn("shard", F.coalesce("_alone", "_together"))
-    ranges = power_of_two(total["rows"] / (shards * ROWS_PER_SLOT_RANGE))
-    mixed = F.xxhash64(F.lit(11), F.coalesce("doc_id", F.lit(-1)), "text_crc32")
-    rows = rows.withColumn("_mixed", mixed).withColumn("_range", F.pmod("_mixed", F.lit(ranges)))
-    rows = rows.drop("_group", "_parcel", "_alone", "_together")
+    rows = rows.join(F.broadcast(spark.createDataFrame(alone, "_group binary, _alone int")), "_group", "left").join(F.broadcast(spark.createDataFrame(together, "_parcel int, _together int")), "_parcel", "left")
+    carried = total["bytes"] if carry_text else 0
+    ranges = power_of_two(max(total["rows"] / ROWS_PER_SLOT_RANGE, carried / BYTES_PER_SLOT_RANGE) / shards)
+    rows = rows.withColumn("shard", F.coalesce("_alone", "_together")).withColumn("_range", F.pmod("_mixed", F.lit(ranges))).drop("_group", "_parcel", "_alone", "_together")
     ahead = Window.partitionBy("shard").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy("shard", "_range").agg(F.count("*").alias("_n")).select("shard", "_range", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("shard", "_range").orderBy("_mixed", "doc_id", "size")
+    inside = Window.partitionBy("shard", "_range").orderBy("_mixed", "size")
     placed = rows.withColumn("_place", F.row_number().over(inside)).join(offsets, ["shard", "_range"])
-    placed = placed.withColumn("slot", (F.col("_offset") + F.col("_place") - 1).cast("long"))
-    return placed.select(*[c for c in docs.columns if c not in made and (carry_text or c != "text")], "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int"), "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return result(placed.withColumn("slot", F.col("_offset") + F.col("_place") - 1))
