@@ -44,12 +44,12 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = """
 WITH v AS (
-  SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q FROM embeddings
+  SELECT row_number() OVER () AS id, vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
 s AS (
-  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS BIGINT) AS score
-  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+  SELECT a.id, a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.id <> b.id WHERE a.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
@@ -68,15 +68,16 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = documents(spark, sf_dir).select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    return mixing.mix(written(sized, "mix-sizes")).select("doc_id", "size", "source_size", "target", "taken")
+    salt = F.when(F.col("doc_id").isNull(), F.md5(F.coalesce("text", F.lit(""))))
+    sized = documents(spark, sf_dir).select("doc_id", "source", word_count(F.col("text")).alias("size"), salt.alias("salt"))
+    return mixing.mix(written(sized, "mix-sizes"), salt="salt").select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP10_SQL = r"""
 WITH sized AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS src,
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS key
+         md5(concat_ws(':', '7', coalesce(CAST(doc_id AS VARCHAR), 'null'), CASE WHEN doc_id IS NULL THEN md5(coalesce(text, '')) END)) AS key
   FROM documents),
 stats AS (
   SELECT src, CAST(sum(size) AS BIGINT) AS source_size,
