@@ -5,13 +5,14 @@ least hash. So a trigger is fixed by the passage alone, each passage has one, an
 triggers cut a text into phrases; a phrase with the bytes that its passages reach is long enough that none is a prefix
 of another with the same trigger, and equal phrases hold equal passages.
 
-* Parse: each phrase becomes a row (trigger hash, phrase digest, document, place). Inside a task only the first of
-  equal phrases travels on, the others are repeats already; a group of copies sends one row a task.
+* Parse: each phrase becomes a row (trigger hash, phrase digest, document, place). Inside a task all but the first of
+  equal phrases are repeats already: they are dealt out evenly, and only the first one meets those of other tasks.
 * Dictionary: rows meet by trigger and are read in sorted order with constant memory. All but the first row of a phrase
   are repeats. A trigger with one distinct phrase is settled there: most of the corpus ends here.
 * Suffixes: where distinct phrases share a trigger, the first occurrence of each is fetched from its text. A suffix array of these
   phrases, built to the depth of a passage, ranks all their passages exactly; among passages of one rank and one distance from the trigger,
-  all but the first in corpus order are repeats. Triggers with over ``CROWD`` distinct phrases are dealt out passage by passage.
+  all but the first in corpus order are repeats. Triggers with over ``CROWD`` distinct phrases are dealt out passage by passage, and
+  passages are read in sorted order with one held.
 
 Repeats come back to their documents as runs of passage starts, the union of the covered bytes is cut out.
 """
@@ -23,10 +24,10 @@ import hashlib
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_join, numbered, release, written
+from .shared import bounded_join, lean_batches, numbered, release, written
 
 LENGTH = 100
 TRIGGER = 32
@@ -119,6 +120,8 @@ def parse(batches):
         again = np.zeros(len(h), dtype=bool)
         again[1:] = (h[1:] == h[:-1]) & (d[1:] == d[:-1])
         place = np.where(again, ~place, place)
+        with np.errstate(over="ignore"):  # nothing is left to compare them with, so they go anywhere
+            h = np.where(again, (rid * 0x9E3779B1 + place) * 0x85EBCA77, h)
         for i in range(0, len(h), 1 << 17):
             yield pd.DataFrame(dict(zip(columns, (x[i : i + (1 << 17)] for x in (h, d, rid, place)), strict=True)))
 
@@ -247,8 +250,11 @@ def repeats_among(group: np.ndarray, rid: np.ndarray, first: np.ndarray, trigger
 
 
 def compare(batches):
-    """Repeats among the phrases of each (h, sub); rows come sorted by them."""
-    held = []
+    """Repeats among the phrases of each (h, sub); rows come sorted by (h, sub, bytes, rid, first).
+
+    Rows with a sub are single passages: all but the first with the same bytes are repeats, so that one row is held, however many there are.
+    """
+    held, passed = [], None
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         h, sub = frame["h"].to_numpy(), frame["sub"].to_numpy()
@@ -258,6 +264,17 @@ def compare(batches):
 
     size = 0
     for pdf in batches:
+        single = pdf["sub"].to_numpy() != 0
+        if single.any():
+            rows = pdf[single]
+            key = list(zip(rows["h"], rows["sub"], rows["bytes"], strict=True))
+            again = [k == before for k, before in zip(key, [passed, *key], strict=False)]
+            passed = key[-1]
+            if any(again):
+                yield rows.loc[again, ["rid", "first", "last"]]
+            pdf = pdf[~single]
+        if not len(pdf):
+            continue
         held.append(pdf)
         size += len(pdf)
         if size < 1 << 14:
@@ -302,7 +319,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     wanted = bounded_join(open_, crowded, ["h"]).withColumn("crowded", F.coalesce("crowded", F.lit(False)))
     wanted = wanted.groupBy("rid").agg(F.collect_list(F.struct("h", "place", "crowded")).alias("wanted"))
     bytes_ = docs.select("rid", "text").join(wanted, "rid").mapInPandas(fetch, "h long, sub long, rid long, first long, trigger long, last long, bytes binary")
-    found = written(bytes_.repartition("h", "sub").sortWithinPartitions("h", "sub").mapInPandas(compare, "rid long, first long, last long"), "found")
+    found = written(bytes_.repartition("h", "sub").sortWithinPartitions("h", "sub", "bytes", "rid", "first").mapInPandas(compare, "rid long, first long, last long"), "found")
     release(docs)
     place = F.bitwise_not("place")
     at = F.shiftright(place, 14)
@@ -319,10 +336,8 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     An empty table gives an empty result. Other columns are ignored. Phrases count as equal by 64 bits of trigger hash and 64 bits
     of digest; passages of distinct phrases are ranked by their bytes.
     """
-    docs, shared = numbered(docs.select("doc_id", "text"))
-    if shared:  # equal rows get numbers of their own
-        docs = docs.withColumn("_copy", F.row_number().over(Window.partitionBy("rid").orderBy("rid"))).orderBy("rid", "_copy")
-        docs = written(docs.withColumn("rid", F.monotonically_increasing_id()).drop("_copy"), "rows")
+    lean_batches(docs.sparkSession)
+    docs = numbered(docs.select("doc_id", "text"))
     runs = repeated_runs(docs).groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
     names = [c.split()[0] for c in kind.split(", ")]

@@ -19,14 +19,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import bounded_join, written
+from .shared import bounded_join, free_names, lean_batches, written
 
 FAN = 8
 SPLIT = 1 << 17
+HELD = 1 << 15
 SLAB = 1 << 14
 SEED = 42
 
@@ -153,14 +154,14 @@ def block_bounds(blocks: int) -> list[tuple[int, int]]:
 
 
 def dealt(prints: DataFrame, words: int, blocks: int) -> DataFrame:
-    """The rows of ``prints`` (fingerprint, anything else) once for each block, together with all that agree in it."""
+    """The rows of ``prints`` (fingerprint, anything else) once for each block of the first ``words`` words, together with all that agree in it."""
     bounds = block_bounds(blocks)
 
     def keyed(batches):
         for pdf in batches:
             if not len(pdf):
                 continue
-            codes = np.frombuffer(b"".join(pdf["fingerprint"]), dtype=">u8").astype(np.uint64).reshape(-1, words)
+            codes = np.frombuffer(b"".join(pdf["fingerprint"]), dtype=">u8").astype(np.uint64).reshape(len(pdf), -1)
             for t in range(words * blocks):
                 start, bits = bounds[t % blocks]
                 key = (codes[:, t // blocks] >> np.uint64(64 - start - bits)) & np.uint64((1 << bits) - 1)
@@ -174,19 +175,45 @@ def dealt(prints: DataFrame, words: int, blocks: int) -> DataFrame:
     chunk = F.pmod(F.xxhash64("fingerprint"), F.col("_chunks")).cast("int")
     rows = rows.withColumn("_chunk", chunk).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
     rows = rows.select("table", "key", F.least("_chunk", "_other").alias("one"), F.greatest("_chunk", "_other").alias("other"), *prints.columns)
-    return rows.repartition("table", "key", "one", "other")
+    return rows.repartition("table", "key", "one", "other").sortWithinPartitions("table", "one", "other", "key")
 
 
-def buckets(batches, words: int, bounds: list[tuple[int, int]]) -> Iterator[tuple[pd.DataFrame, GrayIndex, np.ndarray]]:
-    """(rows, index, codes) of each group of rows that meet, rows and codes in the order of the index."""
-    frames = [p for p in batches if len(p)]
-    if not frames:
-        return
-    held = pd.concat(frames, ignore_index=True)
-    for (t, _, _), part in held.groupby(["table", "one", "other"], sort=False):
+def runs(batches) -> Iterator[pd.DataFrame]:
+    """Rows of one (table, one, other) from rows sorted by it and key: ``HELD`` rows or more, cut where the key changes, never inside a key."""
+    held, size, last = [], 0, None
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        meet = pdf[["table", "one", "other", "key"]].to_numpy(dtype=np.int64)
+        before = np.vstack([meet[:1] if last is None else last, meet[:-1]])
+        last = meet[-1:]
+        group = np.flatnonzero((meet[:, :3] != before[:, :3]).any(axis=1))
+        key = np.flatnonzero((meet != before).any(axis=1))
+        done = 0
+        for end in [*group.tolist(), len(pdf)]:
+            while end - done + size > HELD:
+                at = key[(k := np.searchsorted(key, done + max(HELD - size, 0))) : k + 1]
+                if not len(at) or at[0] > end or (at[0] == done and not size):
+                    break
+                yield pd.concat([*held, pdf.iloc[done : at[0]]], ignore_index=True)
+                held, size, done = [], 0, int(at[0])
+            held.append(pdf.iloc[done:end])
+            size, done = size + end - done, end
+            if end < len(pdf):
+                if size:
+                    yield pd.concat(held, ignore_index=True)
+                held, size = [], 0
+    if size:
+        yield pd.concat(held, ignore_index=True)
+
+
+def buckets(batches, bounds: list[tuple[int, int]]) -> Iterator[tuple[pd.DataFrame, GrayIndex, np.ndarray]]:
+    """(rows, index, codes) of groups of rows that meet, rows and codes in the order of the index; a bounded number at a time."""
+    for part in runs(batches):
         if len(part) < 2:
             continue
-        codes = np.frombuffer(b"".join(part["fingerprint"]), dtype=">u8").astype(np.uint64).reshape(-1, words)
+        t = int(part["table"].iloc[0])
+        codes = np.frombuffer(b"".join(part["fingerprint"]), dtype=">u8").astype(np.uint64).reshape(len(part), -1)
         start, bits = bounds[t % len(bounds)]
         word = codes[:, t // len(bounds)]
         turned = (word << np.uint64(start)) | (word >> np.uint64(64 - start)) if start else word
@@ -204,7 +231,7 @@ def linked(prints: DataFrame, words: int, blocks: int, word_distance: int, dista
     bounds = block_bounds(blocks)
 
     def forest(batches):
-        for prints_, index, codes in buckets(batches, words, bounds):
+        for prints_, index, codes in buckets(batches, bounds):
             names = prints_["fingerprint"].to_numpy()
             root = np.arange(len(codes))
             for a, b in index.close_pairs(word_distance):
@@ -234,8 +261,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, words: int = 1, blocks: i
     component_id is the least doc_id that links reach; links go between fingerprints, so rows with equal fingerprints are
     always together, those of texts without words (fingerprint 0) too. A null text counts as empty. Rows with a null doc_id
     are linked like others; component_id is null only if no row of the component has a doc_id. Repeated rows come back
-    as often as they come. Other columns are ignored. An empty table gives an empty result.
+    as often as they come. A very long text is held by one task as words and hashes, about thirty times its size. The result has no
+    ties: all rows of a component get the same id. Other columns are ignored, whatever their names. An empty table gives an empty result.
     """
+    lean_batches(docs.sparkSession)
     made = written(fingerprints(docs.select("doc_id", "text"), shingle, words).drop("text"), "fingerprints")
     known = written(made.groupBy("fingerprint").agg(F.min("doc_id").alias("_first")).join(roots_of(made, words, blocks, word_distance, distance), "fingerprint"), "roots")
     least = known.groupBy("_root").agg(F.min("_first").alias("component_id"))
@@ -243,9 +272,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, words: int = 1, blocks: i
     return made.join(known, "fingerprint", "left").select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
 
 
-#: Five-word shingles; of 320 bits, texts with a Jaccard of 0.8 differ in 15 %, so 72 are nearly four deviations above.
-SIMILAR = {"shingle": 5, "words": 5, "blocks": 6, "word_distance": 24, "distance": 72}
+#: Five-word shingles; five words make the tables, three more sharpen the distance: of 512 bits, texts with a Jaccard of 0.8 differ in 78 on
+#: average, with a deviation of 8.1.
+SIMILAR = {"shingle": 5, "words": 5, "spare": 3, "blocks": 6, "word_distance": 24, "distance": 94}
 JACCARD = 0.8
+#: Candidates of a node in each table that the first round of checks after the joining pairs takes, and how that grows from round to round.
+NEAREST, MORE = 4, 8
 
 
 def tree_links(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -267,34 +299,79 @@ def tree_links(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarr
     return root, np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
-def candidates(prints: DataFrame, every: bool, words: int, blocks: int, word_distance: int, distance: int, jaccard: float) -> DataFrame:
-    """(a, b), distinct and written: nodes that may be similar, of ``prints`` (node, n, fingerprint), n the size of the set.
+def nearest(a: np.ndarray, b: np.ndarray, apart: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(kept, cut): places of the pairs that are among the ``most`` closest of either member, and the members with further ones."""
+    me, other = np.concatenate([a, b]), np.concatenate([b, a])
+    order = np.lexsort((other, np.concatenate([apart, apart]), me))
+    own, at = me[order], np.arange(len(me))
+    first = np.ones(len(me), dtype=bool)
+    first[1:] = own[1:] != own[:-1]
+    near = at - np.maximum.accumulate(np.where(first, at, 0)) < most
+    return np.unique(order[near] % len(a)), np.unique(own[~near])
+
+
+def met_before(differ: np.ndarray, table: int, bounds: list[tuple[int, int]], word_distance: int) -> np.ndarray:
+    """Whether pairs, given by the bits of all words in which they differ, meet in a table before ``table`` too."""
+    out = np.zeros(len(differ), dtype=bool)
+    for t in range(table):
+        start, bits = bounds[t % len(bounds)]
+        word = differ[:, t // len(bounds)]
+        same = word >> np.uint64(64 - start - bits) & np.uint64((1 << bits) - 1) == 0
+        out |= same & (np.bitwise_count(word) <= word_distance)
+    return out
+
+
+def candidates(prints: DataFrame, most: int | None, words: int, blocks: int, word_distance: int, distance: int, jaccard: float) -> DataFrame:
+    """(a, b), distinct and written: nodes of different ``group`` that may be similar, of ``prints`` (node, n, group, fingerprint), n the size of the set.
 
-    In each block value only pairs that join all others, close ones first; with ``every``, all pairs of different ``group``.
+    Each pair comes from the first table where it meets. With ``most`` null only pairs that join all others of a block value, close ones
+    first; else the ``most`` closest ones of each node in each table, and (node, node) if it has further ones.
     """
     bounds = block_bounds(blocks)
 
     def pairs(batches):
-        for rows, index, codes in buckets(batches, words, bounds):
-            node, n = rows["node"].to_numpy(), rows["n"].to_numpy()
-            group = rows["group"].to_numpy() if every else np.arange(len(node))
+        for rows, index, codes in buckets(batches, bounds):
+            node, n, group, table = rows["node"].to_numpy(), rows["n"].to_numpy(), rows["group"].to_numpy(), int(rows["table"].iloc[0])
+            if most is None:
+                group = np.arange(len(node))
+            held, size, cut = [], 0, []
+
+            def cull(held, cut, node=node):
+                a, b, apart = (np.concatenate(x) for x in zip(*held, strict=True))
+                kept, more = nearest(a, b, apart, most)
+                return [(a[kept], b[kept], apart[kept])], [*cut, node[more]]
+
             for a, b in index.close_pairs(word_distance):
                 keep = (group[a] != group[b]) & (np.minimum(n[a], n[b]) >= jaccard * np.maximum(n[a], n[b]) - 1e-6)
                 a, b = a[keep], b[keep]
-                apart = np.bitwise_count(codes[a] ^ codes[b]).sum(axis=1)
-                keep = apart <= distance
+                differ = codes[a] ^ codes[b]
+                apart = np.bitwise_count(differ).sum(axis=1, dtype=np.int64)
+                keep = np.flatnonzero(apart <= distance)
+                keep = keep[~met_before(differ[keep], table, bounds, word_distance)]
                 a, b, apart = a[keep], b[keep], apart[keep]
-                if not every and len(a):
+                if not len(a):
+                    continue
+                if most is None:
                     order = np.lexsort((np.maximum(node[a], node[b]), np.minimum(node[a], node[b]), apart))
                     group, a, b = tree_links(group, a[order], b[order])
-                if len(a):
                     yield pd.DataFrame({"a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b])})
+                    continue
+                held.append((a, b, apart))
+                size += len(a)
+                if size > max(1 << 18, 4 * most * len(node)):
+                    held, cut = cull(held, cut)
+                    size = len(held[0][0])
+            if held:
+                held, cut = cull(held, cut)
+                a, b, _ = held[0]
+                again = np.unique(np.concatenate(cut))
+                yield pd.DataFrame({"a": np.concatenate([np.minimum(node[a], node[b]), again]), "b": np.concatenate([np.maximum(node[a], node[b]), again])})
 
     return written(dealt(prints, words, blocks).mapInPandas(pairs, "a long, b long").distinct(), "candidates")
 
 
 def judged(pairs: DataFrame, texts: DataFrame, shingle: int, jaccard: float) -> DataFrame:
-    """(a, b, ok), written: whether the shingle sets of two nodes have a Jaccard of ``jaccard`` or more; ``texts`` has node and text."""
+    """(a, b, ok), written: whether the shingle sets of two nodes have a Jaccard of ``jaccard`` or more; ``texts`` has node and text, nodes once."""
 
     @F.pandas_udf("binary")
     def grams(texts: pd.Series) -> pd.Series:
@@ -309,56 +386,69 @@ def judged(pairs: DataFrame, texts: DataFrame, shingle: int, jaccard: float) ->
             out.append(both >= jaccard * (len(x) + len(y) - both) - 1e-9)
         return pd.Series(out, dtype=bool)
 
-    sets = written(texts.dropDuplicates(["node"]).select("node", grams("text").alias("grams")), "sets")
+    sets = written(texts.select("node", grams("text").alias("grams")), "sets")
     pairs = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
     return written(pairs.select("a", "b", similar("x", "y").alias("ok")), "judged")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, words: int = 5, blocks: int = 6, word_distance: int = 24, distance: int = 72, jaccard: float = JACCARD) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = 5, words: int = 5, spare: int = 3, blocks: int = 6, word_distance: int = 24, distance: int = 94, jaccard: float = JACCARD) -> DataFrame:
     """The rows of ``docs`` less near-duplicates: of each group of linked texts the row of least doc_id stays (null last), then of least text hash.
 
-    Texts link if the Jaccard of their sets of shingles is ``jaccard`` or more. Fingerprints of the sets only give the candidates: first pairs
-    that join each block value, then, where one of those is not similar, all other pairs around it that links don't join yet.
+    Texts link if the Jaccard of their sets of shingles is ``jaccard`` or more. Fingerprints of the sets only give the candidates. First, pairs
+    that join each block value are checked. Around those that aren't similar, each node's closest candidates of other groups are checked,
+    ever more of them, until no node has further ones, so no candidate is left out, and a large group of copies needs few checks. Where most texts of
+    a large group are just short of similar, all their candidates are checked: no link can be ruled out otherwise.
 
-    Of wholly equal rows (doc_id and text) one stays. Null texts count as empty, and texts without words are one group. All columns
-    stay. An empty table gives an empty result.
+    Of wholly equal rows (doc_id and text) one stays. Null texts count as empty, and texts without words are one group. A very long text is
+    held by one task as words and hashes, about thirty times its size. Ties go to the lesser doc_id, then to the lesser hash. All columns stay, whatever
+    their names. An empty table gives an empty result.
     """
+    lean_batches(docs.sparkSession)
     columns = docs.columns
-    hashed = F.sha2(F.coalesce("text", F.lit("")), 256)
-    id_ = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    key, hash_ = free_names(docs, "_id", "_hash")
+    keyed = docs.withColumns({key: F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), hash_: F.sha2(F.coalesce("text", F.lit("")), 256)})
 
     @F.pandas_udf("node long, n int, fingerprint binary")
     def sketch(texts: pd.Series) -> pd.DataFrame:
         sets = [np.unique(gram_hashes(t, shingle)) for t in texts]
         node = [xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) for x in sets]
-        return pd.DataFrame({"node": node, "n": [len(x) for x in sets], "fingerprint": [hashes_fingerprint(x, words) for x in sets]})
+        return pd.DataFrame({"node": node, "n": [len(x) for x in sets], "fingerprint": [hashes_fingerprint(x, words + spare) for x in sets]})
 
-    made = docs.select("doc_id", id_.alias("_id"), hashed.alias("_hash"), sketch("text").alias("_made")).select("doc_id", "_id", "_hash", "_made.*")
+    made = keyed.select("doc_id", F.col(key).alias("_id"), F.col(hash_).alias("_hash"), sketch("text").alias("_made")).select("doc_id", "_id", "_hash", "_made.*")
     made = written(made, "fingerprints")
-    prints = made.select("node", "n", "fingerprint").distinct()
+    prints = written(made.groupBy("node").agg(F.first("n").alias("n"), F.first("fingerprint").alias("fingerprint"), F.min(F.struct("_id", "_hash")).alias("at")), "nodes")
     size = (words, blocks, word_distance, distance, jaccard)
 
     def check(pairs: DataFrame) -> DataFrame:
-        met = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        where = made.groupBy("node").agg(F.min(F.struct("_id", "_hash")).alias("at")).join(met, "node").select("node", "at.*")
-        return judged(pairs, docs.select(id_.alias("_id"), hashed.alias("_hash"), "text").join(where, ["_id", "_hash"]).select("node", "text"), shingle, jaccard)
-
-    checked = check(candidates(prints, False, *size))
+        met = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        where = written(prints.join(met, "node").select("node", F.col("at._id").alias(key), F.col("at._hash").alias(hash_)), "met")
+        texts = bounded_join(keyed.select(key, hash_, "text"), where, [key, hash_], "inner")
+        # equal rows have equal sets: one of them will do
+        return judged(pairs, texts.dropDuplicates(["node"]) if repeats else texts, shingle, jaccard)
+
+    repeats = not made.groupBy("_id", "_hash").count().filter("count > 1").isEmpty()
+    plain = prints.select("node", "n", "fingerprint")
+    checked = check(candidates(plain.withColumn("group", F.col("node")), None, *size))
     links = checked.filter("ok").select("a", "b")
     roots = written(components(links), "roots")
     failed = checked.filter("not ok")
+    open_ = None
     if not failed.isEmpty():
         loose = written(components(checked.select("a", "b")), "loose")
-        open_ = loose.join(failed.select(F.col("a").alias("node")), "node").select("root").distinct()
-        open_ = loose.join(open_, "root", "left_semi").select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("group"))
-        more = check(candidates(prints.join(open_, "node"), True, *size).join(failed, ["a", "b"], "left_anti"))
-        roots = written(components(links.unionByName(more.filter("ok").select("a", "b"))), "roots")
-    known = prints.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("_root"))
+        around = loose.join(failed.select(F.col("a").alias("node")), "node").select("root").distinct()
+        open_ = loose.join(around, "root", "left_semi").select("node")
+    most = NEAREST
+    while open_ is not None and not open_.isEmpty():
+        grouped = open_.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("group"))
+        found = candidates(plain.join(grouped, "node"), most, *size)
+        more = check(found.filter("a <> b").join(checked, ["a", "b"], "left_anti"))
+        checked = checked.unionByName(more)
+        roots = written(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more.filter("ok").select("a", "b"))), "roots")
+        open_, most = found.filter("a = b").select(F.col("a").alias("node")), most * MORE
+    known = plain.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("_root"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("_id"), F.col("_hash"))
     first = made.groupBy("node").agg(F.min(order).alias("first")).join(known, "node").groupBy("_root").agg(F.min("first").alias("first"))
-    stay = written(first.select("first._id", "first._hash"), "representatives")
-    kept = docs.withColumn("_id", id_).withColumn("_hash", hashed).join(stay, ["_id", "_hash"], "left_semi")
-    if not made.groupBy("_id", "_hash").count().filter("count > 1").isEmpty():
-        place = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(F.lit(1)))
-        kept = kept.withColumn("_place", place).filter("_place = 1")
-    return kept.select(*columns)
+    gone = made.select("_id", "_hash").distinct().join(first.select("first._id", "first._hash"), ["_id", "_hash"], "left_anti")
+    gone = written(gone.select(F.col("_id").alias(key), F.col("_hash").alias(hash_)), "gone")
+    kept = bounded_join(keyed, gone, [key, hash_], "left_anti")
+    return (kept.dropDuplicates([key, hash_]) if repeats else kept).select(*columns)

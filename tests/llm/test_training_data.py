@@ -1,6 +1,7 @@
 """The ten operators and the pipeline: against brute force, and on nulls, empty and long texts, ties, repeats, empty tables and clashing columns."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -76,6 +77,26 @@ def plain_base(text):
     return len(words), len(at), min((i for i, _ in at), default=None), max((i for i, _ in at), default=None), ",".join(sorted({x for _, x in at}))
 
 
+def plain_statistics(own, text):
+    """Longest run that ends at each word and stands in some template, by looking it up in all of them."""
+    words = licences.words_of(text)
+    known = [licences.words_of(t) for t in [*licences.PHRASES, *(t for _, t in licences.TEMPLATES)]]
+    runs = {tuple(w[i:j]) for w in known for i in range(len(w)) for j in range(i + 1, len(w) + 1)}
+    return [max((n for n in range(i + 2) if not n or tuple(words[i + 1 - n : i + 1]) in runs)) for i in range(len(words))]
+
+
+def scanned_statistics(own, text):
+    m, out, s, run = own.machine, [], 0, 0
+    for w in licences.words_of(text):
+        w = own.ids.get(w, -1)
+        while s and w not in m.next[s]:
+            s = m.link[s]
+            run = m.length[s]
+        s, run = (m.next[s][w], run + 1) if w in m.next[s] else (0, 0)
+        out.append(run)
+    return out
+
+
 def test_licences(spark, data, odd, none):
     rng, own = random.Random(1), licences.Scanner()
     bag = "cc by general public license all rights reserved the gnu x bär".split()
@@ -88,6 +109,10 @@ def test_licences(spark, data, odd, none):
         n, places, _, _, labels = plain_base(given[r.doc_id])
         assert (r.n_words, r.n_base, r.base_labels) == (n, places, labels) and 0 <= r.score <= 1
     assert own.report(licences.TEMPLATES[0][1][30:])[5] == "mit"
+    twice = own.report(f"{licences.TEMPLATES[0][1]} and some other words between them {licences.TEMPLATES[0][1]}")
+    n = len(licences.words_of(licences.TEMPLATES[0][1]))
+    assert twice[7] == [f"0-{n - 1}:mit", f"{n + 6}-{2 * n + 5}:mit"] and twice[6] == 1.0
+    assert plain_statistics(own, twice_text := f"x {licences.TEMPLATES[5][1]} permission is hereby granted, free of charge, to you") == scanned_statistics(own, twice_text)
     found = licences.scan_licences(spread(odd)).toPandas()
     assert len(found) == odd.count() and found[found["text"].isna()]["n_words"].eq(0).all()
     assert licences.scan_licences(none).count() == 0
@@ -106,19 +131,34 @@ def plain_edits(pattern, text):
 def test_decontamination(spark, odd, none, monkeypatch):
     rng = random.Random(5)
     for _ in range(300):
-        item = [rng.choice("abcdefgh") for _ in range(rng.randint(5, 20))]
+        item = [rng.choice("abcdefgh") for _ in range(rng.randint(1, 20))]
         text = [rng.choice("abcdxyz") if rng.random() < 0.12 else c for c in item]
         text = [rng.choice("abcij") for _ in range(rng.randint(0, 15))] + text + [rng.choice("abcij") for _ in range(rng.randint(0, 15))]
-        own = decontamination.Matcher([(1, " ".join(item))], 0.8, 5)
+        own = decontamination.Matcher([(1, " ".join(item))], 0.8)
         found, edits = list(own.leaks(" ".join(text))), plain_edits(item, text)
         assert bool(found) == (edits <= own.items[0].budget) and (not found or found[0][1] == edits)
-    items = spark.createDataFrame([(1, "Alpha5, alpha6 alpha7! alpha8 beta alpha10 alpha11"), (2, None), (3, ""), (4, "one"), (None, "a b c d e f g h")], "item_id long, text string")
-    found = {(r.doc_id, r.item_id, r.edits) for r in decontamination.find_leaks(spread(odd), items).collect()}
-    assert found == {(6, 1, 1), (7, 1, 1), (None, 1, 1), (8, None, 0), (9, None, 0)}
-    assert decontamination.decontaminate(odd, items).count() == odd.count() - 7
-    monkeypatch.setattr(decontamination, "blocks_of", lambda b, s, n, real=decontamination.blocks_of: real(b, s, n, 20))
-    assert {(r.doc_id, r.item_id, r.edits) for r in decontamination.find_leaks(odd, items).collect()} == found
-    assert decontamination.find_leaks(none, items).count() == 0 and decontamination.find_leaks(odd, items.limit(0)).count() == 0
+    items = spark.createDataFrame([(1, "Alpha5, alpha6 alpha7! alpha8 beta alpha10 alpha11"), (2, None), (3, ""), (4, "text of Row"), (None, "a b c d e f g h")], "item_id long, text string")
+    run = lambda **size: {(r.doc_id, r.item_id, r.edits) for r in decontamination.find_leaks(spread(odd), items, **size).collect()}
+    wanted = {(6, 1, 1), (7, 1, 1), (None, 1, 1), (8, None, 0), (9, None, 0), (3, 4, 0)}
+    assert run() == wanted and run(block_bytes=20) == wanted
+    for size in ({}, {"block_bytes": 20}):
+        kept = decontamination.decontaminate(odd, items, **size)
+        assert kept.columns == odd.columns and kept.count() == odd.count() - 8
+        assert decontamination.find_leaks(none, items, **size).count() == 0
+    assert decontamination.find_leaks(odd, items.limit(0)).count() == 0
+
+
+def test_decontamination_of_short_and_unspaced_items(spark):
+    """Items of a few words, and of scripts without spaces, are found; long items too, in both ways of search."""
+    long = [f"w{i}" for i in range(3000)]
+    near = [w if i % 7 else "x" for i, w in enumerate(long)]
+    items = spark.createDataFrame([(1, "What is two plus"), (2, "今日は天気がいいので散歩に行きましょうか"), (3, "ภาษาไทยไม่มีช่องว่าง"), (4, " ".join(long))], "item_id long, text string")
+    texts = ["So: what is two plus two?", "前文。今日は天気がよいので散歩に行きましょうか。後文", "ก่อน ภาษาไทยไม่มีช่องว่าง หลัง", "lead " + " ".join(near) + " tail", "what two is plus", "今日は寒い", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(docs, items).collect()}
+    assert found == {(0, 1), (1, 2), (2, 3), (3, 4)}
+    rows = lambda **size: sorted(map(tuple, decontamination.find_leaks(docs, items, **size).collect()))
+    assert rows() == rows(block_bytes=0)
 
 
 def test_quality(spark, odd, none):
@@ -141,22 +181,39 @@ def test_line_chunks(spark, data, odd, none):
     out = {r.doc_id: r for r in linechunks.remove_repeated_lines(spread(docs)).collect()}
     seen = set()
     for r in docs.orderBy("doc_id").collect():
-        lines, keep, gone = linechunks.lines_of(r.text), [], 0
-        for first, n in linechunks.chunks(lines):
-            own = b"\n".join(lines[first : first + n])
-            if n >= 2 and own in seen:
-                gone += n
-            else:
-                keep += lines[first : first + n]
+        lines = linechunks.lines_of(r.text)
+        gone = set()
+        for seed in range(linechunks.SEEDS):
+            for first, n in linechunks.chunks(lines, seed):
+                own = (seed, *lines[first : first + n])
+                if n >= 2 and own in seen:
+                    gone |= set(range(first, first + n))
                 seen.add(own)
-        assert (out[r.doc_id].n_removed, out[r.doc_id].text) == (gone, b"\n".join(keep).decode())
+        keep = [x for i, x in enumerate(lines) if i not in gone]
+        assert (out[r.doc_id].n_removed, out[r.doc_id].text) == (len(gone), b"\n".join(keep).decode())
     found = linechunks.remove_repeated_lines(spread(odd)).toPandas()
     assert len(found) == odd.count() and found[found["doc_id"] == 9]["n_removed"].item() > 0 and found[found["doc_id"] == 8]["n_removed"].item() == 0
     assert linechunks.remove_repeated_lines(none).count() == 0
     lines = [f"line {i}".encode() for i in range(200)]
     ends = {s + n for s, n in linechunks.chunks(lines)}
-    moved = {s + n - 7 for s, n in linechunks.chunks([b"new"] * 7 + lines)}
-    assert len(ends & moved) > 0.9 * len(ends)
+    assert ends == {s + n - 7 for s, n in linechunks.chunks([b"new"] * 7 + lines)} - {-6, -5, -4, -3, -2, -1, 0}
+
+
+def test_line_chunks_against_all_repeated_runs(spark):
+    """Of runs of lines that stand in an earlier text too, between other lines: long ones are cut to their edges, most short ones are touched, others never."""
+    rng = random.Random(12)
+    line = lambda: f"l{rng.randrange(10**9)}"
+    sizes = [2, 3, 4, 6, 10] * 60
+    runs = [[line() for _ in range(n)] for n in sizes]
+    texts = [[*(line() for _ in range(5)), *run, *(line() for _ in range(5))] for run in runs for _ in range(2)]
+    docs = spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    out = {r.doc_id: r for r in linechunks.remove_repeated_lines(docs).collect()}
+    share = {n: 0.0 for n in sizes}
+    for i, (n, run) in enumerate(zip(sizes, runs, strict=True)):
+        assert out[2 * i].n_removed == 0 and out[2 * i + 1].n_removed <= n
+        assert set(texts[2 * i + 1]) - set(out[2 * i + 1].text.split("\n")) <= set(run)
+        share[n] += out[2 * i + 1].n_removed / n / 60
+    assert share[10] > 0.85 and share[6] > 0.75 and share[4] > 0.55 and share[3] > 0.4, share
 
 
 def plain_passages(texts):
@@ -223,6 +280,53 @@ def test_mtree(spark, none, monkeypatch):
     assert [tuple(r) for r in out] == wanted
     assert mtree.top_k(table.limit(0), F.lit(True), 5).count() == 0
     assert mtree.top_k(table.filter("vec_id < 3"), F.lit(True), 5).count() == 6
+    # rows that share the query's id are candidates; only its own row is none
+    again = spark.createDataFrame([(50, [1.0, 2.0]), (50, [1.0, 2.0]), (7, [0.5, 0.0])], "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, mtree.top_k(again, F.col("vec_id") == 50, 1).collect())) == [(50, 1, 50, 5 << 16)] * 2
+
+
+def test_trees_out_of_reach_are_left_out(spark, monkeypatch):
+    """With vectors in far clusters, most (tree, block) pairs are no work units, and all best rows are found."""
+    monkeypatch.setattr(mtree, "TREE_ROWS", 64)
+    monkeypatch.setattr(mtree, "LEAF", 8)
+    rng = np.random.default_rng(8)
+    centres = np.eye(16) * 20
+    vectors = np.repeat(centres, 60, axis=0) + rng.normal(size=(960, 16)) * 0.05
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    seen = []
+    real = mtree.units
+    monkeypatch.setattr(mtree, "units", lambda roots, blocks, *x: seen.append((roots.count(), blocks.count(), (u := real(roots, blocks, *x)).count())) or u)
+    out = mtree.top_k(table, F.col("vec_id") % 20 == 0, 5).collect()
+    assert len(out) == 48 * 5 and all(r.vec_id // 60 == r.query_id // 60 for r in out)
+    trees, blocks, pairs = seen[0]
+    assert trees >= 16 and pairs < 0.5 * trees * blocks
+
+
+def plain_rules(rows, support=0.01, confidence=0.8):
+    """The rules from all sets of up to LONGEST classes of frequent tokens, counted one by one."""
+    n = len(rows)
+    of = {}
+    for i, (tokens, _) in enumerate(rows):
+        for t in tokens:
+            of.setdefault(t, set()).add(i)
+    classes = {}
+    for t in sorted(t for t, held in of.items() if len(held) >= support * n):
+        classes.setdefault(frozenset(of[t]), []).append(t)
+    found = {}
+    for size in range(urls.LONGEST + 1):
+        for own in itertools.combinations(sorted(classes, key=lambda h: classes[h][0]), size):
+            held = set(range(n)).intersection(*own)
+            for verdict in {v for _, v in rows}:
+                both = sum(rows[i][1] == verdict for i in held)
+                if own and both >= support * n and both / len(held) >= confidence:
+                    found[frozenset(classes[h][0] for h in own), verdict] = (both / len(held), both / n)
+    kept = []
+    for (tokens, verdict), (sure, share) in found.items():
+        shorter = [c for (t, v), (c, _) in found.items() if v == verdict and t < tokens]
+        if not any(c >= sure for c in shorter):
+            whole = frozenset(x for t in tokens for own in classes.values() if own[0] == t for x in own)
+            kept.append((whole, verdict, sure, share))
+    return sorted(kept, key=lambda r: (-r[2], -r[3], len(r[0]), r[1], sorted(r[0])))
 
 
 def test_urls(spark):
@@ -235,9 +339,13 @@ def test_urls(spark):
     assert len(out) == 14 and set(out["verdict"]) <= {"allow", "block"}
     assert urls.judge(pages.limit(0), queries.URL_RULES).count() == 0
     labelled = spark.createDataFrame([(f"http://s{i % 7}.{'bad' if i % 2 else 'good'}.net/p/{i}", "block" if i % 2 else "allow") for i in range(60)], "url string, verdict string")
-    rules = urls.mine_rules(labelled.select(urls.url_tokens(F.col("url")).alias("tokens"), "verdict"))
-    assert rules[0][2] == 1.0 and {frozenset(["domain=bad.net"]), frozenset(["domain=good.net"])} <= {r[0] for r in rules}
-    tokens = [["domain=bad.net", "sub=s1"], ["sub=s2"], ["domain=good.net"]]
+    marked = labelled.select(urls.url_tokens(F.col("url")).alias("tokens"), "verdict")
+    rules = urls.mine_rules(marked)
+    assert rules == plain_rules([(r.tokens, r.verdict) for r in marked.collect()])
+    assert rules[0][2] == 1.0 and {frozenset(["domain=bad.net", "host1=bad"]), frozenset(["domain=good.net", "host1=good"])} <= {r[0] for r in rules}
+    deep = spark.createDataFrame([(f"http://a.b{i % 5}.c.net/x/y/z{'q' if i % 2 else 'r'}?k=1&l=2&m{'n' if i % 3 else 'o'}=3", "block" if i % 2 and i % 3 else "allow") for i in range(90)], "url string, verdict string")
+    assert any({"step2=zq", "key=mn"} <= r[0] and r[1] == "block" and r[2] == 1.0 for r in urls.mine_rules(deep.select(urls.url_tokens(F.col("url")).alias("tokens"), "verdict")))
+    tokens = [["domain=bad.net", "host1=bad", "host2=s1"], ["host2=s2"], ["domain=good.net", "host1=good"]]
     fired = {tuple(r.known): r.decided for r in urls.fire(spark.createDataFrame([(t,) for t in tokens], "known array<string>"), rules).collect()}
     for t in tokens:
         plain = next((v for own, v, _, _ in rules if own <= set(t)), None)
