@@ -44,10 +44,6 @@ def dropped(text: Column, pattern: str) -> Column:
     return F.regexp_replace(text, pattern, "")
 
 
-def illegal_characters(separator: str) -> list[str]:
-    return [c for c in separator if c in ILLEGAL]
-
-
 @dataclass(frozen=True)
 class Separator:
     phone: str | None = " "
@@ -56,8 +52,10 @@ class Separator:
 
     def __post_init__(self) -> None:
         for level in LEVELS:
-            if not getattr(self, level):
-                object.__setattr__(self, level, None)
+            own = getattr(self, level)
+            object.__setattr__(self, level, str(own) if own else None)
+            if bad := [c for c in ILLEGAL if c in (own or "")]:
+                raise ValueError(f"separator {own!r} holds {bad[0]!r}; these characters are illegal: {ILLEGAL}")
         own = [s for s in self if s]
         if len(set(own)) != len(own):
             raise ValueError(f"separators must differ: {own}")
@@ -65,21 +63,27 @@ class Separator:
     def __iter__(self) -> Iterator[str | None]:
         return iter((self.phone, self.syllable, self.word))
 
+    def iterate(self, type: str = "value") -> Iterator:
+        """The three separators from the smallest level, as values or as pairs with the names of their levels."""
+        if type not in ("value", "pair"):
+            raise ValueError(f"type must be value or pair, it is {type!r}")
+        return iter(self) if type == "value" else zip(LEVELS, self, strict=True)
+
     def __str__(self) -> str:
-        return ", ".join(f'{level}: "{getattr(self, level)}"' for level in LEVELS if getattr(self, level))
+        return "(" + ", ".join(f'{level}: "{own}"' for level, own in self.iterate("pair") if own) + ")"
 
-    @staticmethod
-    def check(level: str) -> str:
-        if level not in LEVELS:
-            raise ValueError(f"level is '{level}', must be one of {', '.join(LEVELS)}")
+    def check(self, level: str) -> str:
+        """The level, if it is defined."""
+        if level not in self.levels():
+            raise ValueError(f'level "{level}" undefined, choose in: {", ".join(self.levels())}')
         return level
 
     def levels(self) -> list[str]:
-        """Defined levels, from the largest."""
-        return [level for level in reversed(LEVELS) if getattr(self, level)]
+        """Defined levels, from the smallest."""
+        return [level for level in LEVELS if getattr(self, level)]
 
     def upper_levels(self, level: str) -> list[str]:
-        """Defined levels above ``level``, from the largest."""
+        """Defined levels above ``level``, from the smallest."""
         return [up for up in self.levels() if LEVELS.index(up) > LEVELS.index(self.check(level))]
 
     def strip(self, text: Column, level: str | None = None) -> Column:
@@ -107,8 +111,6 @@ class Separator:
     def split(self, text: Column, level: str, keep_boundaries: bool = False) -> Column:
         """Array of what stands between the separators of a level, empty tokens too."""
         pattern = getattr(self, self.check(level))
-        if pattern is None:
-            raise ValueError(f"no {level} separator")
         clean = (lambda x: F.regexp_replace(x, " +", " ")) if keep_boundaries else self.remove
         return F.transform(F.split(text, pattern, -1), lambda x: F.regexp_replace(clean(x), "^ +", ""))
 
@@ -125,7 +127,8 @@ class Separator:
         """Array of tokens of a level; without a level, nested arrays of words of syllables of phones (undefined levels left out)."""
         if level is None:
             return self._nested(text)
-        self.check(level)
+        if level not in LEVELS:
+            raise ValueError(f'level "{level}" undefined, choose in: {", ".join(LEVELS)}')
         tokens = self._pieces(text, "word")
         for down in ("syllable", "phone"):
             if LEVELS.index(level) <= LEVELS.index(down) and getattr(self, down):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,16 +24,21 @@ def summary(tagged: DataFrame, separator: Separator = Separator(), level: str =
     rows = rows.withColumn("e", F.flatten(F.transform("u", lambda w: F.transform(w, lambda x, i: i == F.size(w) - 1))))
     n = F.greatest(F.size("f") - 1, F.lit(0))
     pairs = F.arrays_zip(F.slice("f", 1, n).alias("a"), F.slice("f", 2, n).alias("b"), F.slice("e", 1, n).alias("cut"))
-    exploded = rows.select(F.explode(pairs).alias("p")).select("p.*")
-    count = lambda c: F.count_if(c).cast("long")
-    diphones = exploded.groupBy("a", "b").agg(count(~F.col("cut")).alias("internal"), count(F.col("cut")).alias("spanning"))
-    edge = lambda c: rows.filter(F.size("f") > 0).select(c.alias("unit")).groupBy("unit").agg(F.count("*").alias("n"))
-    known = rows.agg(F.count("*").alias("nlines"), F.sum(F.size("w")).alias("nwords"), F.sum(F.size("f")).alias("nphones"))
+    row = lambda kind, a, b, x, y: F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"), x.cast("long").alias("x"), y.cast("long").alias("y"))
+    none, one, zero = F.lit(None).cast("string"), F.lit(1), F.lit(0)
+    edges = F.filter(F.array(row("initial", F.get("f", F.lit(0)), none, one, zero), row("final", F.get("f", F.size("f") - 1), none, one, zero)), lambda r: r["a"].isNotNull())
+    seen = F.array(row("line", none, none, one, zero), row("size", none, none, F.size("w"), F.size("f")))
+    found = F.concat(seen, edges, F.transform(pairs, lambda p: row("pair", p["a"], p["b"], F.when(p["cut"], 0).otherwise(1), F.when(p["cut"], 1).otherwise(0))))
+    # one pass over the corpus counts all; the table of pair types is kept for what is drawn from it
+    table = rows.select(F.inline(found)).groupBy("kind", "a", "b").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).persist()
+    own = lambda kind: table.filter(F.col("kind") == kind)
+    total = lambda kind, c: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col(c))), F.lit(0)).cast("long")
+    edge = lambda kind: own(kind).select(F.col("a").alias("unit"), F.col("x").alias("n"))
     return {
-        "counts": known.select(*[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("nlines", "nwords", "nphones")]),
-        "diphones": diphones,
-        "initial": edge(F.get("f", F.lit(0))),
-        "final": edge(F.element_at("f", -1)),
+        "counts": table.agg(total("line", "x").alias("nlines"), total("size", "x").alias("nwords"), total("size", "y").alias("nphones")),
+        "diphones": own("pair").select("a", "b", F.col("x").alias("internal"), F.col("y").alias("spanning")),
+        "initial": edge("initial"),
+        "final": edge("final"),
         "words": rows.select(F.explode("w").alias("word")).distinct(),
         "units": units,
     }
@@ -74,3 +81,16 @@ def apply(prepared: DataFrame, model: DataFrame, threshold: float = 0.5) -> Data
     rows = pair_scores(prepared.withColumn("_u", units_of(F.col("text"))), "_u", model, 1.0, "_s", KEY)
     cuts = F.transform("_s", lambda s: s > F.lit(threshold))
     return rows.withColumn("text", joined_units(F.col("_u"), cuts)).drop("_u", "_s")
+
+
+KINDS = ("phrasal", "lexical", "gold")
+
+
+def segment(prepared: DataFrame, trained: dict, type: str = "phrasal", threshold: float = 0.5, pwb: float | None = None, scores: Callable[[dict, float | None], DataFrame] | None = None) -> DataFrame:
+    """``prepared`` segmented with a trained summary. ``scores`` may give another model (a, b, score) of the summary and ``pwb``."""
+    if scores is None and type not in KINDS:
+        raise ValueError(f"unknown segmenter {type}, must be phrasal, lexical or gold")
+    for name, value in (("pwb", pwb), ("threshold", threshold)):
+        if value is not None and not 0 <= value <= 1:
+            raise ValueError(f"{name} must be a float in [0, 1], it is: {value}")
+    return apply(prepared, scores(trained, pwb) if scores else fit(trained, type, pwb), threshold)

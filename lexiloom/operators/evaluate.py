@@ -56,13 +56,18 @@ def score_counts(pairs: DataFrame) -> DataFrame:
         ("boundary_all", F.size(with_edges("te")), F.size(with_edges("ge")), common(with_edges("te"), with_edges("ge"))),
         ("boundary_noedge", F.size(inner("te")), F.size(inner("ge")), common(inner("te"), inner("ge"))),
     ]
-    counted = pairs.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(f"{name}{k}") for name, *cols in parts for k, c in enumerate(cols)])
-    rows = F.array(*[F.struct(F.lit(name).alias("family"), *[F.col(f"{name}{k}").alias(n) for k, n in enumerate(("test", "gold", "correct"))]) for name, *_ in parts])
-    counted = counted.select(F.inline(rows))
-    side = lambda c, to: pairs.select(F.explode(F.split(c, " ")).alias("word")).filter("word <> '_'").distinct().withColumn(to, F.lit(1))
-    types = side("t", "_t").join(side("g", "_g"), "word", "full")
-    types = types.agg(F.count("_t").alias("test"), F.count("_g").alias("gold"), F.count(F.col("_t") + F.col("_g")).alias("correct"))
-    return counted.unionByName(types.withColumn("family", F.lit("type")))
+    # one pass: a row of counts for each utterance and one for each of its words, added up by word
+    numbers = [c.cast("long").alias(f"{name}{k}") for name, *cols in parts for k, c in enumerate(cols)]
+    names = [f"{name}{k}" for name, *_ in parts for k in range(3)]
+    zeros = [F.lit(0).cast("long").alias(n) for n in names]
+    words = lambda c, t, g: F.transform(F.split(c, " "), lambda w: F.struct(w.alias("word"), F.lit(t).alias("_t"), F.lit(g).alias("_g"), *zeros))
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("word"), F.lit(0).alias("_t"), F.lit(0).alias("_g"), *numbers))
+    by = pairs.select(F.inline(F.concat(whole, words("t", 1, 0), words("g", 0, 1)))).groupBy("word").agg(F.max("_t").alias("_t"), F.max("_g").alias("_g"), *[F.sum(n).alias(n) for n in names])
+    type_ = F.col("word").isNotNull() & (F.col("word") != "_")
+    of = lambda c: F.count_if(type_ & c)
+    sums = by.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names], of(F.col("_t") == 1).alias("type0"), of(F.col("_g") == 1).alias("type1"), of((F.col("_t") == 1) & (F.col("_g") == 1)).alias("type2"))
+    rows = F.array(*[F.struct(F.lit(name).alias("family"), *[F.col(f"{name}{k}").alias(n) for k, n in enumerate(("test", "gold", "correct"))]) for name in FAMILIES])
+    return sums.select(F.inline(rows))
 
 
 def scores(text: DataFrame, gold: DataFrame) -> DataFrame:

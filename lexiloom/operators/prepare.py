@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions.separator import Separator, escaped, is_blank, squeezed
@@ -10,6 +10,7 @@ from ..functions.separator import Separator, escaped, is_blank, squeezed
 # ASCII punctuation, as a regular expression class.
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
 
+# What is said of an utterance that breaks a rule.
 MESSAGES = {
     "empty": "utterance is an empty string",
     "punctuation": "punctuation found in utterance",
@@ -79,26 +80,29 @@ def units_of(text: Column) -> Column:
     return F.filter(F.split(squeezed(text), " ", -1), lambda x: x != "")
 
 
-def ends_of_corpus(df: DataFrame, key: list[str]) -> DataFrame:
+def ends_of_corpus(df: DataFrame, key: list[str]) -> Row:
+    """One row: lo and hi, the first and last ``key`` of a prepared corpus, and the units that stand there first and last; one pass."""
+    units = F.col("_units")
+    rows = df.select(F.struct(*key).alias("_key"), units_of(F.col("text")).alias("_units"))
+    return rows.agg(F.min("_key").alias("lo"), F.max("_key").alias("hi"), F.min_by(F.get(units, F.lit(0)), "_key").alias("first"), F.max_by(F.get(units, F.size(units) - 1), "_key").alias("last")).first()
+
+
+def with_ends(df: DataFrame, key: list[str], ends: Row) -> DataFrame:
     """``df`` plus _first and _last: whether a row is the first or the last of the corpus by ``key``."""
-    order = F.struct(*key)
-    ends = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
     same = lambda end: F.lit(False) if end is None else F.coalesce(F.forall(F.array(*[F.col(k) == F.lit(end[k]) for k in key]), lambda x: x), F.lit(False))
     return df.withColumn("_first", same(ends["lo"])).withColumn("_last", same(ends["hi"]))
 
 
-def dense_order(df: DataFrame, key: list[str], bucket_rows: int = 50_000) -> DataFrame:
-    """``df`` plus _ord, gapless from 0 in the order of ``key``, whose first column is an integer.
+def dense_order(df: DataFrame, key: list[str], range_rows: int = 50_000) -> DataFrame:
+    """``df`` plus _ord, gapless from 0 in the order of ``key``.
 
-    Rows are dealt to ranges of that column, each about ``bucket_rows`` rows; ranges are numbered apart and offset by the counts of
-    those before, so no task sorts the corpus.
+    Rows go to ranges of the whole key, cut by a sample of the rows so that ranges hold about ``range_rows`` rows each, however the key is
+    spread; they are numbered inside their range and offset by the counts of the ranges before. The ranged rows are kept, so that counts
+    and numbers speak of the same ranges.
     """
-    lead = key[0]
-    ends = df.agg(F.min(lead).alias("lo"), F.max(lead).alias("hi"), F.count("*").alias("n")).first()
-    buckets = max(1, -(-ends["n"] // bucket_rows))
-    low, width = ends["lo"] or 0, max(1, -(-((ends["hi"] or 0) - (ends["lo"] or 0) + 1) // buckets))
-    rows = df.withColumn("_bucket", F.floor((F.col(lead) - low) / width))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket
-    offsets = rows.groupBy("_bucket").agg(F.count("*").alias("_n")).select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_bucket").orderBy(*key))
-    return rows.withColumn("_place", place).join(offsets, "_bucket").withColumn("_ord", (F.col("_before") + F.col("_place") - 1).cast("long")).drop("_bucket", "_place", "_before")
+    ranges = max(1, -(-df.count() // range_rows))
+    rows = df.repartitionByRange(ranges, *key).sortWithinPartitions(*key).withColumn("_at", F.monotonically_increasing_id()).persist()
+    part, before = F.shiftright("_at", 33), Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    offsets = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    numbered = rows.withColumn("_part", part).join(F.broadcast(offsets), "_part")  # a row for each range
+    return numbered.withColumn("_ord", F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_part", "_at", "_before")

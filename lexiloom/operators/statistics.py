@@ -54,8 +54,9 @@ def moving_ratio(words: DataFrame, size: int = 10, bucket: int = 20_000) -> Data
     own = F.floor(F.col("_ord") / bucket)
     both = F.when((F.col("_ord") % bucket < size - 1) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
     dealt = placed.withColumn("_b", F.explode(both))
-    over = Window.partitionBy("_b").orderBy("_ord").rowsBetween(0, size - 1)
-    ratio = dealt.withColumn("r", F.size(F.collect_set("token").over(over)) / F.lit(float(size))).filter((F.col("_b") == own) & (F.col("_ord") < total - size))
+    over = Window.partitionBy("_b").orderBy("_ord")
+    tokens_ahead = F.array(F.col("token"), *[F.lead("token", k).over(over) for k in range(1, size)])
+    ratio = dealt.withColumn("_t", tokens_ahead).withColumn("r", F.size(F.array_distinct(F.array_compact("_t"))) / F.lit(float(size))).filter((F.col("_b") == own) & (F.col("_ord") < total - size))
     return ratio.agg(F.avg("r").alias("mattr"))
 
 
@@ -75,7 +76,7 @@ def describe(tagged: DataFrame, separator: Separator = Separator()) -> dict:
     if separator.phone:
         first["entropy"] = entropy(tagged, separator).first()["entropy"]
     out = {"corpus": first}
-    for level in separator.levels():
+    for level in reversed(separator.levels()):
         out[f"{level}s"] = describe_tokens(tokens(tagged, level, separator)).first().asDict()
         if not out[f"{level}s"]["tokens"]:
             raise ValueError(f"no {level} in the corpus")

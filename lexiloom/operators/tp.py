@@ -2,23 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions.pairs import joined_units, pair_scores
-from .prepare import ends_of_corpus, units_of
+from .prepare import ends_of_corpus, units_of, with_ends
 
 KEY = ["doc_id", "line_no"]
 #: Stands between utterances; no unit can be a space.
 EDGE = " "
 
 
-def bigram_counts(prepared: DataFrame) -> DataFrame:
+def bigram_counts(prepared: DataFrame, ends: Row | None = None) -> DataFrame:
     """(a, b, n): adjacent units of the corpus, with EDGE between utterances but not at its two ends.
 
     Pairs are exploded and counted where they are; what shuffles is one row a pair and task.
     """
-    rows = ends_of_corpus(prepared.withColumn("_u", units_of(F.col("text"))), KEY)
+    rows = with_ends(prepared.withColumn("_u", units_of(F.col("text"))), KEY, ends or ends_of_corpus(prepared, KEY))
     left = F.when(F.col("_first"), F.array().cast("array<string>")).otherwise(F.array(F.lit(EDGE)))
     right = F.when(F.col("_last"), F.array().cast("array<string>")).otherwise(F.array(F.lit(EDGE)))
     rows = rows.select(F.concat(left, "_u", right).alias("_u"))
@@ -33,23 +33,19 @@ def unit_counts(prepared: DataFrame) -> DataFrame:
     return units.withColumn("n", F.when(F.col("unit") == EDGE, F.col("n") - 1).otherwise(F.col("n"))).filter("n > 0")
 
 
-def fit(prepared: DataFrame, dependency: str = "ftp") -> DataFrame:
+def fit(prepared: DataFrame, dependency: str = "ftp", ends: Row | None = None) -> DataFrame:
     """(a, b, score) over pair types: ftp f(ab)/f(a), btp f(ab)/f(b), mi log2(f(ab) / (f(a) f(b)))."""
-    pairs = bigram_counts(prepared)
-    edge = prepared.agg(F.max(F.struct(*KEY)).alias("k")).first()["k"]
-    final = [] if edge is None else [r["u"] for r in prepared.filter(" and ".join(f"{k} = {edge[k]}" for k in KEY)).select(F.element_at(units_of(F.col("text")), -1).alias("u")).collect()]
+    ends = ends or ends_of_corpus(prepared, KEY)
     # a unit starts as many pairs as it has occurrences, less one for the last of the corpus, and ends all but the first
-    left = Window.partitionBy("a")
-    joined = pairs.withColumn("na", F.sum("n").over(left) + F.when(F.col("a").isin(final), 1).otherwise(0))
-    first = prepared.filter(" and ".join(f"{k} = {low[k]}" for k in KEY)).select(F.get(units_of(F.col("text")), F.lit(0)).alias("u")).collect() if (low := prepared.agg(F.min(F.struct(*KEY)).alias("k")).first()["k"]) is not None else []
-    joined = joined.withColumn("nb", F.sum("n").over(Window.partitionBy("b")) + F.when(F.col("b").isin([r["u"] for r in first]), 1).otherwise(0))
+    joined = bigram_counts(prepared, ends).withColumns({"na": F.sum("n").over(Window.partitionBy("a")), "nb": F.sum("n").over(Window.partitionBy("b"))})
+    joined = joined.withColumns({"na": F.col("na") + F.when(F.col("a").eqNullSafe(F.lit(ends["last"])), 1).otherwise(0), "nb": F.col("nb") + F.when(F.col("b").eqNullSafe(F.lit(ends["first"])), 1).otherwise(0)})
     score = {"ftp": F.col("n") / F.col("na"), "btp": F.col("n") / F.col("nb"), "mi": F.log2(F.col("n") / (F.col("na") * F.col("nb")))}
     if dependency not in score:
         raise ValueError(f"dependency must be ftp, btp or mi, it is '{dependency}'")
     return joined.select("a", "b", score[dependency].alias("score"))
 
 
-def apply(prepared: DataFrame, model: DataFrame, threshold: str = "relative") -> DataFrame:
+def apply(prepared: DataFrame, model: DataFrame, threshold: str = "relative", ends: Row | None = None) -> DataFrame:
     """``prepared`` with its text segmented. Unseen pairs score 0.
 
     relative: a boundary where the score is below both neighbours'; the first two units of the corpus stay together and nothing
@@ -57,7 +53,7 @@ def apply(prepared: DataFrame, model: DataFrame, threshold: str = "relative") ->
     """
     if threshold not in ("relative", "absolute"):
         raise ValueError(f"threshold must be relative or absolute, it is '{threshold}'")
-    rows = ends_of_corpus(prepared.withColumn("_u", units_of(F.col("text"))), KEY)
+    rows = with_ends(prepared.withColumn("_u", units_of(F.col("text"))), KEY, ends or ends_of_corpus(prepared, KEY))
     if threshold == "absolute":
         mean = F.lit(model.agg(F.sum("score") / F.count("score")).first()[0])
         rows = pair_scores(rows, "_u", model, 0.0, "_s", KEY)
@@ -73,4 +69,7 @@ def apply(prepared: DataFrame, model: DataFrame, threshold: str = "relative") ->
 
 def segment(prepared: DataFrame, train: DataFrame | None = None, threshold: str = "relative", dependency: str = "ftp") -> DataFrame:
     """Train on ``train`` (default: the input itself) and segment ``prepared``."""
-    return apply(prepared, fit(prepared if train is None else train, dependency), threshold)
+    if train is not None:
+        return apply(prepared, fit(train, dependency), threshold)
+    ends = ends_of_corpus(prepared, KEY)
+    return apply(prepared, fit(prepared, dependency, ends), threshold, ends)

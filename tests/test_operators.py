@@ -29,7 +29,15 @@ def test_separator_rules(spark):
     assert value(spark, own.remove(F.lit("wss p"))) == " "
     nested = Separator("_", ";", " ").tokenize(F.lit("j_uː_ n_oʊ_ dʒ_ʌ_s_;t_ "))
     assert value(spark, nested) == [[["j", "uː"]], [["n", "oʊ"]], [["dʒ", "ʌ", "s"], ["t"]]]
-    assert own.upper_levels("phone") == ["word", "syllable"]
+    assert own.upper_levels("phone") == ["syllable", "word"] and str(Separator("_", None, " ")) == '(phone: "_", word: " ")'
+    assert list(own.iterate("pair")) == [("phone", "p"), ("syllable", "s"), ("word", "w")]
+    for bad in ("a+", "\\[ab\\]", "x|y"):
+        with pytest.raises(ValueError, match="illegal"):
+            Separator(bad, "b", "c")
+    with pytest.raises(ValueError, match="undefined"):
+        Separator("_", None, " ").upper_levels("syllable")
+    with pytest.raises(ValueError):
+        own.iterate("other")
     assert value(spark, Separator("_", None, " ").split(F.lit("a_b c_ "), "word")) == ["ab", "c", ""]
 
 
