@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import folding
+
 KEY = ["doc_id", "line_no"]
 MODEL = "kind string, item string, n long"
 #: Rows that a frozen model may have to be sent to every task.
@@ -119,10 +121,14 @@ def train(prepared: DataFrame, group: list[str] = ("doc_id",), order: list[str]
 
 
 def apply(prepared: DataFrame, model: DataFrame, window: int = 2, by_frequency: bool = False) -> DataFrame:
-    """``prepared`` segmented by a frozen model, every row by itself. The model's size is checked before it is sent out."""
+    """``prepared`` segmented by a frozen model, every row by itself.
+
+    A model of at most ``MODEL_ROWS`` rows, counted first, goes to every task. Of a larger one each batch of utterances gets its own part: the
+    items that can occur in them, joined by the strings of their units.
+    """
     rows = model.select("kind", "item", "n").limit(MODEL_ROWS + 1).collect()
     if len(rows) > MODEL_ROWS:
-        raise ValueError(f"a frozen model may have {MODEL_ROWS} rows; drop rare items first")
+        return apply_joined(prepared, model, window, by_frequency)
     held = prepared.sparkSession.sparkContext.broadcast([tuple(r) for r in rows])
 
     def run(batches):
@@ -131,3 +137,37 @@ def apply(prepared: DataFrame, model: DataFrame, window: int = 2, by_frequency:
             yield pdf.assign(text=[" ".join(learner.segment(t.split(), update=False)) for t in pdf["text"]])
 
     return prepared.mapInPandas(run, prepared.schema)
+
+
+def apply_joined(prepared: DataFrame, model: DataFrame, window: int, by_frequency: bool) -> DataFrame:
+    """As ``apply``, for models of any size: each utterance meets the model rows among the strings of its stretches of units."""
+    units = F.split(F.trim("text"), " +")
+    n = F.size(units)
+    stretch = lambda i: F.transform(F.sequence(F.lit(1), n - i), lambda k: F.array_join(F.slice(units, i + 1, k), ""))
+    items = F.array_distinct(F.concat(F.array(F.lit("")), F.flatten(F.transform(F.sequence(F.lit(0), n - 1), stretch))))
+    met = prepared.select(*KEY, F.explode(items).alias("item")).join(model.select("kind", "item", "n"), "item")
+    met = met.groupBy(*KEY).agg(F.collect_list(F.struct("kind", "item", "n")).alias("_model"))
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for text, own in zip(pdf["text"], pdf["_model"], strict=True):
+                rows = [] if own is None else [(r["kind"], r["item"], r["n"]) for r in own]
+                out.append(" ".join(Learner(window, by_frequency).load(rows).segment(text.split(), update=False)))
+            yield pdf.assign(text=out)[columns]
+
+    columns = prepared.columns
+    return prepared.join(met, KEY, "left").mapInPandas(run, prepared.schema)
+
+
+def segment(prepared: DataFrame, train_on: DataFrame | None = None, window: int = 2, by_frequency: bool = False, nfolds: int = 5) -> DataFrame:
+    """``prepared`` (doc_id, line_no, text) segmented; without ``train_on`` by learners that read the folds of runs of the corpus in turn.
+
+    Each utterance comes from the learner that reads its block last. Utterances of nothing go.
+    """
+    if train_on is not None:
+        rows = folding.chained_fold(train_on, 1)
+        return apply(prepared, train(rows, ["chain"], ["_ord"], window, by_frequency), window, by_frequency).filter("text <> ''")
+    rows = folding.chained_fold(prepared, nfolds)
+    read = segment_online(rows, ["chain", "fold"], ["turn", "_ord"], window, by_frequency)
+    return read.filter(F.col("block") == nfolds - 1 - F.col("fold")).filter("text <> ''").select(*prepared.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import string
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.separator import Separator, trimmed
@@ -69,3 +69,85 @@ def score_lines(scores: dict) -> list[str]:
 
 def json_text(value) -> str:
     return json.dumps(value, indent=4, ensure_ascii=False)
+
+
+def raw_lines(stats: dict) -> list[str]:
+    """``level name value`` of nested statistics."""
+    return [f"{level} {name} {value}" for level, own in stats.items() for name, value in own.items()]
+
+
+def write_text(spark: SparkSession, lines: list[str], path: str) -> None:
+    """A few lines as one text file under ``path``."""
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_json(spark: SparkSession, value, path: str) -> None:
+    write_text(spark, json_text(value).split("\n"), path)
+
+
+def summary_dict(errors: DataFrame) -> dict:
+    """{category: {word: n}}, the most frequent words first, of an error summary (category, word, n)."""
+    out: dict[str, dict[str, int]] = {c: {} for c in ("correct", "over", "under", "mis")}
+    for r in errors.orderBy(F.desc("n"), "word").collect():
+        out[r["category"]][r["word"]] = r["n"]
+    return out
+
+
+def write_prepared(tagged: DataFrame, prepared: DataFrame, separator: Separator, path: str, gold_path: str) -> None:
+    """The prepared text and the gold text of the same utterances, side by side: both in corpus order, row for row."""
+    from ..operators.prepare import gold
+
+    write_utterances(prepared, path)
+    write_utterances(gold(tagged.join(prepared.select(*KEY), KEY, "left_semi"), separator), gold_path)
+
+
+def diphone_lines(diphones: DataFrame) -> DataFrame:
+    """(value): ``count a b`` of (a, b, internal, spanning), the most frequent first."""
+    counted = diphones.withColumn("n", F.col("internal") + F.col("spanning")).orderBy(F.desc("n"), "a", "b")
+    return counted.select(F.concat_ws(" ", F.col("n").cast("string"), "a", "b").alias("value"))
+
+
+def read_options(spark: SparkSession, path: str, defaults) -> dict:
+    """Options of a file of lines ``name = value`` (dashes or underscores, # for comments), as the types of ``defaults``' fields; unknown ones fail."""
+    out = {}
+    for row in spark.read.text(path).collect():
+        line = row["value"].split("#", 1)[0].strip()
+        if not line:
+            continue
+        name, _, value = (x.strip() for x in line.partition("="))
+        name = name.lstrip("-").replace("-", "_")
+        if not hasattr(defaults, name):
+            raise ValueError(f"unknown option {name!r} in {path}")
+        kind = type(getattr(defaults, name))
+        out[name] = value.lower() in ("1", "true", "yes") if kind is bool else kind(value)
+    return out
+
+
+def read_gold_spaced(lines: DataFrame) -> DataFrame:
+    """(doc_id, line_no, text, gold) of lines whose spaces are gold boundaries: units are characters, apart by a space in text. A space at the end fails."""
+    ended = F.when(F.col("text").endswith(" "), F.raise_error(F.concat(F.lit("line ends with a space: "), F.col("text")))).otherwise(F.col("text"))
+    rows = lines.withColumn("gold", ended)
+    return rows.withColumn("text", F.trim(F.regexp_replace(F.replace("gold", F.lit(" "), F.lit("")), "(.)", "$1 ")))
+
+
+def read_parses(spark: SparkSession, path: str) -> DataFrame:
+    """(sample, utterance, text) of a stream of parses: one utterance a line, samples apart by empty lines; packed files too.
+
+    A sample that lacks utterances of the first goes. One file is one stream, read in order.
+    """
+    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", r"\n\n+"), lambda x: F.trim(x) != "")).alias("sample", "block"))
+    rows = whole.select("sample", F.split(F.regexp_replace("block", r"^\n+|\n+\z", ""), "\n").alias("lines"))
+    size = F.size(F.first("lines").over(Window.orderBy("sample")))
+    return rows.withColumn("_n", size).filter(F.size("lines") == F.col("_n")).select("sample", F.posexplode("lines").alias("utterance", "text"))
+
+
+def encoded_units(prepared: DataFrame, first: int = 3001) -> tuple[DataFrame, DataFrame]:
+    """(rows with one character for each unit, (unit, letter)): distinct units in order get characters from ``first`` on, whitespace left out."""
+    units = prepared.select(F.explode(F.split(F.trim("text"), " +")).alias("unit")).distinct()
+    letters = [chr(c) for c in range(first, first + 70_000) if not chr(c).isspace() and not 0xD800 <= c < 0xE000]
+    known = sorted(r["unit"] for r in units.limit(len(letters) + 1).collect())
+    if len(known) > len(letters):
+        raise ValueError(f"more than {len(letters)} kinds of units")
+    table = prepared.sparkSession.createDataFrame(list(zip(known, letters, strict=False)), "unit string, letter string")
+    held = table.agg(F.map_from_entries(F.collect_list(F.struct("unit", "letter"))).alias("m")).scalar()
+    return prepared.withColumn("_m", held).withColumn("text", F.array_join(F.transform(F.split(F.trim("text"), " +"), lambda u: F.element_at("_m", u)), "")).drop("_m"), table

@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Stateful operators over streams of utterances."""

@@ -149,3 +149,163 @@ def test_samples_and_vote(lines, spark):
     rows = [(0, 0, 0, s, t) for s, t in enumerate(["ab c", "a bc", "a bc"])] + [(0, 1, 0, 0, "x y"), (0, 1, 0, 1, "xy")]
     votes = sampling.vote(spark.createDataFrame(rows, "doc_id long, line_no int, run int, sample int, text string"))
     assert texts(votes) == ["a bc", "x y"]
+
+
+def plain_puddle(lines, window=2, frequency=False):
+    """The learner word for word on lists: literal slices, restart after each match."""
+    words, begins, ends, out = {}, set(), set(), []
+
+    def emit(units, i, j, into):
+        word = "".join(units[i : j + 1])
+        words[word] = words.get(word, 0) + 1
+        if j > i:
+            begins.add("".join(units[i : i + window]))
+            ends.add("".join(units[j + 1 - window : j + 1]))
+        into.append(word)
+
+    for line in lines:
+        units, into = line.split(), []
+        while units:
+            for i, j in ((i, j) for i in range(len(units)) for j in range(i, len(units))):
+                if "".join(units[i : j + 1]) not in words:
+                    continue
+                k = max((k for k in range(j, len(units)) if "".join(units[i : k + 1]) in words), key=lambda k: (words["".join(units[i : k + 1])], k)) if frequency else j
+                if (i == 0 or "".join(units[i - window : i]) in ends) and "".join(units[k + 1 : k + 1 + window]) in begins:
+                    if i:
+                        emit(units, 0, i - 1, into)
+                    emit(units, i, k, into)
+                    units = units[k + 1 :]
+                    break
+            else:
+                emit(units, 0, len(units) - 1, into)
+                units = []
+        out.append(" ".join(into))
+    return out
+
+
+@pytest.mark.parametrize("window, frequency", [(2, False), (3, True)])
+def test_puddle_against_a_plain_learner(spark, data, lines, window, frequency):
+    from lexiloom.plans import catalog
+
+    given = catalog.prepared_of(spark, data).filter("doc_id < 15").orderBy("doc_id", "line_no").select("doc_id", "line_no", "text")
+    rows = given.collect()
+    groups = {}
+    for r in rows:
+        groups.setdefault(r.doc_id, []).append(r.text)
+    wanted = [x for own in groups.values() for x in plain_puddle(own, window, frequency)]
+    found = puddle.segment_online(given, window=window, by_frequency=frequency)
+    assert texts(found) == wanted and any(" " in x for x in wanted)
+    few = lines([r.text for r in rows[:12]])
+    folds = [[*range(12 - 4 * f, 12), *range(12 - 4 * f)] for f in range(3)]
+    order = [dict(zip(f, plain_puddle([rows[i].text for i in f], window, frequency), strict=True)) for f in folds]
+    assert texts(puddle.segment(few, window=window, by_frequency=frequency, nfolds=3)) == [order[2 - i // 4][i] for i in range(12)]
+
+
+def test_large_puddle_models_are_joined(lines, monkeypatch):
+    train, test = lines(["a b c", "a b", "c d", "a b c d", "d c"]), lines(["a b c d", "c d a b", "x a b", "d"])
+    model = puddle.train(train)
+    wanted = texts(puddle.apply(test, model))
+    monkeypatch.setattr(puddle, "MODEL_ROWS", 1)
+    assert texts(puddle.apply(test, model)) == wanted
+
+
+def test_restaurants():
+    import random
+
+    from lexiloom.operators import dpseg
+
+    rng, letters = random.Random(1), dpseg.Letters(3)
+    own = dpseg.Restaurant(0.3, 2.0, letters)
+    words = [tuple(rng.choice("abc") for _ in range(rng.randint(1, 3))) for _ in range(200)]
+    for w in words:
+        own.insert(w, rng)
+    assert own.total == 200 and own.m == sum(map(len, own.tables.values())) and letters.total == sum(len(w) + 1 for w, t in own.tables.items() for _ in t)
+    w = words[0]
+    assert own.prob(w) == pytest.approx((own.n[w] - 0.3 * len(own.tables[w])) / 202 + (0.3 * own.m + 2) / 202 * letters.prob(w))
+    rng.shuffle(words)
+    for w in words:
+        own.erase(w, rng)
+    assert own.total == own.m == letters.total == 0 and not own.tables
+    seated = dpseg.Restaurant(0.3, 2.0, dpseg.Letters(3))
+    before = 0.0
+    import math
+
+    for w in words[:50]:  # the seating's probability is the product of its steps
+        tables = [*seated.tables.get(w, ())]
+        n, m = seated.total, seated.m
+        seated.insert(w, rng)
+        new = len(seated.tables[w]) > len(tables)
+        grown = [x for x, y in zip(tables, seated.tables[w], strict=False) if x != y]
+        before += math.log((0.3 * m + 2) / (n + 2) if new else (grown[0] - 0.3) / (n + 2))
+    assert seated.log_prob() == pytest.approx(before)
+
+
+def test_draws_of_utterances_against_all_splits():
+    import itertools
+
+    from lexiloom.operators import dpseg
+
+    line = list("abcab")
+    chain = dpseg.Chain([list("abab"), list("cab"), line], dpseg.Options(estimator="tree", init_pboundary=0.5), 3)
+    chain.leave(2)
+    n, more = chain.words.total, (chain.words.total - chain.seen + 1) / (chain.words.total + 2)
+    weight = {}
+    for cuts in itertools.product((False, True), repeat=4):
+        at = [0, *(k + 1 for k, c in enumerate(cuts) if c), 5]
+        own = [tuple(line[x:y]) for x, y in zip(at, at[1:], strict=False)]
+        p = more ** (len(own) - 1)
+        for w in own:
+            p *= chain.words.prob(w)
+        weight[cuts] = p
+    chain.draw(2, 1.0, best=True)
+    assert weight[tuple(chain.cuts[2])] == pytest.approx(max(weight.values()))
+    seen = {c: 0 for c in weight}
+    for _ in range(4000):
+        chain.draw(2, 1.0, best=False)
+        seen[tuple(chain.cuts[2])] += 1
+    total = sum(weight.values())
+    assert all(abs(seen[c] / 4000 - weight[c] / total) < 0.04 for c in weight) and n == chain.words.total
+
+
+@pytest.mark.parametrize("options", [{}, {"ngram": 2}, {"estimator": "tree"}, {"estimator": "viterbi"}, {"estimator": "tree", "online": True}, {"estimator": "decayed", "online": True, "ngram": 2}, {"hypersamp_ratio": 0.1, "a1": 0.2, "anneal_sweeps": 5, "anneal_start": 5.0}, {"estimator": "viterbi", "online": True, "forget": "tokens", "memory": 9}])
+def test_dpseg_chains(options):
+    from lexiloom.operators import dpseg
+
+    given = ["a b c d", "a b", "c d", "c d a b", "b", "a b c d a b"] * 4
+    own = dpseg.Options(sweeps=12, init_pboundary=0.3, **options)
+    chain = dpseg.Chain([x.split() for x in given], own, 5)
+    trace = chain.run()
+    assert ["".join("".join(w) for w in chain.split(i)) for i in range(len(given))] == [x.replace(" ", "") for x in given]
+    if not own.forget:
+        assert chain.words.total == (sum(len(chain.split(i)) for i in range(len(given))) if own.ngram == 1 else sum(r.m for r in chain.after.values()))
+    assert len(trace) == (1 if own.online else 12) and all(x[2] == x[2] for x in trace)
+
+
+def test_dpseg_folds(lines):
+    from lexiloom.operators import dpseg
+
+    given = ["a b c d", "a b", "c d", "c d a b", "a b c d a b", "d c"] * 3
+    found = dpseg.segment(lines(given), 3, dpseg.Options(sweeps=30, init_pboundary=0.3))
+    assert [x.replace(" ", "") for x in texts(found)] == [x.replace(" ", "") for x in given]
+    assert dpseg.traces(lines(given), 3, dpseg.Options(sweeps=2)).count() == 6
+    assert texts(dpseg.apply_frozen(lines(["a b c d", "c d"]), dpseg.Counter({"ab": 9, "cd": 9}))) == ["ab cd", "cd"]
+    assert dpseg.repaired([2, 2, 1, 1, 3], [0, 2]) == [0, 4] and dpseg.repaired([2, 1, 1, 2], [0, 2]) == [0, 3]
+    with pytest.raises(ValueError):
+        dpseg.repaired([1, 2], [0, 1])
+
+
+def test_dibs_dispatch_and_fold_boundaries(lines):
+    tagged = lines(["a b ;eword c ;eword", "a b ;eword d ;eword"])
+    own = prepare.prepare(tagged)
+    trained = dibs.summary(tagged)
+    for kind in dibs.KINDS:
+        assert texts(dibs.segment(own, trained, kind)) == texts(dibs.apply(own, dibs.fit(trained, kind)))
+    for bad in ({"type": "other"}, {"pwb": 2.0}, {"threshold": -0.1}):
+        with pytest.raises(ValueError):
+            dibs.segment(own, trained, **bad)
+    four = lines(["1", "2", "3", "4"])
+    rows = folding.fold(four, 2, [0, 3]).orderBy("fold", "turn", "line_no").collect()
+    assert [r.text for r in rows] == ["1", "2", "3", "4", "4", "1", "2", "3"]
+    assert texts(folding.unfold(folding.fold(four, 2, [0, 3]), 2)) == ["1", "2", "3", "4"]
+    with pytest.raises(ValueError):
+        folding.fold(four, 2, [1, 3])
