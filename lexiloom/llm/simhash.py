@@ -277,7 +277,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, words: int = 1, blocks: i
 SIMILAR = {"shingle": 5, "words": 5, "spare": 3, "blocks": 6, "word_distance": 24, "distance": 94}
 JACCARD = 0.8
 #: Candidates of a node in each table that the first round of checks after the joining pairs takes, and how that grows from round to round.
-NEAREST, MORE = 4, 8
+NEAREST, MORE = 8, 16
 
 
 def tree_links(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
