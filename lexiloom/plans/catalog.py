@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.separator import Separator
-from ..operators import baseline, dibs, evaluate, folding, prepare, puddle, sampling, statistics, tp
+from ..operators import baseline, dibs, dpseg, evaluate, folding, prepare, puddle, sampling, statistics, tp
 from ..sources import corpus
 from .oracle import oracle_sql  # noqa: F401
 
@@ -130,6 +130,11 @@ def queries() -> dict[str, Query]:
         "puddle_online": lambda s, d: conserved(puddle.segment_online(prepared_of(s, d)), gold_of(s, d)),
         "puddle_frozen": puddle_frozen,
         "sampled_vote": sampled_vote,
+        "puddle_online_text": lambda s, d: puddle.segment_online(prepared_of(s, d)),
+        "puddle_folds_text": lambda s, d: puddle.segment(prepare.prepare(corpus.tagged(items_of(s, d), SEP), SEP), nfolds=5),
+        "dpseg_folds": lambda s, d: conserved(dpseg.segment(prepare.prepare(corpus.tagged(items_of(s, d), SEP), SEP), 5, dpseg.Options(sweeps=10, init_pboundary=0.3)), items_of(s, d)),
+        "oracle_probability": lambda s, d: s.createDataFrame([(round(baseline.oracle_probability(tagged_of(s, d), SEP), 6),)], "probability double"),
+        "diphone_dump": lambda s, d: corpus.diphone_lines(dibs.summary(tagged_of(s, d), SEP)["diphones"]),
     }
     for dependency in ("ftp", "btp", "mi"):
         out[f"tp_table_{dependency}"] = tp_table(dependency)

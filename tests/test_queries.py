@@ -11,7 +11,7 @@ import pytest
 from lexiloom.plans import catalog
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-FEW = ["gold_words", "validate_errors", "describe_words", "tp_relative_ftp", "evaluate_tp", "dibs_model_phrasal", "error_summary_tp", "fold_assignment", "mattr"]
+FEW = ["gold_words", "validate_errors", "describe_words", "tp_relative_ftp", "evaluate_tp", "dibs_model_phrasal", "error_summary_tp", "fold_assignment", "mattr", "oracle_probability", "diphone_dump", "dpseg_folds"]
 
 
 def same(found, wanted):
@@ -34,8 +34,9 @@ def test_query(spark, data, duck, name):
     same(catalog.queries()[name](spark, data).toPandas(), duck.sql(catalog.oracle_sql()[name]).df())
 
 
-def test_every_query_has_sql():
-    assert set(catalog.queries()) == set(catalog.oracle_sql())
+def test_every_query_but_the_learners_texts_has_sql():
+    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"puddle_online_text", "puddle_folds_text"}
+    assert set(catalog.oracle_sql()) <= set(catalog.queries())
 
 
 def test_entry_works_without_the_training_data_operators(tmp_path):
