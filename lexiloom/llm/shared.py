@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 50_000
 
 #: Whole texts that a Python worker gets at once; what follows from them may be many times larger.
-TEXT_BATCH = 1000
+TEXT_BATCH = 4000
 
 #: The columns of the documents table, in order.
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
