@@ -391,6 +391,22 @@ def judged(pairs: DataFrame, texts: DataFrame, shingle: int, jaccard: float) ->
     return written(pairs.select("a", "b", similar("x", "y").alias("ok")), "judged")
 
 
+def in_groups(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, group) of ``nodes`` (node); a node without links is its own group."""
+    return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("group"))
+
+
+def around(failed: DataFrame, roots: DataFrame) -> DataFrame:
+    """The nodes, written, of all groups between which a pair of ``failed`` (a, b) stands.
+
+    No others can have an unchecked candidate of another group: checked pairs join the two, and the first of these that leaves a group has failed.
+    """
+    one, other = (in_groups(failed.select(F.col(c).alias("node")).distinct(), roots).select(F.col("node").alias(c), F.col("group").alias("_" + c)) for c in "ab")
+    groups = failed.join(one, "a").join(other, "b").filter("_a <> _b").select(F.explode(F.array("_a", "_b")).alias("root")).distinct()
+    groups = written(groups, "groups")
+    return written(roots.join(groups, "root", "left_semi").select("node").unionByName(groups.select(F.col("root").alias("node"))).distinct(), "around")
+
+
 def one_of_each(docs: DataFrame, shingle: int = 5, words: int = 5, spare: int = 3, blocks: int = 6, word_distance: int = 24, distance: int = 94, jaccard: float = JACCARD) -> DataFrame:
     """The rows of ``docs`` less near-duplicates: of each group of linked texts the row of least doc_id stays (null last), then of least text hash.
 
@@ -431,19 +447,15 @@ def one_of_each(docs: DataFrame, shingle: int = 5, words: int = 5, spare: int =
     checked = check(candidates(plain.withColumn("group", F.col("node")), None, *size))
     links = checked.filter("ok").select("a", "b")
     roots = written(components(links), "roots")
-    failed = checked.filter("not ok")
-    open_ = None
-    if not failed.isEmpty():
-        loose = written(components(checked.select("a", "b")), "loose")
-        around = loose.join(failed.select(F.col("a").alias("node")), "node").select("root").distinct()
-        open_ = loose.join(around, "root", "left_semi").select("node")
+    open_ = around(checked.filter("not ok"), roots)
     most = NEAREST
-    while open_ is not None and not open_.isEmpty():
-        grouped = open_.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("group"))
-        found = candidates(plain.join(grouped, "node"), most, *size)
+    while not open_.isEmpty():
+        found = candidates(plain.join(in_groups(open_, roots), "node"), most, *size)
         more = check(found.filter("a <> b").join(checked, ["a", "b"], "left_anti"))
         checked = checked.unionByName(more)
-        roots = written(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more.filter("ok").select("a", "b"))), "roots")
+        new = more.filter("ok").select("a", "b")
+        if not new.isEmpty():
+            roots = written(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new)), "roots")
         open_, most = found.filter("a = b").select(F.col("a").alias("node")), most * MORE
     known = plain.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("_root"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("_id"), F.col("_hash"))
