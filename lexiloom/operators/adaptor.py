@@ -416,7 +416,9 @@ def chains(prepared: DataFrame, rules: DataFrame, category: str, start: str, nru
         chain = Chain([t.split() for t in pdf["text"]], held, start, o, (o.seed + int(key[1]) + 7919 * int(key[0])) % (1 << 32))
         return give(chain, pdf, key)
 
-    return rows.groupBy("chain", "run").applyInPandas(run, schema)
+    # a number of its own, as small rows would be gathered into one task otherwise, whatever their work
+    parts = int(prepared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "chain", "run").groupBy("chain", "run").applyInPandas(run, schema)
 
 
 def samples(prepared: DataFrame, rules: DataFrame, category: str = "Colloc0", start: str = "Sentence", nruns: int = 8, keep: int = 1, options: Options = Options()) -> DataFrame:

@@ -7,12 +7,17 @@ from pyspark.sql import functions as F
 
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
-    """(weight, a, b, parent, rhs) of lines ``[weight [a [b]]] Parent --> Child ...``; numbers left out are null. Rules adapt unless a is 1."""
+    """The rules of a grammar file, as ``parsed`` gives them."""
+    return parsed(spark.read.text(path))
+
+
+def parsed(lines: DataFrame) -> DataFrame:
+    """(weight, a, b, parent, rhs) of lines (value) ``[weight [a [b]]] Parent --> Child ...``; numbers left out are null. Rules adapt unless a is 1."""
     parts = F.split(F.col("value"), r"\s-->\s*", 2)
     left = F.filter(F.split(F.trim(parts[0]), r"\s+"), lambda x: x != "")
     number = lambda i: F.when(F.size(left) > i + 1, F.get(left, F.lit(i)).cast("double"))
     rhs = F.filter(F.split(F.trim(F.get(parts, F.lit(1))), r"\s+"), lambda x: x != "")
-    rows = spark.read.text(path).filter(F.trim("value") != "")
+    rows = lines.filter(F.trim("value") != "")
     return rows.select(number(0).alias("weight"), number(1).alias("a"), number(2).alias("b"), F.element_at(left, -1).alias("parent"), rhs.alias("rhs"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.separator import Separator
-from ..operators import baseline, dibs, dpseg, evaluate, folding, prepare, puddle, sampling, statistics, tp
+from ..operators import adaptor, baseline, dibs, dpseg, evaluate, folding, grammars, prepare, puddle, sampling, statistics, tp
 from ..sources import corpus
 from .oracle import oracle_sql  # noqa: F401
 
@@ -96,6 +96,14 @@ def sampled_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conserved(sampling.vote(drawn), items)
 
 
+def adaptor_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs over the benchmark items, words being remembered runs of letters."""
+    items = items_of(spark, sf_dir)
+    prepared = prepare.prepare(corpus.tagged(items, SEP), SEP)
+    rules = grammars.parsed(grammars.generated(prepared.select(F.explode(F.split("text", " ")).alias("unit"))))
+    return conserved(adaptor.segment(prepared, rules, nruns=2, options=adaptor.Options(sweeps=2)), items)
+
+
 def unfold_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folding.unfold(folding.fold(gold_of(spark, sf_dir), 5), 5).select("doc_id", "line_no", "text")
 
@@ -133,6 +141,7 @@ def queries() -> dict[str, Query]:
         "puddle_online_text": lambda s, d: puddle.segment_online(prepared_of(s, d)),
         "puddle_folds_text": lambda s, d: puddle.segment(prepare.prepare(corpus.tagged(items_of(s, d), SEP), SEP), nfolds=5),
         "dpseg_folds": lambda s, d: conserved(dpseg.segment(prepare.prepare(corpus.tagged(items_of(s, d), SEP), SEP), 5, dpseg.Options(sweeps=10, init_pboundary=0.3)), items_of(s, d)),
+        "adaptor_vote": adaptor_vote,
         "oracle_probability": lambda s, d: s.createDataFrame([(round(baseline.oracle_probability(tagged_of(s, d), SEP), 6),)], "probability double"),
         "diphone_dump": lambda s, d: corpus.diphone_lines(dibs.summary(tagged_of(s, d), SEP)["diphones"]),
     }

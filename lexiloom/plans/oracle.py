@@ -149,6 +149,7 @@ SELECT error, count(*) AS n FROM e GROUP BY ALL""",
         "baseline_none": sql(UTT, then="SELECT doc_id, line_no, replace(text, ' ', '') AS text FROM utt"),
         "baseline_all": sql(UTT, then="SELECT doc_id, line_no, regexp_replace(replace(text, ' ', ''), '(.)', '\\1 ', 'g') AS text FROM utt"),
         "sampled_vote": "WITH " + ITEMS + " SELECT doc_id, line_no, TRUE AS conserved FROM bt WHERE text <> ''",
+        "adaptor_vote": "WITH " + ITEMS + " SELECT doc_id, line_no, TRUE AS conserved FROM bt WHERE text <> ''",
         "dpseg_folds": "WITH " + ITEMS + " SELECT doc_id, line_no, TRUE AS conserved FROM bt WHERE text <> ''",
         "oracle_probability": sql(UTT, LETTERS, DIBS, then="SELECT round(nwords / nphones, 6) AS probability FROM cnt"),
         "diphone_dump": sql(UTT, LETTERS, DIBS, then="SELECT concat_ws(' ', internal + spanning, a, b) AS value FROM dip"),

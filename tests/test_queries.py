@@ -11,7 +11,7 @@ import pytest
 from lexiloom.plans import catalog
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-FEW = ["gold_words", "validate_errors", "describe_words", "tp_relative_ftp", "evaluate_tp", "dibs_model_phrasal", "error_summary_tp", "fold_assignment", "mattr", "oracle_probability", "diphone_dump", "dpseg_folds"]
+FEW = ["gold_words", "validate_errors", "describe_words", "tp_relative_ftp", "evaluate_tp", "dibs_model_phrasal", "error_summary_tp", "fold_assignment", "mattr", "oracle_probability", "diphone_dump", "dpseg_folds", "adaptor_vote"]
 
 
 def same(found, wanted):
