@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, licences, linechunks, mixing, mtree, passages, quality, sharding, simhash, urls
+from . import alignment, decontamination, licences, linechunks, mixing, mtree, passages, quality, sharding, simhash, urls
 from .shared import documents, word_count, written
 
 
@@ -105,8 +105,18 @@ FROM cut
 """
 
 
+#: Folder of the public tokenizers' files, the same on all machines.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    out = alignment.align(docs, f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model")
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_licences, op3_decontamination, op4_quality, op5_linechunks, op6_passages, op7_topk, op8_urls, op9_simhash, op10_mixing)}
+    return {f.__name__: f for f in (op1_sharding, op2_licences, op3_decontamination, op4_quality, op5_linechunks, op6_passages, op7_topk, op8_urls, op9_simhash, op10_mixing, op11_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
