@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, decontamination, licences, linechunks, mixing, mtree, passages, quality, sharding, simhash, urls
+from . import alignment, decontamination, divergence, licences, linechunks, mixing, mtree, multiindex, passages, quality, sharding, simhash, urls
 from .shared import documents, word_count, written
 
 
@@ -115,9 +115,49 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents),
+w AS (SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+lang_terms AS (SELECT lang, term, count(*) AS total FROM w GROUP BY lang, term HAVING count(DISTINCT id) >= 10),
+langs AS (SELECT lang, count(*) AS v, CAST(sum(total) AS HUGEINT) AS n FROM lang_terms GROUP BY lang),
+counts AS (SELECT lang, source, term, count(*) AS n FROM w JOIN lang_terms USING (lang, term) GROUP BY lang, source, term),
+groups AS (
+  SELECT g.lang, g.source, coalesce(l.v, 0) AS v, coalesce(l.n, 0) AS lang_n, coalesce(s.n, 0) AS n
+  FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN langs l USING (lang)
+  LEFT JOIN (SELECT lang, source, CAST(sum(n) AS HUGEINT) AS n FROM counts GROUP BY lang, source) s USING (lang, source)),
+shares AS (
+  SELECT g.lang, g.source, t.term, coalesce(c.n, 0) AS n, 1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 2) // (g.n + 2 * g.v) AS p,
+         1 + CAST(1000000000 AS HUGEINT) * (t.total + 2) // (g.lang_n + 2 * g.v) AS q
+  FROM groups g JOIN lang_terms t USING (lang) LEFT JOIN counts c USING (lang, source, term)),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, CAST(sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS BIGINT) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3
+  UNION ALL
+  SELECT a.lang, a.source, b.source, 0 FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source WHERE a.v = 0),
+best AS (SELECT lang, source, term AS item, CAST((p - q) * (p - q) // (p + q) AS BIGINT) AS value FROM shares WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+  UNION ALL
+  SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM best
+  QUALIFY rank <= 10)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM ranked
+"""
+
+
+def op13_multiindex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiindex.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0, 10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_licences, op3_decontamination, op4_quality, op5_linechunks, op6_passages, op7_topk, op8_urls, op9_simhash, op10_mixing, op11_alignment)}
+    return {f.__name__: f for f in (op1_sharding, op2_licences, op3_decontamination, op4_quality, op5_linechunks, op6_passages, op7_topk, op8_urls, op9_simhash, op10_mixing, op11_alignment, op12_divergence, op13_multiindex)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_topk": OP7_SQL, "op10_mixing": OP10_SQL}
+    return {"op7_topk": OP7_SQL, "op10_mixing": OP10_SQL, "op12_divergence": OP12_SQL}
