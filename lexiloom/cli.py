@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import jobs
 from .functions.separator import Separator
 from .operators import baseline, dibs, dpseg, evaluate, prepare, puddle, statistics, syllables, tp
-from .sources import corpus
+from .sources import corpus, text
 
 SEGMENTERS = ("baseline", "tp", "dibs", "puddle", "dpseg")
 
@@ -53,8 +53,8 @@ def segmented(name: str, args: argparse.Namespace, given: DataFrame, train: Data
     if name == "tp":
         return tp.segment(given, train, args.threshold, args.dependency)
     if name == "dibs":
-        if train is None:
-            raise ValueError("dibs needs a text to learn from")
+        if train is None:  # the given text is tagged, then, and what is learned from it segments it
+            train, given = given, prepare.prepare(given, separator, args.unit)
         return dibs.segment(given, dibs.summary(train, separator, args.unit), args.type, args.threshold, args.pboundary)
     if name == "puddle":
         return puddle.segment(given, train, args.window, args.by_frequency, args.nfolds)
@@ -96,7 +96,7 @@ def parser() -> argparse.ArgumentParser:
     one.add_argument("--json", action="store_true")
     for name in SEGMENTERS:
         one = command(name, f"segment a prepared text with {name}", separators=name in ("dibs", "baseline"))
-        one.add_argument("input")
+        one.add_argument("input", help="prepared text; for dibs without a text to learn from a tagged one" if name == "dibs" else "prepared text")
         add_options(one, name)
     one = command("eval", "scores of a segmented against a gold text")
     one.add_argument("text")
@@ -129,8 +129,36 @@ def job_segmenters() -> dict:
     return {name: of(name) for name in SEGMENTERS}
 
 
+def taken_in(spark: SparkSession, path: str, given=None) -> str:
+    """``path``, or for "-" that of a file in the shared folder to which the standard input was copied, a block at a time."""
+    if path != "-":
+        return path
+    own = text.scratch(spark, "stdin") + ".txt"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+    with_end = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at)
+    source = given or sys.stdin.buffer
+    try:
+        while block := source.read(1 << 20):
+            with_end.write(block)
+    finally:
+        with_end.close()
+    return own
+
+
+def given_out(spark: SparkSession, path: str) -> None:
+    """Print the text files of a folder in the order of their names, a partition at a time."""
+    for row in text.read_lines(spark, path, "corpus").orderBy("line_no").select("text").toLocalIterator():
+        print(row["text"])
+
+
 def run(spark: SparkSession, args: argparse.Namespace) -> None:
-    read = lambda path: corpus.read_lines(spark, path)
+    """A command; with "-" as its output, what it writes is printed."""
+    if getattr(args, "output", None) == "-" and args.command != "jobs":
+        args.output = text.scratch(spark, "stdout")
+        run(spark, args)
+        given_out(spark, args.output)
+        return
+    read = lambda path: corpus.read_lines(spark, taken_in(spark, path))
     separator = separator_of(args)
     if args.command == "prep":
         tagged = read(args.input)
@@ -148,12 +176,14 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         found = statistics.describe(read(args.input), separator)
         corpus.write_json(spark, found, args.output) if args.json else corpus.write_text(spark, corpus.raw_lines(found), args.output)
     elif args.command == "eval":
-        text, gold = read(args.text), read(args.gold)
-        corpus.write_text(spark, corpus.score_lines(evaluate.evaluate(text, gold, read(args.rand_index) if args.rand_index else None)), args.output)
+        own, gold = read(args.text), read(args.gold)
+        corpus.write_text(spark, corpus.score_lines(evaluate.evaluate(own, gold, read(args.rand_index) if args.rand_index else None)), args.output)
         if args.summary:
-            corpus.write_json(spark, corpus.summary_dict(evaluate.error_summary(text, gold)), args.summary)
+            corpus.write_summary(evaluate.error_summary(own, gold), args.summary)
     elif args.command == "jobs":
-        jobs.run_jobs(spark, "\n".join(r["value"] for r in spark.read.text(args.input).collect()), job_segmenters(), args.output)
+        ended = jobs.run_jobs(spark, "\n".join(r["value"] for r in spark.read.text(args.input).collect()), job_segmenters(), args.output)
+        if failed := {name: own.error for name, own in ended.items() if own.error}:
+            raise RuntimeError("; ".join(f"job {name} failed: {str(e).splitlines()[0] if str(e) else e!r}" for name, e in failed.items()))
     else:
         train = getattr(args, "train_file", None)
         corpus.write_utterances(segmented(args.command, args, read(args.input), read(train) if train else None, separator), args.output)

@@ -9,9 +9,11 @@ from __future__ import annotations
 import re
 import shlex
 import time
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
-from pathlib import Path
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import SparkSession
 
 from .functions.separator import Separator
@@ -49,7 +51,28 @@ def parse_job(line: str, known: set[str]) -> Job:
     return Job(name, test, train or None, unit, Separator(**{"phone": None, "syllable": None, "word": None} | own), command, words[1:])
 
 
-def read_jobs(text: str, known: set[str], exists=lambda path: Path(path).is_file()) -> list[Job]:
+@dataclass(frozen=True)
+class Outcome:
+    """What became of a job: its scores, or the error that ended it, and when it ran (seconds of one clock)."""
+
+    scores: dict | None
+    error: Exception | None
+    began: float
+    ended: float
+
+
+def there(spark: SparkSession) -> Callable[[str], bool]:
+    """Whether a path exists, by the file system that Spark reads it from; patterns count if they match something."""
+
+    def exists(path: str) -> bool:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
+        return found is not None and len(found) > 0
+
+    return exists
+
+
+def read_jobs(text: str, known: set[str], exists: Callable[[str], bool]) -> list[Job]:
     """The jobs of a file, checked: names differ, files are there."""
     jobs = [parse_job(line, known) for raw in text.splitlines() if (line := raw.split("#", 1)[0].strip())]
     names = [j.name for j in jobs]
@@ -67,15 +90,39 @@ def run_job(spark: SparkSession, job: Job, segmenters: dict, out: str) -> dict:
     prepared, gold = prepare.prepare(tagged, job.separator, job.unit), prepare.gold(tagged, job.separator)
     trained = None if job.train is None else corpus.read_lines(spark, job.train)
     segmented = segmenters[job.command](prepared, trained, tagged, job).persist()
-    corpus.write_json(spark, statistics.describe(tagged, job.separator), f"{base}/stats.json")
-    for name, rows in (("prepared", prepared), ("gold", gold), ("segmented", segmented)):
-        corpus.write_utterances(rows, f"{base}/{name}.txt", parts=1)
-    scores = evaluate.evaluate(segmented, gold, prepared)
-    corpus.write_text(spark, corpus.score_lines(scores), f"{base}/eval.txt")
-    corpus.write_json(spark, corpus.summary_dict(evaluate.error_summary(segmented, gold)), f"{base}/summary.json")
+    try:
+        corpus.write_json(spark, statistics.describe(tagged, job.separator), f"{base}/stats.json")
+        for name, rows in (("prepared", prepared), ("gold", gold), ("segmented", segmented)):
+            corpus.write_utterances(rows, f"{base}/{name}.txt", parts=1)
+        scores = evaluate.evaluate(segmented, gold, prepared)
+        corpus.write_text(spark, corpus.score_lines(scores), f"{base}/eval.txt")
+        corpus.write_summary(evaluate.error_summary(segmented, gold), f"{base}/summary.json")
+    finally:
+        segmented.unpersist()
     corpus.write_text(spark, [f"{time.time() - start:.1f} s"], f"{base}/log.txt")
     return scores
 
 
-def run_jobs(spark: SparkSession, text: str, segmenters: dict, out: str) -> dict[str, dict]:
-    return {job.name: run_job(spark, job, segmenters, out) for job in read_jobs(text, set(segmenters))}
+def run_jobs(spark: SparkSession, text: str, segmenters: dict, out: str, at_once: int = 4) -> dict[str, Outcome]:
+    """The outcome of every job of a file, ``at_once`` of them at a time.
+
+    Each job has a thread, a job group and a scheduler pool of its own name, so that with spark.scheduler.mode FAIR they share the cluster and
+    one can be cancelled by its name. A job that fails leaves its error in its outcome and in ``error.txt`` of its folder; the others go on.
+    """
+    context = spark.sparkContext
+
+    def one(job: Job) -> Outcome:
+        context.setLocalProperty("spark.scheduler.pool", job.name)
+        context.setJobGroup(job.name, f"job {job.name}: {job.command}", interruptOnCancel=True)
+        began = time.monotonic()
+        try:
+            return Outcome(run_job(spark, job, segmenters, out), None, began, time.monotonic())
+        except Exception as error:  # noqa: BLE001  the other jobs go on
+            context.cancelJobGroup(job.name)
+            corpus.write_text(spark, str(error).splitlines()[:1], f"{out}/{job.name}/error.txt")
+            return Outcome(None, error, began, time.monotonic())
+
+    todo = read_jobs(text, set(segmenters), there(spark))
+    with ThreadPoolExecutor(max_workers=max(1, at_once)) as pool:
+        waiting = {job.name: pool.submit(inheritable_thread_target(one), job) for job in todo}
+        return {name: result.result() for name, result in waiting.items()}

@@ -23,11 +23,14 @@ def segment(prepared: DataFrame, probability: float = 0.5, seed: int = 0) -> Dat
     return prepared.withColumn("text", F.array_join(pieces, ""))
 
 
-def oracle_probability(tagged: DataFrame, separator: Separator = Separator(), level: str = "phone") -> float:
-    """Words by units of a tagged corpus."""
+def word_share(tagged: DataFrame, separator: Separator = Separator(), level: str = "phone") -> DataFrame:
+    """One row, probability: words by units of a tagged corpus, 0 without units."""
     n = lambda at: F.sum(F.size(separator.tokenize(F.col("text"), at, keep_boundaries=False)))
-    row = tagged.agg(n("word").alias("words"), n(level).alias("units")).first()
-    return row["words"] / row["units"] if row["units"] else 0.0
+    return tagged.agg(F.coalesce(F.try_divide(n("word"), n(level)), F.lit(0.0)).alias("probability"))
+
+
+def oracle_probability(tagged: DataFrame, separator: Separator = Separator(), level: str = "phone") -> float:
+    return word_share(tagged, separator, level).first()["probability"]
 
 
 def segment_oracle(prepared: DataFrame, tagged: DataFrame, separator: Separator = Separator(), level: str = "phone", seed: int = 0) -> DataFrame:

@@ -6,7 +6,7 @@ word types of the lexicon scores shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.separator import squeezed
@@ -28,16 +28,22 @@ def steps(ends: Column) -> Column:
     return F.zip_with(ends, before, lambda x, y: x - y)
 
 
-def paired(text: DataFrame, gold: DataFrame) -> DataFrame:
-    """(key, t, g, te, ge): squeezed texts and the word ends of both sides. Utterances must match and have the same letters, else the job fails."""
-    own = text.select(*KEY, squeezed(F.col("text")).alias("t"))
-    other = gold.select(*KEY, squeezed(F.col("text")).alias("g"))
+def paired(text: DataFrame, gold: DataFrame | None) -> DataFrame:
+    """(key, t, g, te, ge): squeezed texts and the word ends of both sides. Utterances must match and have the same letters, else the job fails.
+
+    Without ``gold``, ``text`` has a column gold: both sides come from one row and nothing is joined.
+    """
     at = F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("line_no").cast("string"))
     letters = lambda c: F.replace(c, F.lit(" "), F.lit(""))
     checked = F.when(F.col("t").isNull() | F.col("g").isNull(), F.raise_error(F.concat(F.lit("only one side has utterance "), at)).cast("string"))
     checked = checked.when(letters("t") != letters("g"), F.raise_error(F.concat(F.lit("letters differ in utterance "), at)).cast("string")).otherwise(F.col("t"))
+    own = [*KEY, squeezed(F.col("text")).alias("t")]
+    if gold is None:
+        rows = text.select(*own, squeezed(F.col("gold")).alias("g"))
+    else:
+        rows = text.select(*own).join(gold.select(*KEY, squeezed(F.col("text")).alias("g")), KEY, "full")
     # empty rows go after the join: a filter before it would be pushed down with all that computes the text
-    rows = own.join(other, KEY, "full").filter("coalesce(t, '') <> '' or coalesce(g, '') <> ''").withColumn("t", checked)
+    rows = rows.filter("coalesce(t, '') <> '' or coalesce(g, '') <> ''").withColumn("t", checked)
     return rows.withColumn("te", ends_of(F.col("t"))).withColumn("ge", ends_of(F.col("g")))
 
 
@@ -70,8 +76,8 @@ def score_counts(pairs: DataFrame) -> DataFrame:
     return sums.select(F.inline(rows))
 
 
-def scores(text: DataFrame, gold: DataFrame) -> DataFrame:
-    """(family, precision, recall, fscore), null where undefined."""
+def scores(text: DataFrame, gold: DataFrame | None = None) -> DataFrame:
+    """(family, precision, recall, fscore), null where undefined; ``gold`` as in ``paired``."""
     counts = score_counts(paired(text, gold))
     return counts.select("family", F.try_divide("correct", "test").alias("precision"), F.try_divide("correct", "gold").alias("recall"), F.try_divide(2 * F.col("correct"), F.col("test") + F.col("gold")).alias("fscore"))
 
@@ -85,7 +91,15 @@ def evaluate(text: DataFrame, gold: DataFrame, units: DataFrame | None = None) -
     return out
 
 
-def adjusted_rand_index(text: DataFrame, gold: DataFrame, units: DataFrame | None = None) -> DataFrame:
+def units_within(ends: str | Column) -> Column:
+    """For each word end how many units (whose ends are ``ue``) end there or before: places in the sorted ends of both, so one sort for an utterance."""
+    one = lambda c, kind: F.transform(c, lambda x: F.struct(x.alias("x"), F.lit(kind).alias("kind")))
+    both = F.array_sort(F.concat(one("ue", 0), one(ends, 1)))
+    places = F.filter(F.transform(both, lambda x, at: F.when(x["kind"] == 1, at)), lambda at: at.isNotNull())
+    return F.transform(places, lambda at, k: at - k)
+
+
+def adjusted_rand_index(text: DataFrame, gold: DataFrame | None = None, units: DataFrame | None = None) -> DataFrame:
     """One row: the index over units, each word token a class of its own.
 
     Both sides partition the same letters, so the cells of the contingency table are the stretches between boundaries of either
@@ -99,7 +113,7 @@ def adjusted_rand_index(text: DataFrame, gold: DataFrame, units: DataFrame | Non
         own = units.select(*KEY, squeezed(F.col("text")).alias("u"))
         rows = rows.join(own, KEY).withColumn("ue", ends_of(F.col("u"))).withColumn("n", F.size("ue"))
         # a word's units are those that end in it
-        counts = lambda e: steps(F.transform(e, lambda x: F.size(F.filter("ue", lambda u: u <= x))))
+        counts = lambda e: steps(units_within(e))
     twos = lambda a: F.aggregate(F.transform(a, lambda n: n.cast("long")), F.lit(0).cast("long"), lambda s, n: s + F.floor(n * (n - 1) / 2).cast("long"))
     sums = rows.agg(
         F.sum(twos(counts(F.array_sort(F.array_union("te", "ge"))))).cast("double").alias("both"),
@@ -114,17 +128,22 @@ def adjusted_rand_index(text: DataFrame, gold: DataFrame, units: DataFrame | Non
     return sums.select(index.alias("adjusted_rand_index"))
 
 
-def error_summary(text: DataFrame, gold: DataFrame) -> DataFrame:
+def error_summary(text: DataFrame, gold: DataFrame | None = None) -> DataFrame:
     """(category, word, n): gold words by what became of them: correct, over-, under- or mis-segmented.
 
     The utterance is cut at boundaries that both sides share; a chunk of one word on each side is correct, one gold word in several pieces
-    is over-, several gold words in one piece under-segmented, anything else mis-segmented.
+    is over-, several gold words in one piece under-segmented, anything else mis-segmented. Shared boundaries are neighbours in the
+    sorted ends of both sides, and their places say how many words of each side a chunk has: an utterance is handled in its row, and only
+    (category, word) counts shuffle.
     """
     pairs = paired(text, gold)
-    side = lambda e, word, of: pairs.select(*KEY, F.explode(F.arrays_zip(F.col(e).alias("e"), F.split(word, " ").alias("w"))).alias("x")).select(*KEY, "x.e", F.lit(of).alias("of"), F.when(F.lit(of == "g"), F.col("x.w")).alias("word"))
-    ends = side("te", "t", "t").unionByName(side("ge", "g", "g")).groupBy(*KEY, "e").agg(F.count("*").alias("n"), F.count_if(F.col("of") == "t").alias("nt"), F.max("word").alias("word"))
-    before = Window.partitionBy(*KEY).orderBy("e").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.withColumn("chunk", F.coalesce(F.count_if(F.col("n") == 2).over(before), F.lit(0)))
-    chunks = ends.groupBy(*KEY, "chunk").agg(F.sum("nt").alias("nt"), F.count("word").alias("ng"), F.collect_list("word").alias("own"))
-    category = F.when((F.col("ng") == 1) & (F.col("nt") == 1), "correct").when(F.col("ng") == 1, "over").when(F.col("nt") == 1, "under").otherwise("mis")
-    return chunks.select(category.alias("category"), F.explode("own").alias("word")).groupBy("category", "word").agg(F.count("*").alias("n"))
+    placed = lambda e, side: F.transform(e, lambda x, k: F.struct(x.alias("x"), F.lit(side).alias("side"), k.alias("k")))
+    pairs = pairs.select("g", F.array_sort(F.concat(placed("te", 0), placed("ge", 1))).alias("ends"))
+    n = F.greatest(F.size("ends") - 1, F.lit(0))
+    same = F.zip_with(F.slice("ends", 1, n), F.slice("ends", 2, n), lambda t, g: F.when(t["x"] == g["x"], F.struct((t["k"] + 1).alias("t"), (g["k"] + 1).alias("g"))))
+    pairs = pairs.select("g", F.filter(same, lambda x: x.isNotNull()).alias("shared"))
+    counts = lambda side: steps(F.transform("shared", lambda x: x[side]))
+    category = lambda t, g: F.when((g == 1) & (t == 1), "correct").when(g == 1, "over").when(t == 1, "under").otherwise("mis")
+    chunks = F.zip_with(counts("t"), counts("g"), lambda t, g: F.array_repeat(category(t, g), g))
+    words = F.arrays_zip(F.flatten(chunks).alias("category"), F.split("g", " ").alias("word"))
+    return pairs.select(F.inline(words)).groupBy("category", "word").agg(F.count("*").alias("n"))

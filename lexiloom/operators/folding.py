@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .prepare import dense_order
+from .prepare import dense_order, units_of
 
 KEY = ["doc_id", "line_no"]
 #: Utterances that one sequential learner reads at most (the last of a corpus up to twice as many).
@@ -25,14 +25,41 @@ def blocks(df: DataFrame, nfolds: int, fold_boundaries: list[int] | None = None)
     return dense_order(df, KEY).withColumn("block", (F.size(F.filter(begun, lambda b: b <= F.col("_ord"))) - 1).cast("int"))
 
 
+def fold_starts(df: DataFrame, nfolds: int, least_units: int = 2) -> DataFrame:
+    """(block, start): where each of ``nfolds`` blocks of equal size begins, moved on to the next utterance of ``least_units`` units or more.
+
+    One aggregate finds the first such utterance of every block; a block that has none takes that of the next. Fails where the corpus
+    itself begins with a shorter one, and where two blocks would begin at one place or a block nowhere.
+    """
+    placed = blocks(df, nfolds)
+    ready = F.size(units_of(F.col("text"))) >= least_units
+    rows = placed.groupBy("block").agg(F.min("_ord").alias("begin"), F.min(F.when(ready, F.col("_ord"))).alias("own"))  # a row a block
+    after = Window.orderBy("block").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    rows = rows.withColumn("start", F.min("own").over(after)).withColumn("before", F.lag("start").over(Window.orderBy("block")))
+    failed = F.when((F.col("begin") == 0) & (F.coalesce("start", F.lit(-1)) != 0), F.lit("the first utterance is too short: put another first"))
+    failed = failed.when(F.col("start").isNull() | (F.col("start") <= F.col("before")), F.lit("folds can't begin with utterances that are long enough: shuffle the text"))
+    return rows.select("block", F.when(failed.isNotNull(), F.raise_error(failed).cast("long")).otherwise(F.col("start")).alias("start"))
+
+
+def repaired_blocks(df: DataFrame, nfolds: int, least_units: int = 2) -> DataFrame:
+    """``df`` plus _ord and block, the blocks beginning at ``fold_starts``; one row a block is sent to the rows."""
+    starts = fold_starts(df, nfolds, least_units).agg(F.sort_array(F.collect_list("start")).alias("starts"))
+    return dense_order(df, KEY).crossJoin(F.broadcast(starts)).withColumn("block", (F.size(F.filter("starts", lambda b: b <= F.col("_ord"))) - 1).cast("int")).drop("starts")
+
+
 def turned(rows: DataFrame, nfolds: int) -> DataFrame:
     rows = rows.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(nfolds - 1))))
     return rows.withColumn("turn", F.pmod(F.col("block") + F.col("fold"), F.lit(nfolds)).cast("int"))
 
 
-def fold(df: DataFrame, nfolds: int, fold_boundaries: list[int] | None = None) -> DataFrame:
-    """Each row once for each fold, plus fold, block and turn: in fold f, block b comes at turn (b + f) mod nfolds, so the last is nfolds - 1 - f."""
-    return turned(blocks(df, nfolds, fold_boundaries), nfolds)
+def fold(df: DataFrame, nfolds: int, fold_boundaries: list[int] | None = None, least_units: int = 1) -> DataFrame:
+    """Each row once for each fold, plus fold, block and turn: in fold f, block b comes at turn (b + f) mod nfolds, so the last is nfolds - 1 - f.
+
+    With ``least_units`` above 1, blocks of equal size begin with the next utterance of so many units.
+    """
+    if least_units > 1 and fold_boundaries is not None:
+        raise ValueError("boundaries that are given can't be moved on")
+    return turned(repaired_blocks(df, nfolds, least_units) if least_units > 1 else blocks(df, nfolds, fold_boundaries), nfolds)
 
 
 def chained_fold(df: DataFrame, nfolds: int, chain_rows: int | None = None) -> DataFrame:

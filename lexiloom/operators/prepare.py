@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Observation, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions.separator import Separator, escaped, is_blank, squeezed
@@ -52,9 +52,19 @@ def prepared_text(text: Column, separator: Separator = Separator(), unit: str =
     return squeezed(F.replace(joined, F.lit(separator.syllable), F.lit(" ")) if separator.syllable else joined)
 
 
-def prepare(tagged: DataFrame, separator: Separator = Separator(), unit: str = "phone", check_punctuation: bool = True, tolerant: bool = False) -> DataFrame:
-    """Prepared utterances of the non-empty rows. Invalid rows fail the job, or go when ``tolerant``."""
+def watched(rows: DataFrame, observation: Observation) -> DataFrame:
+    """Validated ``rows`` whose numbers ``observation`` takes while they run: utterances, kept, and those that break each rule (the names of ``MESSAGES``)."""
+    broken = [F.count_if(F.col("error") == message).alias(rule) for rule, message in MESSAGES.items()]
+    return rows.observe(observation, F.count("*").alias("utterances"), F.count_if(F.col("error").isNull()).alias("kept"), *broken)
+
+
+def prepare(tagged: DataFrame, separator: Separator = Separator(), unit: str = "phone", check_punctuation: bool = True, tolerant: bool = False, observation: Observation | None = None) -> DataFrame:
+    """Prepared utterances of the non-empty rows. Invalid rows fail the job, or go when ``tolerant``.
+
+    An ``observation`` gets the counts of ``watched`` from the job that writes the result, not from one of its own.
+    """
     rows = validate(tagged.filter(~is_blank(F.col("text"))), separator, check_punctuation)
+    rows = rows if observation is None else watched(rows, observation)
     if tolerant:
         rows = rows.filter("error is null")
     else:

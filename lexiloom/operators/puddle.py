@@ -22,11 +22,12 @@ MODEL_ROWS = 500_000
 
 
 class Learner:
-    """Counts of words and of the units at their edges."""
+    """Counts of words and of the units at their edges. With ``memory``, only so many words stay after an utterance: those learned last."""
 
-    def __init__(self, window: int = 2, by_frequency: bool = False) -> None:
-        self.window, self.by_frequency = window, by_frequency
+    def __init__(self, window: int = 2, by_frequency: bool = False, memory: int = 0) -> None:
+        self.window, self.by_frequency, self.memory = window, by_frequency, memory
         self.words, self.begins, self.ends = Counter(), Counter(), Counter()
+        self.touched: set[str] = set()
         self.tree: dict = {}  # known words letter by letter, so that a search stops where no word goes on
 
     def know(self, word: str, n: int = 1) -> None:
@@ -35,7 +36,24 @@ class Learner:
             for c in word:
                 node = node.setdefault(c, {})
             node[""] = {}
+        elif self.memory:
+            n += self.words.pop(word)  # the order of the words is that of learning
         self.words[word] += n
+        self.touched.add(word)
+
+    def forget(self) -> None:
+        """Let go of the words that were learned longest ago, beyond the memory; edges stay, their number is that of the runs of units."""
+        while self.memory and len(self.words) > self.memory:
+            word = next(iter(self.words))
+            del self.words[word]
+            path = [self.tree]
+            for c in word:
+                path.append(path[-1][c])
+            del path[-1][""]
+            for c, node in zip(reversed(word), reversed(path[:-1]), strict=True):
+                if node[c]:
+                    break
+                del node[c]
 
     def known_ends(self, units: list[str], i: int) -> Iterator[int]:
         """The j for which units i to j make a known word."""
@@ -81,6 +99,8 @@ class Learner:
                         self.learn(units, i, j)
                     out.append("".join(units[i : j + 1]))
             units = [] if found is None else units[found[1] + 1 :]
+        if update:
+            self.forget()
         return out
 
     def rows(self) -> list[tuple[str, str, int]]:
@@ -95,12 +115,12 @@ class Learner:
         return self
 
 
-def segment_online(prepared: DataFrame, group: list[str] = ("doc_id",), order: list[str] = ("line_no",), window: int = 2, by_frequency: bool = False) -> DataFrame:
+def segment_online(prepared: DataFrame, group: list[str] = ("doc_id",), order: list[str] = ("line_no",), window: int = 2, by_frequency: bool = False, memory: int = 0) -> DataFrame:
     """``prepared`` segmented while learning, one fresh learner for each ``group``, whose rows come in ``order``."""
     group, order, columns = list(group), list(order), prepared.columns
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        learner = Learner(window, by_frequency)
+        learner = Learner(window, by_frequency, memory)
         pdf = pdf.sort_values(order, ignore_index=True)
         return pdf.assign(text=[" ".join(learner.segment(t.split())) for t in pdf["text"]])[columns]
 
@@ -140,21 +160,24 @@ def apply(prepared: DataFrame, model: DataFrame, window: int = 2, by_frequency:
 
 
 def apply_joined(prepared: DataFrame, model: DataFrame, window: int, by_frequency: bool) -> DataFrame:
-    """As ``apply``, for models of any size: each utterance meets the model rows among the strings of its stretches of units."""
+    """As ``apply``, for models of any size: each utterance meets the model rows among the strings of its stretches of units.
+
+    Stretches are at most as long as the longest item, so their number grows with the utterance, not with its square. A batch of utterances shares a
+    learner of all the items they met: these are part of the one model, and hold all of it that can occur in each of them.
+    """
+    longest = max(1, model.agg(F.max(F.length("item"))).first()[0] or 0)
     units = F.split(F.trim("text"), " +")
     n = F.size(units)
-    stretch = lambda i: F.transform(F.sequence(F.lit(1), n - i), lambda k: F.array_join(F.slice(units, i + 1, k), ""))
+    stretch = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), n - i)), lambda k: F.array_join(F.slice(units, i + 1, k), ""))
     items = F.array_distinct(F.concat(F.array(F.lit("")), F.flatten(F.transform(F.sequence(F.lit(0), n - 1), stretch))))
     met = prepared.select(*KEY, F.explode(items).alias("item")).join(model.select("kind", "item", "n"), "item")
     met = met.groupBy(*KEY).agg(F.collect_list(F.struct("kind", "item", "n")).alias("_model"))
 
     def run(batches):
         for pdf in batches:
-            out = []
-            for text, own in zip(pdf["text"], pdf["_model"], strict=True):
-                rows = [] if own is None else [(r["kind"], r["item"], r["n"]) for r in own]
-                out.append(" ".join(Learner(window, by_frequency).load(rows).segment(text.split(), update=False)))
-            yield pdf.assign(text=out)[columns]
+            rows = {(r["kind"], r["item"]): r["n"] for own in pdf["_model"] if own is not None for r in own}
+            learner = Learner(window, by_frequency).load((*k, n) for k, n in rows.items())
+            yield pdf.assign(text=[" ".join(learner.segment(text.split(), update=False)) for text in pdf["text"]])[columns]
 
     columns = prepared.columns
     return prepared.join(met, KEY, "left").mapInPandas(run, prepared.schema)

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
 from ..functions.separator import Separator
 
 
-def word_syllables(word: Column, onsets: list[str], vowels: list[str]) -> tuple[Column, Column]:
-    """(syllables, error) of a word of one-character phones.
+def word_syllables(word: Column, onsets: list[str], vowels: list[str]) -> Column:
+    """A struct of the syllables of a word of one-character phones, and an error.
 
     Letters are read from the end. A vowel closes the syllable before it; if no vowel stands before the vowel, letters to its left join
     while they and the onset so far are a known onset. Letters that no syllable takes are an error.
@@ -28,19 +29,26 @@ def word_syllables(word: Column, onsets: list[str], vowels: list[str]) -> tuple[
         other = F.struct(closed.alias("done"), pending.alias("open"), F.lit("").alias("onset"), is_vowel.alias("grow"))
         return F.when(joins, grown).otherwise(other)
 
-    letters = F.reverse(F.filter(F.split(word, ""), lambda c: c != ""))
-    end = F.aggregate(letters, state, read)
-    whole = F.when(end["grow"], F.concat(F.array(F.concat(end["onset"], end["open"])), end["done"])).otherwise(end["done"])
-    unknown = F.get(F.filter(F.reverse(letters), lambda c: ~F.array_contains(sounds, c) & ~F.array_contains(F.array(*[F.lit(c) for c in sorted(set("".join(onsets)))] or [F.lit("")]), c)), F.lit(0))
-    has_vowel = F.exists(letters, lambda c: F.array_contains(sounds, c))
-    error = F.when(unknown.isNotNull(), F.concat(F.lit('unknown symbol "'), unknown, F.lit('" in word "'), word, F.lit('"')))
-    error = error.when(~has_vowel, F.concat(F.lit('no vowel in word "'), word, F.lit('"')))
-    error = error.when(F.array_join(whole, "") != word, F.concat(F.lit('onset not found in "'), word, F.lit('"')))
-    return whole, error
+    def whole(end: Column) -> Column:
+        return F.when(end["grow"], F.concat(F.array(F.concat(end["onset"], end["open"])), end["done"])).otherwise(end["done"])
+
+    symbols = F.array(*[F.lit(c) for c in sorted(set("".join([*onsets, *vowels])))])
+
+    def checked(word: Column, letters: Column, found: Column) -> Column:
+        unknown = F.get(F.filter(F.reverse(letters), lambda c: ~F.array_contains(symbols, c)), F.lit(0))
+        error = F.when(unknown.isNotNull(), F.concat(F.lit('unknown symbol "'), unknown, F.lit('" in word "'), word, F.lit('"')))
+        error = error.when(~F.exists(letters, lambda c: F.array_contains(sounds, c)), F.concat(F.lit('no vowel in word "'), word, F.lit('"')))
+        error = error.when(F.array_join(found, "") != word, F.concat(F.lit('onset not found in "'), word, F.lit('"')))
+        return F.struct(found.alias("syllables"), error.alias("error"))
+
+    of_letters = lambda w, letters: let(F.aggregate(letters, state, read), lambda end: let(whole(end), lambda found: checked(w, letters, found)))
+    return let(word, lambda w: let(F.reverse(F.filter(F.split(w, ""), lambda c: c != "")), lambda letters: of_letters(w, letters)))
 
 
 def syllabify(df: DataFrame, onsets: list[str], vowels: list[str], separator: Separator = Separator(), strip: bool = False, filling_vowel: bool = False, tolerant: bool = False) -> DataFrame:
-    """``df`` (text: words without phone separators) with syllable separators, plus error (null if none).
+    """``df`` with syllable separators, plus error (null if none).
+
+    In utterances with phone separators, these are set aside and put back after each phone; a phone that would fall into two syllables is an error.
 
     ``strip`` leaves out separators at the ends of words' last syllables and utterances. ``filling_vowel`` gives a word without vowel
     a silent one at its end. Rows in error fail the job, or go when ``tolerant``; a syllable separator in the input always fails.
@@ -51,22 +59,52 @@ def syllabify(df: DataFrame, onsets: list[str], vowels: list[str], separator: Se
     sounds = [*vowels, silent] if silent else vowels
     present = F.col("text").contains(separator.syllable)
     rows = df.withColumn("text", F.when(present, F.raise_error(F.lit("syllable separator found in text"))).otherwise(F.col("text")))
-    words = separator.tokenize(F.col("text"), "word", keep_boundaries=False)
+    words = separator.tokenize(F.col("text"), "word", keep_boundaries=True)
+    apart = F.lit(False) if separator.phone is None else F.col("_apart")
 
-    def one(word: Column) -> Column:
-        if silent:
-            bare = ~F.exists(F.split(word, ""), lambda c: F.array_contains(F.array(*[F.lit(v) for v in vowels]), c))
-            word = F.when(bare, F.concat(word, F.lit(silent))).otherwise(word)
-        found, error = word_syllables(word, onsets, sounds)
+    def stops(parts: Column) -> Column:
+        """Where each part ends, in letters."""
+        return F.transform(parts, lambda x, i: F.aggregate(F.slice(parts, 1, i + 1), F.lit(0), lambda s, p: s + F.length(p)))
+
+    def restored(word: Column, phones: Column) -> Column:
+        """The struct of a word's syllables with a separator after each phone."""
+
+        def joined(at: Column) -> Column:
+            before = F.concat(F.array(F.lit(0)), F.slice(at, 1, F.greatest(F.size(at) - 1, F.lit(0))))
+            parts = F.zip_with(before, at, lambda x, y: F.array_join(F.slice(phones, x + 1, F.greatest(y - x, F.lit(0))), separator.phone))
+            parts = parts if strip else F.transform(parts, lambda x: F.concat(x, F.lit(separator.phone)))
+            cut = F.when(F.exists(at, lambda x: x == 0), F.concat(F.lit('syllables cut a phone in word "'), F.array_join(phones, separator.phone), F.lit('"')))
+            return F.struct(parts.alias("syllables"), F.coalesce(word["error"], cut).alias("error"))
+
+        places = lambda ends: F.transform(stops(word["syllables"]), lambda e: F.array_position(ends, e).cast("int"))
+        return let(stops(phones), lambda ends: let(places(ends), joined))
+
+    def silenced(word: Column) -> Column:
+        """The word with a silent vowel at its end, if it has no vowel."""
+        bare = ~F.exists(F.split(word, ""), lambda c: F.array_contains(F.array(*[F.lit(v) for v in vowels]), c))
+        return F.when(bare, F.concat(word, F.lit(silent))).otherwise(word)
+
+    def ended(word: Column) -> Column:
+        joined = F.array_join(word["syllables"], separator.syllable)
+        return F.struct((joined if strip else F.concat(joined, F.lit(separator.syllable))).alias("text"), word["error"].alias("error"))
+
+    def one(raw: Column) -> Column:
+        bare = separator.remove(raw)
+        found = word_syllables(silenced(bare) if silent else bare, onsets, sounds)
         if silent:
-            found = F.transform(found, lambda s: F.replace(s, F.lit(silent), F.lit("")))
-        joined = F.array_join(found, separator.syllable)
-        return F.struct((joined if strip else F.concat(joined, F.lit(separator.syllable))).alias("text"), error.alias("error"))
+            loud = lambda word: F.struct(F.transform(word["syllables"], lambda s: F.replace(s, F.lit(silent), F.lit(""))).alias("syllables"), word["error"].alias("error"))
+            found = let(found, loud)
+        if not separator.phone:
+            return let(found, ended)
+        phones = F.filter(F.split(raw, separator.phone, -1), lambda x: x != "")
+        return let(found, lambda word: let(F.when(apart, let(phones, lambda p: restored(word, p))).otherwise(word), ended))
 
+    if separator.phone:
+        rows = rows.withColumn("_apart", F.col("text").rlike(separator.phone))
     rows = rows.withColumn("_w", F.transform(words, one))
     rows = rows.withColumn("error", F.get(F.filter(F.transform("_w", lambda w: w["error"]), lambda e: e.isNotNull()), F.lit(0)))
     joined = F.array_join(F.transform("_w", lambda w: w["text"]), separator.word)
-    rows = rows.withColumn("text", joined if strip else F.concat(joined, F.lit(separator.word))).drop("_w")
+    rows = rows.withColumn("text", joined if strip else F.concat(joined, F.lit(separator.word))).drop("_w", "_apart")
     if tolerant:
         return rows.filter("error is null")
     return rows.withColumn("text", F.when(F.col("error").isNotNull(), F.raise_error(F.col("error"))).otherwise(F.col("text")))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import string
 
+from ..sources import chat
+
 UTT = f"""
 raw AS (SELECT doc_id, unnest(range(len(l))) AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
 utt AS (SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, text FROM (
@@ -106,6 +108,46 @@ gs AS (SELECT lo.doc_id, lo.line_no, lo.hi, g.word, count(*) OVER (PARTITION BY
 )
 
 
+ORDER = "o AS (SELECT *, row_number() OVER (ORDER BY doc_id, line_no) - 1 AS i FROM utt)"
+
+#: Words that single consonants and vowels can begin; their syllables apart by an underscore.
+SPOKEN = """
+sp AS (SELECT * FROM (SELECT doc_id, line_no, array_to_string(list_filter(string_split(text, ' '), lambda w: regexp_matches(w, '^[^aeiou]?[aeiou]')), ' ') AS text FROM utt) WHERE text <> ''),
+sy AS (SELECT doc_id, line_no, array_to_string(list_transform(string_split(text, ' '), lambda w: ltrim(regexp_replace(w, '([^aeiou]?[aeiou])', '_\\1', 'g'), '_')), ' ') AS text FROM sp),
+swords AS (SELECT unnest(string_split(text, ' ')) AS unit FROM sp),
+syllables AS (SELECT unnest(string_split(replace(text, ' ', '_'), '_')) AS unit FROM sy),
+sphones AS (SELECT unnest(string_split(replace(text, ' ', ''), '')) AS unit FROM sp)"""
+
+
+def costs(words: str) -> str:
+    """Costs of the words and letters of a lexicon, from rows (word, n)."""
+    return f"""
+lx AS ({words}),
+lt AS (SELECT c, count(*) AS n FROM (SELECT unnest(string_split(word, '')) AS c FROM lx) GROUP BY ALL),
+lk AS (SELECT CAST((SELECT count(*) FROM lx) AS DOUBLE) AS types, CAST((SELECT sum(n) FROM lx) AS DOUBLE) AS total, CAST((SELECT count(*) FROM lt) AS DOUBLE) AS kinds, CAST((SELECT sum(n) FROM lt) AS DOUBLE) + (SELECT count(*) FROM lx) + 1 AS ends),
+lc AS (SELECT c, CAST(round(-1e6 * ln((n + 1 / (kinds + 1)) / ends)) AS BIGINT) AS cost FROM lt, lk),
+unseen AS (SELECT CAST(round(-1e6 * ln(1 / (kinds + 1) / ends)) AS BIGINT) AS letter, CAST(round(-1e6 * ln(1 / (total + 1))) AS BIGINT) + CAST(round(-1e6 * ln((types + 1) / ends)) AS BIGINT) AS fresh FROM lk),
+spelled AS (SELECT word, sum(cost) AS s FROM (SELECT word, unnest(string_split(word, '')) AS c FROM lx) JOIN lc USING (c) GROUP BY ALL),
+lw AS (SELECT word, CAST(round(-1e6 * ln((n + exp(-s / 1e6) * ((types + 1) / ends)) / (total + 1))) AS BIGINT) AS cost FROM lx JOIN spelled USING (word), lk)"""
+
+
+#: Main tiers made of conversations, with the marks that the clean-up removes.
+TIERS = r"""
+tier AS (SELECT conv_id AS doc_id, turn AS line_no, '*' || upper(rpad(left(role, 3), 3, 'X')) || ': ' || regexp_replace(text, '[\n\t]', ' ', 'g')
+  || CASE WHEN turn % 3 = 0 THEN ' [= noise] xxx &uh there_is look@o dog@s:spa cow@sing (y)ou .' ELSE ' .' END AS text FROM conversations WHERE text IS NOT NULL)"""
+
+
+def rewritten(text: str, rules: list[tuple[str, str]]) -> str:
+    for pattern, to in rules:
+        text = f"regexp_replace({text}, '{pattern.replace(chr(39), chr(39) * 2)}', '{to}', 'g')"
+    return text
+
+
+CLEAN = TIERS + f""",
+clean AS (SELECT * FROM (SELECT doc_id, line_no, {rewritten('text', chat.CLEANING)} AS text FROM tier
+  WHERE NOT regexp_matches(text, '{'|'.join(chat.LEFT_OUT.split())}') AND NOT regexp_matches(text, '^....:.0\\(.*\\) .$')) WHERE text <> '' AND NOT contains(text, chr(9)))"""
+
+
 def sql(*parts: str, then: str) -> str:
     return "WITH " + ",".join(parts) + " " + then
 
@@ -167,6 +209,49 @@ bs AS (SELECT *, lag(unit) OVER w AS p1, lag(unit, 2) OVER w AS p2, lead(unit) O
     for kind in ("gold", "phrasal", "lexical"):
         out[f"dibs_model_{kind}"] = sql(UTT, LETTERS, dibs(kind), then="SELECT a, b, round(score, 6) AS score FROM model")
         out[f"dibs_{kind}"] = sql(UTT, LETTERS, dibs(kind), DIBS_SEG, then=SEGMENT)
+    items, gold_words = ITEMS + ", iw AS (SELECT unnest(string_split(text, ' ')) AS word FROM bt WHERE text <> '')", "gw AS (SELECT unnest(string_split(text, ' ')) AS word FROM utt)"
+    spoken = lambda of, then: sql(UTT, SPOKEN, *of, then=then)
+    tokens = lambda level, of: f"SELECT '{level}' AS level, unnest(['tokens', 'types', 'hapaxes']) AS name, unnest([CAST(sum(n) AS DOUBLE), count(*), count(*) FILTER (n = 1)]) AS value FROM (SELECT unit, count(*) AS n FROM {of} GROUP BY ALL)"
+    spaced = lambda c: f"trim(regexp_replace(replace({c}, ' ', ''), '(.)', '\\1 ', 'g'))"
+    phones = lambda c: f"regexp_replace({c}, '([a-z])', '\\1;', 'g')"
+    ended = "array_to_string(list_transform(string_split(text, ' '), lambda w: w || '_'), ' ') || ' '"
+    row = lambda value: f"SELECT doc_id, line_no, {value} AS text FROM sy"
+    out |= {
+        "text_lines": sql(UTT, ORDER, then="SELECT i AS line_no, text FROM o"),
+        "parse_vote": sql(UTT, ORDER, f"""v AS (SELECT i, s, CASE WHEN s = 0 AND (doc_id + line_no) % 3 = 0 OR s = 2 AND (doc_id + line_no) % 2 = 0 THEN replace(text, ' ', '')
+  WHEN s = 1 AND (doc_id + line_no) % 5 = 0 THEN {spaced('text')} ELSE text END AS text FROM o, (SELECT unnest(range(3)) AS s))""", "c AS (SELECT i, text, count(*) AS n, min(s) AS f FROM v GROUP BY ALL)",
+                          then="SELECT CAST(i AS INTEGER) AS utterance, text FROM c QUALIFY row_number() OVER (PARTITION BY i ORDER BY n DESC, f) = 1"),
+        "stimuli_choice": sql(UTT, items, gold_words, costs("SELECT word, count(*) AS n FROM gw GROUP BY ALL"), """
+pair AS (SELECT DISTINCT word AS text, reverse(word) AS other FROM iw WHERE reverse(word) <> word),
+own AS (SELECT word, coalesce(any_value(k), sum(coalesce(cost, letter)) + any_value(fresh)) AS cost FROM (
+  SELECT q.word, q.c, lc.cost, letter, fresh, lw.cost AS k FROM (SELECT word, unnest(string_split(word, '')) AS c FROM (SELECT text AS word FROM pair UNION SELECT other FROM pair)) q CROSS JOIN unseen LEFT JOIN lc USING (c) LEFT JOIN lw ON lw.word = q.word) GROUP BY word)""",
+                              then="SELECT text, other, round(1 / (1 + exp(least((a.cost - b.cost) / 1e6, 700.0))), 6) AS choice FROM pair JOIN own a ON a.word = text JOIN own b ON b.word = other"),
+        "fold_repair": sql(UTT, ORDER, "b AS (SELECT i, len(replace(text, ' ', '')) AS u, least(i // ((SELECT count(*) FROM o) // 5), 4) AS block FROM o)", "f AS (SELECT block, min(i) FILTER (u >= (SELECT u FROM b WHERE i = 0)) AS own FROM b GROUP BY ALL)",
+                           then="SELECT CAST(block AS INTEGER) AS block, min(own) OVER (ORDER BY block ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS start FROM f"),
+        "syllabify": spoken([], row(ended)),
+        "syllabify_stripped": spoken([], row("text")),
+        "syllabify_phones": spoken([], row(phones(ended))),
+        "syllabify_phones_stripped": spoken([], row(f"rtrim(replace(replace({phones('text')}, ';_', '_'), '; ', ' '), ';')")),
+        "prepare_syllable": spoken([], row("replace(text, '_', ' ')")),
+        "describe_syllables": spoken([], "SELECT CAST(sum(n) AS BIGINT) AS tokens, count(*) AS types, count(*) FILTER (n = 1) AS hapaxes FROM (SELECT unit, count(*) AS n FROM syllables GROUP BY ALL)"),
+        "describe_all": spoken(["c AS (SELECT unit, count(*) AS n, count(*) / (SELECT count(*) FROM swords) AS p FROM swords GROUP BY ALL)"], f"""SELECT level, name, round(value, 6) AS value FROM (
+  {tokens('words', 'swords')} UNION ALL {tokens('syllables', 'syllables')} UNION ALL {tokens('phones', 'sphones')}
+  UNION ALL SELECT 'corpus', unnest(['nutts', 'nutts_single_word']), unnest([CAST(count(*) AS DOUBLE), count(*) FILTER (NOT contains(text, ' '))]) FROM sp
+  UNION ALL SELECT 'corpus', 'entropy', -sum(n * p * log2(p)) / ((SELECT count(*) FROM sphones) - 1) FROM c)"""),
+        "nested_tokens": spoken([], "SELECT sp.doc_id, sp.line_no, CAST(len(string_split(sp.text, ' ')) AS INTEGER) AS words, CAST(len(string_split(replace(sy.text, ' ', '_'), '_')) AS INTEGER) AS syllables, CAST(len(replace(sp.text, ' ', '')) AS INTEGER) AS phones, sp.text FROM sp JOIN sy USING (doc_id, line_no)"),
+        "chat_cleaned": "WITH " + CLEAN + " SELECT doc_id, line_no, text FROM clean",
+        "chat_phonologised": "WITH " + CLEAN + f" SELECT doc_id, line_no, {rewritten('lower(text)', chat.SOUNDS['raspanish'])} AS text FROM clean",
+        "sql_tokens": spoken([], "SELECT CAST(k - 1 AS INTEGER) AS phone_no, substr(unit, k, 1) AS phone, count(*) AS n FROM (SELECT unit, unnest(range(1, len(unit) + 1)) AS k FROM syllables) GROUP BY ALL"),
+        "sql_prepared": spoken([], f"SELECT sp.doc_id, sp.line_no, {spaced('sp.text')} AS phones, replace(sy.text, '_', ' ') AS syllables, sp.text AS gold FROM sp JOIN sy USING (doc_id, line_no)"),
+        "sql_syllables": spoken([], "SELECT unit AS syllable, count(*) AS n FROM syllables GROUP BY ALL"),
+        "ari_units_tp": out["ari_tp"],
+        "error_summary_lines": "WITH n AS (" + out["error_summary_tp"] + """),
+k AS (SELECT * FROM (VALUES (1, 'correct'), (2, 'over'), (3, 'under'), (4, 'mis')) v(c, category)),
+r AS (SELECT c, word, n, row_number() OVER (PARTITION BY c ORDER BY n, word DESC) AS last FROM n JOIN k USING (category))
+SELECT '{' AS value UNION ALL SELECT '}' UNION ALL SELECT '        "' || word || '": ' || n || CASE WHEN last = 1 THEN '' ELSE ',' END FROM r
+UNION ALL SELECT '    "' || category || CASE WHEN c IN (SELECT c FROM r) THEN '": {' WHEN c = 4 THEN '": {}' ELSE '": {},' END FROM k
+UNION ALL SELECT CASE WHEN c = 4 THEN '    }' ELSE '    },' END FROM k WHERE c IN (SELECT c FROM r)""",
+    }
     conserved = "SELECT doc_id, line_no, TRUE AS conserved FROM utt"
     for name in ("baseline_random", "puddle_online", "puddle_frozen"):
         out[name] = sql(UTT, then=conserved)

@@ -13,7 +13,7 @@ LEFT_OUT = "SI. BR. CHI TO. ENV BOY NON MAG JEN CEC PAU ANN JOA SAN BRU CAR LEN
 # What the clean-up replaces, in this order.
 CLEANING = [
     (r"^....:.", ""), ("_", " "), (r"\x15[0-9_]*\x15?.*$", ""), (r'["^/]', ""), (r"\+", " "), (r"[.?!;<>,:]", ""), (r"&=[^ ]*", ""), (r"&[^ ]*", ""),
-    (r"\[[^\[]*\]", ""), (r"[()]", ""), ("xxx|www|XXX|yyy", ""), ("0", ""), (r"[^ ]*@s[^ ]*", ""), (r"@[^ ]*", ""), ("' ", " "), (" +", " "), ("^ | $", ""),
+    (r"\[[^\[]*\]", ""), (r"[()]", ""), ("xxx|www|XXX|yyy", ""), ("0", ""), (r"[^ ]*@s:[^ ]*", ""), (r"@[^ ]*", ""), ("' ", " "), (" +", " "), ("^ | $", ""),
 ]
 
 # Spellings and sounds of two languages, in this order, after lower-casing.

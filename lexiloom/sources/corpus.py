@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 import string
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.separator import Separator, trimmed
+from .text import read_lines, read_parses, read_stimuli  # noqa: F401
 
 KEY = ["doc_id", "line_no"]
 
@@ -37,19 +38,6 @@ def tagged(gold: DataFrame, separator: Separator = Separator()) -> DataFrame:
     return gold.withColumn("text", F.concat(F.replace(spaced, F.lit(gap + phone), F.lit(word)), F.lit(phone + word)))
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, line_no, text) of text files: files by name, lines in order within a file.
-
-    Each file is one row while its lines are numbered, so single files must fit in memory; split larger ones, or give a table
-    with an order of its own to ``numbered_lines``.
-    """
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value"))
-    files = {r["file"]: i for i, r in enumerate(whole.select("file").distinct().orderBy("file").collect())}
-    number = spark.createDataFrame(list(files.items()), "file string, doc_id long")
-    lines = whole.join(number, "file").select("doc_id", F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r\n|\r|\n", -1)).alias("line_no", "text"))
-    return lines
-
-
 def read_items(spark: SparkSession, path: str) -> list[str]:
     """Distinct non-empty lines of a small list (onsets, vowels), in file order."""
     rows = spark.read.text(path).select(trimmed(F.col("value")).alias("v")).filter("v <> ''").collect()
@@ -85,12 +73,32 @@ def write_json(spark: SparkSession, value, path: str) -> None:
     write_text(spark, json_text(value).split("\n"), path)
 
 
-def summary_dict(errors: DataFrame) -> dict:
-    """{category: {word: n}}, the most frequent words first, of an error summary (category, word, n)."""
-    out: dict[str, dict[str, int]] = {c: {} for c in ("correct", "over", "under", "mis")}
-    for r in errors.orderBy(F.desc("n"), "word").collect():
-        out[r["category"]][r["word"]] = r["n"]
-    return out
+CATEGORIES = ("correct", "over", "under", "mis")
+
+
+def summary_lines(errors: DataFrame) -> DataFrame:
+    """(value): the lines of {category: {word: n}} as JSON, the most frequent words first, of an error summary (category, word, n).
+
+    Each word is a line that is written where it is; only the last word of each category, which takes no comma, is found beforehand.
+    """
+    place = F.array_position(F.array(*[F.lit(c) for c in CATEGORIES]), F.col("category")).cast("int")
+    rows = errors.select(place.alias("c"), (-F.col("n")).alias("k"), "word", "n")
+    last = rows.groupBy("c").agg(F.max(F.struct("k", "word")).alias("last"))  # a row a category
+    quoted = F.regexp_extract(F.to_json(F.array("word")), r"^\[(.*)\]\z", 1)
+    comma = F.when(F.struct("k", "word") == F.col("last"), "").otherwise(",")
+    words = rows.join(F.broadcast(last), "c").select("c", F.lit(1).alias("part"), "k", "word", F.concat(F.lit(" " * 8), quoted, F.lit(": "), F.col("n").cast("string"), comma).alias("value"))
+    marks = errors.sparkSession.createDataFrame([(i + 1, c, "" if i + 1 == len(CATEGORIES) else ",") for i, c in enumerate(CATEGORIES)], "c int, name string, comma string")
+    marks = marks.join(F.broadcast(last), "c", "left").select("c", F.col("last").isNull().alias("none"), "name", "comma")
+    head = F.concat(F.lit('    "'), F.col("name"), F.when(F.col("none"), F.concat(F.lit('": {}'), "comma")).otherwise(F.lit('": {')))
+    heads = marks.select("c", F.lit(0).alias("part"), F.lit(0).cast("long").alias("k"), F.lit("").alias("word"), head.alias("value"))
+    tails = marks.filter("not none").select("c", F.lit(2).alias("part"), F.lit(0).cast("long").alias("k"), F.lit("").alias("word"), F.concat(F.lit("    }"), "comma").alias("value"))
+    ends = errors.sparkSession.createDataFrame([(0, "{"), (len(CATEGORIES) + 1, "}")], "c int, value string").select("c", F.lit(0).alias("part"), F.lit(0).cast("long").alias("k"), F.lit("").alias("word"), "value")
+    return words.unionByName(heads).unionByName(tails).unionByName(ends).orderBy("c", "part", "k", "word").select("value")
+
+
+def write_summary(errors: DataFrame, path: str) -> None:
+    """An error summary as JSON, in text files whose names sort as their lines do."""
+    summary_lines(errors).write.mode("overwrite").text(path)
 
 
 def write_prepared(tagged: DataFrame, prepared: DataFrame, separator: Separator, path: str, gold_path: str) -> None:
@@ -130,17 +138,6 @@ def read_gold_spaced(lines: DataFrame) -> DataFrame:
     return rows.withColumn("text", F.trim(F.regexp_replace(F.replace("gold", F.lit(" "), F.lit("")), "(.)", "$1 ")))
 
 
-def read_parses(spark: SparkSession, path: str) -> DataFrame:
-    """(sample, utterance, text) of a stream of parses: one utterance a line, samples apart by empty lines; packed files too.
-
-    A sample that lacks utterances of the first goes. One file is one stream, read in order.
-    """
-    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", r"\n\n+"), lambda x: F.trim(x) != "")).alias("sample", "block"))
-    rows = whole.select("sample", F.split(F.regexp_replace("block", r"^\n+|\n+\z", ""), "\n").alias("lines"))
-    size = F.size(F.first("lines").over(Window.orderBy("sample")))
-    return rows.withColumn("_n", size).filter(F.size("lines") == F.col("_n")).select("sample", F.posexplode("lines").alias("utterance", "text"))
-
-
 def encoded_units(prepared: DataFrame, first: int = 3001) -> tuple[DataFrame, DataFrame]:
     """(rows with one character for each unit, (unit, letter)): distinct units in order get characters from ``first`` on, whitespace left out."""
     units = prepared.select(F.explode(F.split(F.trim("text"), " +")).alias("unit")).distinct()
