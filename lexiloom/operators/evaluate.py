@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import computed
 from ..functions.separator import squeezed
 
 KEY = ["doc_id", "line_no"]
@@ -37,11 +38,10 @@ def paired(text: DataFrame, gold: DataFrame | None) -> DataFrame:
     letters = lambda c: F.replace(c, F.lit(" "), F.lit(""))
     checked = F.when(F.col("t").isNull() | F.col("g").isNull(), F.raise_error(F.concat(F.lit("only one side has utterance "), at)).cast("string"))
     checked = checked.when(letters("t") != letters("g"), F.raise_error(F.concat(F.lit("letters differ in utterance "), at)).cast("string")).otherwise(F.col("t"))
-    own = [*KEY, squeezed(F.col("text")).alias("t")]
     if gold is None:
-        rows = text.select(*own, squeezed(F.col("gold")).alias("g"))
+        rows = computed(text, KEY, t=squeezed(F.col("text")), g=squeezed(F.col("gold")))
     else:
-        rows = text.select(*own).join(gold.select(*KEY, squeezed(F.col("text")).alias("g")), KEY, "full")
+        rows = text.select(*KEY, squeezed(F.col("text")).alias("t")).join(gold.select(*KEY, squeezed(F.col("text")).alias("g")), KEY, "full")
     # empty rows go after the join: a filter before it would be pushed down with all that computes the text
     rows = rows.filter("coalesce(t, '') <> '' or coalesce(g, '') <> ''").withColumn("t", checked)
     return rows.withColumn("te", ends_of(F.col("t"))).withColumn("ge", ends_of(F.col("g")))
@@ -138,10 +138,10 @@ def error_summary(text: DataFrame, gold: DataFrame | None = None) -> DataFrame:
     """
     pairs = paired(text, gold)
     placed = lambda e, side: F.transform(e, lambda x, k: F.struct(x.alias("x"), F.lit(side).alias("side"), k.alias("k")))
-    pairs = pairs.select("g", F.array_sort(F.concat(placed("te", 0), placed("ge", 1))).alias("ends"))
+    pairs = computed(pairs, ["g"], ends=F.array_sort(F.concat(placed("te", 0), placed("ge", 1))))
     n = F.greatest(F.size("ends") - 1, F.lit(0))
     same = F.zip_with(F.slice("ends", 1, n), F.slice("ends", 2, n), lambda t, g: F.when(t["x"] == g["x"], F.struct((t["k"] + 1).alias("t"), (g["k"] + 1).alias("g"))))
-    pairs = pairs.select("g", F.filter(same, lambda x: x.isNotNull()).alias("shared"))
+    pairs = computed(pairs, ["g"], shared=F.filter(same, lambda x: x.isNotNull()))
     counts = lambda side: steps(F.transform("shared", lambda x: x[side]))
     category = lambda t, g: F.when((g == 1) & (t == 1), "correct").when(g == 1, "over").when(t == 1, "under").otherwise("mis")
     chunks = F.zip_with(counts("t"), counts("g"), lambda t, g: F.array_repeat(category(t, g), g))

@@ -130,6 +130,11 @@ def test_syllables(lines):
     errors = [r.error for r in syllables.syllabify(lines(["brla"]), onsets, vowels, own, tolerant=False).select("error").collect()]
     assert errors == ['onset not found in "brla"']
     assert syllables.syllabify(lines(["prt", "?a", "pa"]), onsets, vowels, own, tolerant=True).count() == 1
+    phones = lines(["n;o; s;e; k;a;e; ", "e;s;t;a; ", "no se"])
+    assert texts(syllables.syllabify(phones, onsets, vowels, own)) == ["n;o;_ s;e;_ k;a;_e;_ ", "e;s;_t;a;_ ", "no_ se_ "]
+    assert texts(syllables.syllabify(phones, onsets, vowels, own, strip=True)) == ["n;o s;e k;a_e", "e;s_t;a", "no se"]
+    assert syllables.syllabify(lines(["es;ta; ", "est;a; "]), onsets, vowels, own, tolerant=True).select("text").first().text == "es;_ta;_ "
+    assert "cut a phone" in syllables.syllabify(lines(["est;a; "]), onsets, vowels, own).select("error").first().error
 
 
 def test_puddle_learns_and_freezes(lines):
@@ -288,10 +293,6 @@ def test_dpseg_folds(lines):
     found = dpseg.segment(lines(given), 3, dpseg.Options(sweeps=30, init_pboundary=0.3))
     assert [x.replace(" ", "") for x in texts(found)] == [x.replace(" ", "") for x in given]
     assert dpseg.traces(lines(given), 3, dpseg.Options(sweeps=2)).count() == 6
-    assert texts(dpseg.apply_frozen(lines(["a b c d", "c d"]), dpseg.Counter({"ab": 9, "cd": 9}))) == ["ab cd", "cd"]
-    assert dpseg.repaired([2, 2, 1, 1, 3], [0, 2]) == [0, 4] and dpseg.repaired([2, 1, 1, 2], [0, 2]) == [0, 3]
-    with pytest.raises(ValueError):
-        dpseg.repaired([1, 2], [0, 1])
 
 
 def test_dibs_dispatch_and_fold_boundaries(lines):
