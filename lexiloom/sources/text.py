@@ -86,7 +86,7 @@ def read_lines(spark: SparkSession, path: str, among: str = "file") -> DataFrame
 
 
 def read_parses(spark: SparkSession, path: str, ignore_firsts: int = 0, keep_incomplete: bool = False) -> DataFrame:
-    """(sample, utterance, text) of a stream of parses: one utterance a line, samples apart by empty lines, numbered over all files by name.
+    """(sample, utterance, text) of a stream of parses: one utterance a line, samples apart by empty lines, numbered over all files by name; the end of a file ends a sample.
 
     A sample is one record, so streams are split between samples. The first ``ignore_firsts`` samples are left out, and
     those that lack utterances of the first that stays (a run that was stopped) unless they are to be kept. Several empty lines in a row, or at the
