@@ -21,7 +21,7 @@ from .shared import bounded_join, written
 LEAST_DOCUMENTS = 10
 
 #: Bytes of text that a task counts at once; rows of a block of terms; sources of a tile.
-CHUNK, ROWS, TILE = 24_000_000, 100_000, 64
+CHUNK, ROWS, TILE = 24_000_000, 12_500, 64
 
 #: Terms are runs of ASCII letters and of bytes above 0x7F; only A to Z are lowered.
 LETTERS = bytes(b | 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
