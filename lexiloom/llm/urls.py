@@ -6,12 +6,19 @@ first of them. Spark's FP-growth finds the frequent sets of these; rules of at m
 and confidence, less those that a shorter rule already says as surely. Frequent tokens are at most the mean number of tokens by the
 support, whatever the corpus holds.
 
+FP-growth has no bound on a set's length, so its sets may double with every common token. Each frequent set stands in a share ``support`` of the
+transactions, so there are at most the transactions' subsets by that share. Where this sum is over ``MOST_SETS``, the same rules are found level by level: sets of
+one size grow by one later token inside the distinct transactions that hold them. Sets that lead to one label alone are not grown, as no rule
+over them can be surer.
+
 Rules match through an inverted index, token to rules: urls are first reduced to the distinct sets of tokens that occur
 in rules at all, a set fires a rule when all of the rule's tokens are found, and its surest rule decides.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 import string
 
 from pyspark.ml.fpm import FPGrowth
@@ -23,6 +30,8 @@ from .shared import bounded_join, free_names, written
 
 #: Tokens (those that always come together are one) that a rule may name.
 LONGEST = 4
+#: Frequent sets that FP-growth may be asked for, at most.
+MOST_SETS = 1 << 18
 SUPPORT = 0.01
 CONFIDENCE = 0.8
 DEFAULT = "allow"
@@ -98,26 +107,61 @@ def together(tokens: DataFrame, least: float) -> tuple[list[str], dict[str, list
     return frequent, classes
 
 
-def mine_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> list[tuple[frozenset, str, float, float]]:
+def grown(rows: DataFrame, support: float, confidence: float) -> DataFrame:
+    """(tokens, verdict, confidence, support) of ``rows`` (own, verdict), by FP-growth."""
+    items = rows.select(F.concat("own", F.array(F.concat(F.lit(LABEL), "verdict"))).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
+    towards = F.col("consequent")[0].startswith(LABEL) & ~F.exists("antecedent", lambda x: x.startswith(LABEL)) & (F.size("antecedent") <= LONGEST)
+    verdict = F.substring(F.col("consequent")[0], len(LABEL) + 1, 1 << 30)
+    return model.associationRules.filter(towards).select(F.col("antecedent").alias("tokens"), verdict.alias("verdict"), "confidence", "support")
+
+
+def levelled(rows: DataFrame, n: int, support: float, confidence: float) -> DataFrame:
+    """The same rules of ``rows`` (own, verdict), level by level up to ``LONGEST`` tokens.
+
+    A level has (tokens, after, w) for each set that stands in a distinct transaction: the tokens after the set's last, and the counts by verdict.
+    Support goes by the counts of one verdict, the highest of which must reach it for a set to be grown.
+    """
+    least = math.ceil(support * n)
+    by_verdict = rows.groupBy(F.array_sort("own").alias("own"), "verdict").agg(F.count("*").alias("n"))
+    # few rows become many, so they are spread by a number that adaptive execution keeps
+    by_verdict = by_verdict.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    level = by_verdict.select(F.array().cast("array<string>").alias("tokens"), F.col("own").alias("after"), "verdict", "n")
+    found = None
+    for size in range(1, LONGEST + 1):
+        step = F.explode(F.transform("after", lambda x, i: F.struct(x.alias("t"), F.slice("after", i + 2, F.size("after")).alias("after"))))
+        level = level.select("tokens", step.alias("s"), "verdict", "n").select(F.concat("tokens", F.array("s.t")).alias("tokens"), "s.after", "verdict", "n")
+        counts = level.groupBy("tokens", "verdict").agg(F.sum("n").alias("both"))
+        whole = counts.groupBy("tokens").agg(F.sum("both").alias("all"), F.max("both").alias("most"), F.collect_list(F.struct("verdict", "both")).alias("of"))
+        whole = written(whole.filter(F.col("most") >= least), f"url-sets-{size}")
+        rules = whole.select("tokens", "all", F.explode("of").alias("v")).select("tokens", "v.verdict", (F.col("v.both") / F.col("all")).alias("confidence"), F.col("v.both").alias("both"))
+        rules = rules.filter((F.col("both") >= least) & (F.col("confidence") >= confidence)).select("tokens", "verdict", "confidence", (F.col("both") / F.lit(n)).alias("support"))
+        found = rules if found is None else found.unionByName(rules)
+        if size < LONGEST:
+            level = written(bounded_join(level.filter(F.size("after") > 0), whole.filter("all > most").select("tokens"), ["tokens"], "left_semi"), f"url-level-{size}")
+    return found
+
+
+def mine_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, most: int = MOST_SETS) -> list[tuple[frozenset, str, float, float]]:
     """(tokens, verdict, confidence, support) from (tokens, verdict) rows, the surest first."""
     rows = written(labelled.filter("verdict is not null").select("tokens", "verdict"), "labelled-urls")
     if not (n := rows.count()):
         return []
     _, classes = together(rows, support * n)
     leads = F.array(*[F.lit(t) for t in classes]) if classes else F.array().cast("array<string>")
-    items = rows.select(F.concat(F.array_intersect("tokens", leads), F.array(F.concat(F.lit(LABEL), "verdict"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
-    towards = F.col("consequent")[0].startswith(LABEL) & ~F.exists("antecedent", lambda x: x.startswith(LABEL)) & (F.size("antecedent") <= LONGEST)
-    found = [(frozenset(r["antecedent"]), r["consequent"][0].removeprefix(LABEL), r["confidence"], r["support"]) for r in model.associationRules.filter(towards).collect()]
+    rows = rows.select(F.array_intersect("tokens", leads).alias("own"), "verdict")
+    # subsets of each transaction and its label, by the least transactions of a frequent set
+    sets = rows.agg(F.sum(F.pow(F.lit(2.0), F.size("own") + 1))).first()[0] / max(1.0, support * n)
+    mined = grown(rows, support, confidence) if sets <= most else levelled(rows, n, support, confidence)
+    found = [(frozenset(r["tokens"]), r["verdict"], r["confidence"], r["support"]) for r in mined.collect()]
     found.sort(key=lambda r: (len(r[0]), -r[2], r[1], sorted(r[0])))
-    kept: dict[frozenset, list[tuple[str, float]]] = {}
+    kept: dict[tuple[frozenset, str], float] = {}
     out = []
     for tokens, verdict, sure, share in found:
-        below = [tokens - {t} for t in tokens]
-        said = max((c for b in below for v, c in kept.get(b, []) if v == verdict), default=0.0)
-        # what shorter rules say of any part is handed up, so that only direct parts need a look
-        kept.setdefault(tokens, []).append((verdict, max(sure, said)))
+        parts = (frozenset(own) for size in range(1, len(tokens)) for own in itertools.combinations(tokens, size))
+        said = max((kept.get((own, verdict), 0.0) for own in parts), default=0.0)
         if sure > said:
+            kept[tokens, verdict] = sure
             out.append((frozenset(t for lead in tokens for t in classes[lead]), verdict, sure, share))
     return sorted(out, key=lambda r: (-r[2], -r[3], len(r[0]), r[1], sorted(r[0])))
 

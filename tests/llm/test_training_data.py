@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -367,6 +368,32 @@ def plain_rules(rows, support=0.01, confidence=0.8):
     return sorted(kept, key=lambda r: (-r[2], -r[3], len(r[0]), r[1], sorted(r[0])))
 
 
+def test_url_rules_of_many_common_keys(spark):
+    """Thirty keys, each in most urls: the frequent sets of any length are too many to list, those of up to LONGEST aren't."""
+    rng = random.Random(17)
+    rows = []
+    for _ in range(1000):
+        keys = [f"k{i:02}" for i in range(30) if rng.random() < 0.7]
+        block = {"k03", "k17"} <= set(keys) and rng.random() < 0.95 or "k29" not in keys and rng.random() < 0.7
+        rows.append(("http://a.net/?" + "&".join(f"{k}=1" for k in keys), "block" if block else "allow"))
+    marked = spark.createDataFrame(rows, "url string, verdict string").select(urls.url_tokens(F.col("url")).alias("tokens"), "verdict")
+    begin = time.monotonic()
+    rules = urls.mine_rules(marked)
+    assert time.monotonic() - begin < 120
+    assert len(rules) > 10 and rules == plain_rules([(r.tokens, r.verdict) for r in marked.collect()])
+
+
+def test_url_rules_by_level_and_by_growth(spark):
+    rng = random.Random(5)
+    for share in (0.1, 0.6):
+        rows = [([f"t{i}" for i in range(7) if rng.random() < 0.6] + ["all"], rng.choice(["allow", "block", "block", None]) if rng.random() < share else "block") for _ in range(150)]
+        marked = spark.createDataFrame(rows, "tokens array<string>, verdict string")
+        grown = urls.mine_rules(marked, 0.03, 0.6)
+        assert grown == urls.mine_rules(marked, 0.03, 0.6, most=0) == plain_rules([r for r in rows if r[1]], 0.03, 0.6)
+    assert urls.mine_rules(marked.filter("verdict is null"), most=0) == []
+    assert urls.mine_rules(spark.createDataFrame([([], "allow"), (["a"], "block")], "tokens array<string>, verdict string"), 0.9, most=0) == []
+
+
 def test_urls(spark):
     given = ["http://A.Example.ORG/es/x?q#f", "https://example.org/en/12", "https://m.example.org/en/2", "ftp://x.com/fr/", "http://com/de/1", "http://org", "nothing", None, "http://org?x", "http://notorg/", "a://b.net/p/1?k=1&z=2#t", ""]
     pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(given)] + [(0, given[0], "x"), (None, None, None)], "page_id long, url string, host string")
