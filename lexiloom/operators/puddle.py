@@ -140,6 +140,20 @@ def train(prepared: DataFrame, group: list[str] = ("doc_id",), order: list[str]
     return prepared.groupBy(*group).applyInPandas(run, MODEL).groupBy("kind", "item").agg(F.sum("n").alias("n"))
 
 
+def known(words: DataFrame, window: int = 2) -> DataFrame:
+    """(kind, item, n): the model of a learner that has met each row of ``words`` (units: a word's array of units) as a word.
+
+    Edges are slices of the word, and as in learning only words of two units or more have them. Words without units have no part; an empty table
+    gives an empty model.
+    """
+    joined = lambda units: F.array_join(units, "")
+    n = F.size("units")
+    edges = F.when(n > 1, F.array(F.struct(F.lit("begin").alias("kind"), joined(F.slice("units", 1, window)).alias("item")), F.struct(F.lit("end").alias("kind"), joined(F.slice("units", F.greatest(n - window, F.lit(0)) + 1, window)).alias("item"))))
+    word = F.array(F.struct(F.lit("word").alias("kind"), joined("units").alias("item")))
+    rows = words.filter(n > 0).select(F.inline(F.concat(word, F.coalesce(edges, F.slice(word, 1, 0)))))
+    return rows.groupBy("kind", "item").agg(F.count("*").alias("n"))
+
+
 def apply(prepared: DataFrame, model: DataFrame, window: int = 2, by_frequency: bool = False) -> DataFrame:
     """``prepared`` segmented by a frozen model, every row by itself.
 

@@ -221,6 +221,17 @@ def puddle_frozen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conserved(puddle.apply(prepared_of(spark, sf_dir), model), gold_of(spark, sf_dir))
 
 
+def puddle_known(by_frequency: bool) -> Query:
+    """All documents, cut by the learner whose frozen model is the words of the benchmark items."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        words = items_of(spark, sf_dir).select(F.explode(F.split("text", " ")).alias("word")).filter("word <> ''")
+        model = puddle.known(words.select(F.split("word", "").alias("units")))
+        return puddle.apply(prepared_of(spark, sf_dir), model, by_frequency=by_frequency)
+
+    return query
+
+
 def sampled_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A chain for each benchmark item."""
     items = items_of(spark, sf_dir)
@@ -272,6 +283,8 @@ def queries() -> dict[str, Query]:
         "baseline_random": lambda s, d: conserved(baseline.segment(prepared_of(s, d), 0.5), gold_of(s, d)),
         "puddle_online": lambda s, d: conserved(puddle.segment_online(prepared_of(s, d)), gold_of(s, d)),
         "puddle_frozen": puddle_frozen,
+        "puddle_known": puddle_known(by_frequency=False),
+        "puddle_known_frequency": puddle_known(by_frequency=True),
         "sampled_vote": sampled_vote,
         "puddle_online_text": lambda s, d: puddle.segment_online(prepared_of(s, d)),
         "puddle_folds_text": lambda s, d: puddle.segment(prepare.prepare(corpus.tagged(items_of(s, d), SEP), SEP), nfolds=5),

@@ -155,6 +155,44 @@ def sql(*parts: str, then: str) -> str:
 ITEMS = """
 bl AS (SELECT item_id AS doc_id, unnest(range(len(l))) AS line_no, unnest(l) AS line FROM (SELECT item_id, string_split(text, chr(10)) AS l FROM benchmark WHERE text IS NOT NULL)),
 bt AS (SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, trim(regexp_replace(regexp_replace(lower(line), '[^a-z ]', '', 'g'), ' +', ' ', 'g')) AS text FROM bl)"""
+#: Where known words stand before a known beginning: of each place the shortest such word, or, by frequency, the first of the
+#: candidates from short to long that has one when it gives way to the most frequent of those as long or longer.
+HITS = {
+    False: "hits AS (SELECT doc_id, line_no, i, fits, min(i + k) AS next FROM found WHERE substr(s, k + 1, 2) IN (FROM begins) GROUP BY ALL)",
+    True: """
+ways AS (SELECT *, (max({'n': n, 'k': k}) OVER (PARTITION BY doc_id, line_no, i ORDER BY k DESC)).k AS b FROM found),
+hits AS (SELECT doc_id, line_no, i, fits, i + arg_min(b, k) AS next FROM ways WHERE substr(s, b + 1, 2) IN (FROM begins) GROUP BY doc_id, line_no, i, fits)""",
+}
+
+
+def known(by_frequency: bool) -> str:
+    """The learner's words under a frozen model, by a fold over these places from left to right."""
+    return (
+        """
+lex AS (SELECT word, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS word FROM bt WHERE text <> '') GROUP BY word),
+begins AS (SELECT DISTINCT left(word, 2) AS e FROM lex WHERE len(word) > 1),
+ends AS (SELECT DISTINCT right(word, 2) AS e FROM lex WHERE len(word) > 1),
+lengths AS (SELECT DISTINCT len(word) AS k FROM lex),
+sq AS (SELECT doc_id, line_no, replace(text, ' ', '') AS t FROM utt),
+places AS (SELECT doc_id, line_no, unnest(range(len(t))) AS i, unnest(string_split(t, '')) AS c FROM sq),
+ahead AS (SELECT doc_id, line_no, i, coalesce(lag(c, 2) OVER o || lag(c) OVER o, '') AS before,
+    string_agg(c, '') OVER (PARTITION BY doc_id, line_no ORDER BY i ROWS BETWEEN CURRENT ROW AND 63 FOLLOWING) AS s
+  FROM places WINDOW o AS (PARTITION BY doc_id, line_no ORDER BY i)),
+found AS (SELECT doc_id, line_no, i, s, k, n, before IN (FROM ends) AS fits FROM ahead JOIN lengths ON len(s) >= k JOIN lex ON word = left(s, k)),
+"""
+        + HITS[by_frequency]
+        + """,
+folded AS (SELECT doc_id, line_no, list_reduce(list({'i': i, 'fits': fits, 'next': next, 'cuts': CAST([] AS BIGINT[])} ORDER BY i),
+    lambda a, x: CASE WHEN x.i = a.next OR x.fits AND x.i >= a.next + 2
+      THEN {'i': x.i, 'fits': x.fits, 'next': x.next, 'cuts': list_concat(a.cuts, CASE WHEN x.i > a.next THEN [x.i, x.next] ELSE [x.next] END)} ELSE a END,
+    {'i': CAST(0 AS BIGINT), 'fits': false, 'next': CAST(0 AS BIGINT), 'cuts': CAST([] AS BIGINT[])}).cuts AS cuts
+  FROM hits GROUP BY ALL),
+cut_at AS (SELECT doc_id, line_no, unnest(cuts) AS i FROM folded),
+seg AS (SELECT doc_id, line_no, string_agg(CASE WHEN cut_at.i IS NOT NULL AND i > 0 THEN ' ' || c ELSE c END, '' ORDER BY i) AS text
+  FROM places LEFT JOIN cut_at USING (doc_id, line_no, i) GROUP BY ALL)"""
+    )
+
+
 WORDS = "w AS (SELECT doc_id, line_no, CAST(unnest(range(len(x))) AS INTEGER) AS pos, unnest(x) AS token FROM (SELECT doc_id, line_no, string_split(text, ' ') AS x FROM utt))"
 COUNTED = "SELECT {}, CAST(n AS BIGINT) AS n FROM {}"
 SEGMENT = "SELECT doc_id, line_no, text FROM seg"
@@ -190,6 +228,8 @@ SELECT error, count(*) AS n FROM e GROUP BY ALL""",
         "unfold_roundtrip": sql(UTT, then="SELECT doc_id, line_no, text FROM utt"),
         "baseline_none": sql(UTT, then="SELECT doc_id, line_no, replace(text, ' ', '') AS text FROM utt"),
         "baseline_all": sql(UTT, then="SELECT doc_id, line_no, regexp_replace(replace(text, ' ', ''), '(.)', '\\1 ', 'g') AS text FROM utt"),
+        "puddle_known": sql(UTT, ITEMS, known(False), then=SEGMENT),
+        "puddle_known_frequency": sql(UTT, ITEMS, known(True), then=SEGMENT),
         "sampled_vote": "WITH " + ITEMS + " SELECT doc_id, line_no, TRUE AS conserved FROM bt WHERE text <> ''",
         "adaptor_vote": "WITH " + ITEMS + " SELECT doc_id, line_no, TRUE AS conserved FROM bt WHERE text <> ''",
         "dpseg_folds": "WITH " + ITEMS + " SELECT doc_id, line_no, TRUE AS conserved FROM bt WHERE text <> ''",

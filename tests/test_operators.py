@@ -156,6 +156,21 @@ def test_samples_and_vote(lines, spark):
     assert texts(votes) == ["a bc", "x y"]
 
 
+def test_puddle_models_of_known_words(spark, lines):
+    words = spark.createDataFrame([(["h", "e", "y"],), (["h", "e", "y"],), (["a"],), ([],), (None,), (["d", "oo", "r"],)], "units array<string>")
+    model = {(r.kind, r.item): r.n for r in puddle.known(words).collect()}
+    assert model == {("word", "hey"): 2, ("word", "a"): 1, ("word", "door"): 1, ("begin", "he"): 2, ("begin", "doo"): 1, ("end", "ey"): 2, ("end", "oor"): 1}
+    one = {(r.kind, r.item) for r in puddle.known(words, 1).collect()}
+    assert {("begin", "h"), ("begin", "d"), ("end", "y"), ("end", "r")} == {k for k in one if k[0] != "word"}
+    assert puddle.known(words.limit(0)).count() == 0
+    given = lines(["h e y d oo r", "d oo r h e y a", "x h e y h e y", "a"])
+    assert texts(puddle.apply(given, puddle.known(words))) == ["hey door", "door heya", "xheyhey", "a"]
+    taught = puddle.Learner()
+    for units in ("hey", "hey", "a"):
+        taught.learn(list(units), 0, len(units) - 1)
+    assert {(k, i, n) for k, i, n in taught.rows()} == {(k, i, n) for (k, i), n in model.items() if "oo" not in i}
+
+
 def plain_puddle(lines, window=2, frequency=False):
     """The learner word for word on lists: literal slices, restart after each match."""
     words, begins, ends, out = {}, set(), set(), []

@@ -11,7 +11,7 @@ import pytest
 from lexiloom.plans import catalog
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-FEW = ["gold_words", "validate_errors", "describe_words", "tp_relative_ftp", "evaluate_tp", "dibs_model_phrasal", "error_summary_tp", "fold_assignment", "mattr", "oracle_probability", "diphone_dump", "dpseg_folds", "adaptor_vote", "text_lines", "parse_vote", "stimuli_choice", "fold_repair", "describe_all", "syllabify_phones", "prepare_syllable", "nested_tokens", "chat_cleaned", "chat_phonologised", "sql_tokens", "sql_prepared", "sql_syllables", "ari_units_tp", "error_summary_lines"]
+FEW = ["gold_words", "validate_errors", "describe_words", "tp_relative_ftp", "evaluate_tp", "dibs_model_phrasal", "error_summary_tp", "fold_assignment", "mattr", "oracle_probability", "diphone_dump", "dpseg_folds", "adaptor_vote", "text_lines", "parse_vote", "stimuli_choice", "fold_repair", "describe_all", "syllabify_phones", "prepare_syllable", "nested_tokens", "chat_cleaned", "chat_phonologised", "sql_tokens", "sql_prepared", "sql_syllables", "ari_units_tp", "error_summary_lines", "puddle_known", "puddle_known_frequency"]
 
 
 def same(found, wanted):
