@@ -193,6 +193,28 @@ seg AS (SELECT doc_id, line_no, string_agg(CASE WHEN cut_at.i IS NOT NULL AND i
     )
 
 
+#: The best split of each utterance under a lexicon's costs: one fold over its letters, then one back over where the best words start.
+VITERBI = """
+sq AS (SELECT doc_id, line_no, replace(text, ' ', '') AS t FROM utt),
+places AS (SELECT doc_id, line_no, unnest(range(len(t))) AS i, unnest(string_split(t, '')) AS c FROM sq),
+ahead AS (SELECT doc_id, line_no, i, string_agg(c, '') OVER (PARTITION BY doc_id, line_no ORDER BY i ROWS BETWEEN CURRENT ROW AND 63 FOLLOWING) AS s FROM places),
+held AS (SELECT doc_id, line_no, i + k - 1 AS i, list({'i': i, 'c': cost}) AS words
+  FROM ahead JOIN (SELECT DISTINCT len(word) AS k FROM lx) ON len(s) >= k JOIN lw ON word = left(s, k) GROUP BY doc_id, line_no, i + k - 1),
+steps AS (SELECT doc_id, line_no, any_value(fresh) AS fresh, list({'j': i + 1, 'u': coalesce(lc.cost, letter), 'words': coalesce(words, []), 'd': CAST([] AS BIGINT[]), 's': CAST(0 AS BIGINT),
+    'o': {'c': CAST(0 AS BIGINT), 'i': CAST(0 AS BIGINT)}, 'back': CAST([] AS BIGINT[])} ORDER BY i) AS e
+  FROM places LEFT JOIN lc USING (c) LEFT JOIN held USING (doc_id, line_no, i), unseen GROUP BY doc_id, line_no),
+best AS (SELECT doc_id, line_no, list_reduce(e, lambda a, x:
+    list_transform([list_min([a.o, {'c': a.d[-1] - a.s, 'i': x.j - 1}])], lambda o:
+      list_transform([list_min(list_append(list_transform(x.words, lambda w: {'c': a.d[w.i - x.j] + w.c, 'i': w.i}), {'c': o.c + a.s + x.u + fresh, 'i': o.i}))], lambda b:
+        {'j': x.j, 'u': x.u, 'words': x.words, 'd': list_append(a.d, b.c)[-64:], 's': a.s + x.u, 'o': o, 'back': list_append(a.back, b.i)})[1])[1],
+    {'j': CAST(0 AS BIGINT), 'u': CAST(0 AS BIGINT), 'words': CAST([] AS STRUCT(i BIGINT, c BIGINT)[]), 'd': [CAST(0 AS BIGINT)], 's': CAST(0 AS BIGINT),
+     'o': {'c': CAST(1 AS BIGINT) << 60, 'i': CAST(-1 AS BIGINT)}, 'back': CAST([] AS BIGINT[])}) AS r FROM steps),
+split AS (SELECT doc_id, line_no, r.d[-1] AS cost, list_reduce(list_reverse(list_transform(r.back, lambda x, j: {'at': j, 'start': x, 'cuts': CAST([] AS BIGINT[])})),
+    lambda a, x: CASE WHEN x.at = a.at THEN {'at': x.start, 'start': x.start, 'cuts': list_append(a.cuts, x.start)} ELSE a END,
+    {'at': len(r.back), 'start': CAST(0 AS BIGINT), 'cuts': CAST([] AS BIGINT[])}).cuts AS cuts FROM best),
+cut_at AS (SELECT doc_id, line_no, unnest(cuts) AS i FROM split),
+seg AS (SELECT doc_id, line_no, string_agg(CASE WHEN cut_at.i IS NOT NULL AND i > 0 THEN ' ' || c ELSE c END, '' ORDER BY i) AS text
+  FROM places LEFT JOIN cut_at USING (doc_id, line_no, i) GROUP BY ALL)"""
 WORDS = "w AS (SELECT doc_id, line_no, CAST(unnest(range(len(x))) AS INTEGER) AS pos, unnest(x) AS token FROM (SELECT doc_id, line_no, string_split(text, ' ') AS x FROM utt))"
 COUNTED = "SELECT {}, CAST(n AS BIGINT) AS n FROM {}"
 SEGMENT = "SELECT doc_id, line_no, text FROM seg"
@@ -228,6 +250,10 @@ SELECT error, count(*) AS n FROM e GROUP BY ALL""",
         "unfold_roundtrip": sql(UTT, then="SELECT doc_id, line_no, text FROM utt"),
         "baseline_none": sql(UTT, then="SELECT doc_id, line_no, replace(text, ' ', '') AS text FROM utt"),
         "baseline_all": sql(UTT, then="SELECT doc_id, line_no, regexp_replace(replace(text, ' ', ''), '(.)', '\\1 ', 'g') AS text FROM utt"),
+        "frozen_viterbi": sql(UTT, ITEMS, costs("SELECT word, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS word FROM bt WHERE text <> '') GROUP BY ALL"), VITERBI,
+                              then="SELECT doc_id, line_no, text, cost FROM seg JOIN split USING (doc_id, line_no)"),
+        "sql_best_words": sql(UTT, ITEMS, costs("SELECT word, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS word FROM bt WHERE text <> '') GROUP BY ALL ORDER BY n DESC, word LIMIT 100"), VITERBI,
+                              then="SELECT word, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS word FROM seg) GROUP BY ALL"),
         "puddle_known": sql(UTT, ITEMS, known(False), then=SEGMENT),
         "puddle_known_frequency": sql(UTT, ITEMS, known(True), then=SEGMENT),
         "sampled_vote": "WITH " + ITEMS + " SELECT doc_id, line_no, TRUE AS conserved FROM bt WHERE text <> ''",
