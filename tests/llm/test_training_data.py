@@ -505,3 +505,18 @@ def test_pipeline_stages(spark):
     leaks = {r.doc_id for r in decontamination.find_leaks(docs, spark.read.parquet(f"{small}/benchmark.parquet")).collect()}
     assert len(final) and set(final["doc_id"]) <= rated - leaks
     assert all(sorted(g) == list(range(len(g))) for _, g in final.groupby("shard")["slot"])
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd):
+    """Nulls, empty and very long texts, ties, repeated rows and clashing columns, each with the result its stage names."""
+    small = "/root/testdata/sf0.001"
+    given = sorted(str(tuple(r)) for r in odd.select(*DOCUMENT_COLUMNS).collect())
+    stages = dict(corpus_pipeline.STAGES)
+    ran = {name: stages[name](spark, spread(odd), small) for name in stages}
+    rows = {name: sorted(str(tuple(r)) for r in ran[name].select(*DOCUMENT_COLUMNS).collect()) for name in stages}
+    assert all(ran[name].columns == list(DOCUMENT_COLUMNS) for name in list(stages)[:-1])
+    assert all(set(found) <= set(given) for found in rows.values())
+    # texts without words are one group, as are copies and near copies; the least doc_id stays
+    kept = ran["simhash near-dedup"].select("doc_id").collect()
+    assert sorted(r.doc_id for r in kept) == [0, 3, 3, 4, 6, 8, 10, 11]
+    assert rows["benchmark decontamination"] == rows["sharding"] == given
