@@ -17,23 +17,43 @@ SHARDS = 24
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the classifier predicts as good, repeated rows as often as they come.
+
+    Null and empty texts are points like others; null doc_ids aren't learned from. An empty table stays empty; other columns go.
+    """
     rated = quality.score(docs.select(*DOCUMENT_COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return rated.filter("predicted = 1").select(*DOCUMENT_COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the least doc_id (null last), then the least text hash; of wholly equal rows one.
+
+    Null texts, empty ones and others without words are one group. An empty table stays empty; other columns go.
+    """
     return simhash.one_of_each(docs.select(*DOCUMENT_COLUMNS), **simhash.SIMILAR)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that hold no benchmark item, repeated rows as often as they come.
+
+    Null and empty texts hold none, so they stay, as do null doc_ids. An empty table stays empty; other columns go.
+    """
     return decontamination.decontaminate(docs.select(*DOCUMENT_COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents, each as often as its source's target takes it. A null source is a source like others.
+
+    Documents without words, null texts among them, stay once; repeated rows are ordinary rows. An empty table stays empty; other columns go.
+    """
     return mixing.mixed_rows(docs.select(*DOCUMENT_COLUMNS))
 
 
 def into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with their shard and slot, equal texts in one shard; null texts are alike, and apart from empty ones.
+
+    Null doc_ids and repeated rows are ordinary rows. An empty table gives an empty result; other columns go.
+    """
     return sharding.shard(docs.select(*DOCUMENT_COLUMNS), SHARDS)
 
 
