@@ -7,9 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pairs import joined_units, pair_scores
+from ..functions.pairs import cut_by_scores
 from ..functions.separator import Separator
-from .prepare import units_of
 
 KEY = ["doc_id", "line_no"]
 
@@ -78,9 +77,7 @@ def fit(trained: dict, kind: str = "phrasal", pwb: float | None = None, unit_edg
 
 def apply(prepared: DataFrame, model: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``prepared`` with its text cut where the score is above the threshold; unseen diphones score 1."""
-    rows = pair_scores(prepared.withColumn("_u", units_of(F.col("text"))), "_u", model, 1.0, "_s", KEY)
-    cuts = F.transform("_s", lambda s: s > F.lit(threshold))
-    return rows.withColumn("text", joined_units(F.col("_u"), cuts)).drop("_u", "_s")
+    return cut_by_scores(prepared, model, 1.0, lambda before, own, after: own > threshold, KEY)
 
 
 KINDS = ("phrasal", "lexical", "gold")

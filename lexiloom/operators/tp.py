@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from ..functions.pairs import joined_units, pair_scores
+from ..functions.pairs import cut_by_scores
 from .prepare import ends_of_corpus, units_of, with_ends
 
 KEY = ["doc_id", "line_no"]
@@ -53,18 +53,14 @@ def apply(prepared: DataFrame, model: DataFrame, threshold: str = "relative", en
     """
     if threshold not in ("relative", "absolute"):
         raise ValueError(f"threshold must be relative or absolute, it is '{threshold}'")
-    rows = with_ends(prepared.withColumn("_u", units_of(F.col("text"))), KEY, ends or ends_of_corpus(prepared, KEY))
+    rows = with_ends(prepared, KEY, ends or ends_of_corpus(prepared, KEY))
     if threshold == "absolute":
-        mean = F.lit(model.agg(F.sum("score") / F.count("score")).first()[0])
-        rows = pair_scores(rows, "_u", model, 0.0, "_s", KEY)
-        cuts = F.transform("_s", lambda s: s <= mean)
+        mean = model.agg(F.sum("score") / F.count("score")).first()[0]
+        mean = float("-inf") if mean is None else float(mean)  # without pairs nothing is below the mean
+        out = cut_by_scores(rows.drop("_first", "_last"), model, 0.0, lambda before, own, after: own <= mean, KEY)
     else:
-        rows = rows.withColumn("_e", F.concat(F.array(F.lit(EDGE)), "_u", F.array(F.lit(EDGE))))
-        rows = pair_scores(rows, "_e", model, 0.0, "_s", KEY).drop("_e")
-        n = F.greatest(F.size("_s") - 2, F.lit(0))
-        low = F.transform(F.arrays_zip(*[F.slice("_s", k + 1, n).alias(c) for k, c in enumerate("xyz")]), lambda p: (p["x"] > p["y"]) & (p["y"] < p["z"]))
-        cuts = F.transform(low, lambda c, i: c & ~(F.col("_first") & (i == 0)) & ~(F.col("_last") & (i == n - 1)))
-    return rows.withColumn("text", joined_units(F.col("_u"), cuts)).drop("_u", "_s", "_first", "_last")
+        out = cut_by_scores(rows, model, 0.0, lambda before, own, after: (before > own) & (own < after), KEY, EDGE)
+    return out.select(*prepared.columns)
 
 
 def segment(prepared: DataFrame, train: DataFrame | None = None, threshold: str = "relative", dependency: str = "ftp") -> DataFrame:

@@ -3,8 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lexiloom.functions import pairs
 from lexiloom.functions.separator import Separator
 from lexiloom.operators import baseline, dibs, evaluate, folding, prepare, puddle, sampling, statistics, syllables, tp
+from lexiloom.plans import catalog
 
 
 @pytest.fixture
@@ -325,3 +327,17 @@ def test_dibs_dispatch_and_fold_boundaries(lines):
     assert texts(folding.unfold(folding.fold(four, 2, [0, 3]), 2)) == ["1", "2", "3", "4"]
     with pytest.raises(ValueError):
         folding.fold(four, 2, [1, 3])
+
+
+def test_the_text_of_a_corpus_is_computed_once(spark, data, capsys):
+    catalog.prepared_of(spark, data).explain()
+    assert capsys.readouterr().out.count("translate(") == 1
+
+
+@pytest.mark.parametrize("threshold", ["relative", "absolute"])
+def test_small_and_large_pair_models_cut_alike(lines, monkeypatch, threshold):
+    own = lines(["a b c a b é", "x", "a b x c", "b c a b c"])
+    model = tp.fit(own)
+    small = texts(tp.apply(own, model, threshold))
+    monkeypatch.setattr(pairs, "MAP_PAIRS", 0)
+    assert texts(tp.apply(own, model, threshold)) == small
