@@ -1,36 +1,67 @@
 """Scores of segmented against gold utterances.
 
-Both sides are arrays of words in one row an utterance, so positions, boundaries, overlaps and chunks are array functions; only the
-word types of the lexicon scores shuffle.
+Both sides stand in one row an utterance; the ends of all words of a batch of utterances are arrays of numbers, in which positions, boundaries, overlaps
+and chunks are found together. What leaves a batch is sums and counts of its words, which are added up by a shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.binding import computed
 from ..functions.separator import squeezed
 
 KEY = ["doc_id", "line_no"]
+CATEGORIES = ("correct", "over", "under", "mis")
 FAMILIES = ("token", "type", "boundary_all", "boundary_noedge")
 
 
-def ends_of(text: Column) -> Column:
-    """Where each word of a text with single spaces ends, in characters without spaces."""
-    chars = F.split(text, "")
-    spaces = F.filter(F.transform(chars, lambda c, i: F.when(c == " ", i)), lambda i: i.isNotNull())
-    return F.concat(F.transform(spaces, lambda at, k: at - k), F.array(F.length(F.replace(text, F.lit(" "), F.lit("")))))
+def word_ends(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, at) of each word of texts with single spaces, in order: where it ends, in characters without spaces. No text may be empty."""
+    texts = texts.cast(pa.large_string())
+    _, places, data = texts.buffers()
+    stops = np.frombuffer(places, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data, stops = np.frombuffer(data, dtype=np.uint8)[stops[0] : stops[-1]], stops - stops[0]
+    space = data == 32
+    before = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(~space & ((data & 0xC0) != 0x80))])  # characters begin at bytes that go on with none
+    place = np.sort(np.concatenate([np.flatnonzero(space), stops[1:]]))
+    row = np.searchsorted(stops, place, side="left") - 1
+    return row, before[place] - before[stops[row]]
+
+
+def steps(row: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Differences inside each row of ascending places, the first from 0."""
+    last = np.concatenate([np.zeros(1, dtype=np.int64), at[:-1]])
+    first = np.ones(len(at), dtype=bool)
+    first[1:] = row[1:] != row[:-1]
+    return at - np.where(first, 0, last)
+
+
+def on_one_line(*sides: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    """The (row, at) of each side as one number that rises from row to row; the same on all sides."""
+    wide = max(int(at.max()) for _, at in sides) + 1
+    return [row * wide + at for row, at in sides]
+
+
+def by_batch(pairs: DataFrame, columns: list[str], schema: str, count: Callable[..., list[pa.RecordBatch]]) -> DataFrame:
+    """What ``count`` makes of the ``columns`` of each batch of utterances."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield from count(*[batch.column(c) for c in columns])
 
-def steps(ends: Column) -> Column:
-    """Differences of an ascending array, the first from 0."""
-    before = F.concat(F.array(F.lit(0)), F.slice(ends, 1, F.greatest(F.size(ends) - 1, F.lit(0))))
-    return F.zip_with(ends, before, lambda x, y: x - y)
+    return pairs.select(*columns).mapInArrow(run, schema)
 
 
 def paired(text: DataFrame, gold: DataFrame | None) -> DataFrame:
-    """(key, t, g, te, ge): squeezed texts and the word ends of both sides. Utterances must match and have the same letters, else the job fails.
+    """(key, t, g): squeezed texts of both sides. Utterances must match and have the same letters, else the job fails.
 
     Without ``gold``, ``text`` has a column gold: both sides come from one row and nothing is joined.
     """
@@ -43,32 +74,29 @@ def paired(text: DataFrame, gold: DataFrame | None) -> DataFrame:
     else:
         rows = text.select(*KEY, squeezed(F.col("text")).alias("t")).join(gold.select(*KEY, squeezed(F.col("text")).alias("g")), KEY, "full")
     # empty rows go after the join: a filter before it would be pushed down with all that computes the text
-    rows = rows.filter("coalesce(t, '') <> '' or coalesce(g, '') <> ''").withColumn("t", checked)
-    return rows.withColumn("te", ends_of(F.col("t"))).withColumn("ge", ends_of(F.col("g")))
-
-
-def positions(e: str) -> Column:
-    """start:end of each word."""
-    return F.zip_with(e, steps(F.col(e)), lambda x, n: F.concat_ws(":", x - n, x))
+    return rows.filter("coalesce(t, '') <> '' or coalesce(g, '') <> ''").withColumn("t", checked)
 
 
 def score_counts(pairs: DataFrame) -> DataFrame:
     """(family, test, gold, correct): one row each for tokens, types, boundaries with and without edges."""
-    inner = lambda e: F.slice(F.col(e), 1, F.greatest(F.size(e) - 1, F.lit(0)))
-    with_edges = lambda e: F.concat(F.array(F.lit(0)), e)
-    common = lambda a, b: F.size(F.array_intersect(a, b))
-    parts = [
-        ("token", F.size("te"), F.size("ge"), common(positions("te"), positions("ge"))),
-        ("boundary_all", F.size(with_edges("te")), F.size(with_edges("ge")), common(with_edges("te"), with_edges("ge"))),
-        ("boundary_noedge", F.size(inner("te")), F.size(inner("ge")), common(inner("te"), inner("ge"))),
-    ]
-    # one pass: a row of counts for each utterance and one for each of its words, added up by word
-    numbers = [c.cast("long").alias(f"{name}{k}") for name, *cols in parts for k, c in enumerate(cols)]
-    names = [f"{name}{k}" for name, *_ in parts for k in range(3)]
-    zeros = [F.lit(0).cast("long").alias(n) for n in names]
-    words = lambda c, t, g: F.transform(F.split(c, " "), lambda w: F.struct(w.alias("word"), F.lit(t).alias("_t"), F.lit(g).alias("_g"), *zeros))
-    whole = F.array(F.struct(F.lit(None).cast("string").alias("word"), F.lit(0).alias("_t"), F.lit(0).alias("_g"), *numbers))
-    by = pairs.select(F.inline(F.concat(whole, words("t", 1, 0), words("g", 0, 1)))).groupBy("word").agg(F.max("_t").alias("_t"), F.max("_g").alias("_g"), *[F.sum(n).alias(n) for n in names])
+    names = [f"{name}{k}" for name in FAMILIES if name != "type" for k in range(3)]
+
+    def count(t: pa.Array, g: pa.Array) -> list[pa.RecordBatch]:
+        te, ge = on_one_line(word_ends(t), word_ends(g))
+        shared, rows = np.intersect1d(te, ge, assume_unique=True), len(t)
+        # a word is right if shared ends are neighbours on both sides
+        right = (np.diff(np.searchsorted(te, shared), prepend=-1) == 1) & (np.diff(np.searchsorted(ge, shared), prepend=-1) == 1)
+        sizes = (len(te), len(ge), len(shared))
+        numbers = [*sizes[:2], int(right.sum()), *(n + rows for n in sizes), *(n - rows for n in sizes)]
+        words = [pc.unique(pc.split_pattern(x, " ").flatten()) for x in (t, g)]
+        n = [len(w) for w in words]
+        word = pa.concat_arrays([pa.array([None], pa.string()), *(w.cast(pa.string()) for w in words)])
+        sides = [pa.array([0] * (1 + n[0] * side) + [1] * n[side] + [0] * (n[1] * (1 - side)), pa.int32()) for side in (0, 1)]
+        sums = [pa.array(np.concatenate([[k], np.zeros(sum(n), dtype=np.int64)])) for k in numbers]
+        return [pa.RecordBatch.from_arrays([word, *sides, *sums], ["word", "_t", "_g", *names])]
+
+    made = by_batch(pairs, ["t", "g"], "word string, _t int, _g int, " + ", ".join(f"{n} long" for n in names), count)
+    by = made.groupBy("word").agg(F.max("_t").alias("_t"), F.max("_g").alias("_g"), *[F.sum(n).alias(n) for n in names])
     type_ = F.col("word").isNotNull() & (F.col("word") != "_")
     of = lambda c: F.count_if(type_ & c)
     sums = by.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names], of(F.col("_t") == 1).alias("type0"), of(F.col("_g") == 1).alias("type1"), of((F.col("_t") == 1) & (F.col("_g") == 1)).alias("type2"))
@@ -91,36 +119,34 @@ def evaluate(text: DataFrame, gold: DataFrame, units: DataFrame | None = None) -
     return out
 
 
-def units_within(ends: str | Column) -> Column:
-    """For each word end how many units (whose ends are ``ue``) end there or before: places in the sorted ends of both, so one sort for an utterance."""
-    one = lambda c, kind: F.transform(c, lambda x: F.struct(x.alias("x"), F.lit(kind).alias("kind")))
-    both = F.array_sort(F.concat(one("ue", 0), one(ends, 1)))
-    places = F.filter(F.transform(both, lambda x, at: F.when(x["kind"] == 1, at)), lambda at: at.isNotNull())
-    return F.transform(places, lambda at, k: at - k)
-
-
 def adjusted_rand_index(text: DataFrame, gold: DataFrame | None = None, units: DataFrame | None = None) -> DataFrame:
     """One row: the index over units, each word token a class of its own.
 
     Both sides partition the same letters, so the cells of the contingency table are the stretches between boundaries of either
-    side. ``units`` has the prepared utterances; without it, units are characters.
+    side. ``units`` has the prepared utterances; without it, units are characters. A word's units are those that end in it.
     """
     rows = paired(text, gold)
-    if units is None:
-        rows = rows.withColumn("n", F.element_at("te", -1))
-        counts = steps
-    else:
-        own = units.select(*KEY, squeezed(F.col("text")).alias("u"))
-        rows = rows.join(own, KEY).withColumn("ue", ends_of(F.col("u"))).withColumn("n", F.size("ue"))
-        # a word's units are those that end in it
-        counts = lambda e: steps(units_within(e))
-    twos = lambda a: F.aggregate(F.transform(a, lambda n: n.cast("long")), F.lit(0).cast("long"), lambda s, n: s + F.floor(n * (n - 1) / 2).cast("long"))
-    sums = rows.agg(
-        F.sum(twos(counts(F.array_sort(F.array_union("te", "ge"))))).cast("double").alias("both"),
-        F.sum(twos(counts(F.col("te")))).cast("double").alias("a"),
-        F.sum(twos(counts(F.col("ge")))).cast("double").alias("b"),
-        F.sum("n").cast("double").alias("n"),
-    )
+    if units is not None:
+        rows = rows.join(units.select(*KEY, squeezed(F.col("text")).alias("u")).filter("u <> ''"), KEY)
+
+    def count(t: pa.Array, g: pa.Array, u: pa.Array | None = None) -> list[pa.RecordBatch]:
+        sides = [word_ends(t), word_ends(g), *([] if u is None else [word_ends(u)])]
+        te, ge, *ue = on_one_line(*sides)
+        wide = max(int(at.max()) for _, at in sides) + 1
+        own = ue[0] if ue else None
+        n = len(own) if ue else int(sides[0][1][np.append(np.flatnonzero(np.diff(sides[0][0])), len(te) - 1)].sum())
+
+        def twos(ends: np.ndarray) -> int:
+            row, at = ends // wide, ends % wide
+            if ue:
+                at = np.searchsorted(own, ends, side="right") - np.searchsorted(own, row * wide, side="right")
+            size = steps(row, at)
+            return int((size * (size - 1) // 2).sum())
+
+        return [pa.RecordBatch.from_pydict({"both": [twos(np.union1d(te, ge))], "a": [twos(te)], "b": [twos(ge)], "n": [n]})]
+
+    made = by_batch(rows, ["t", "g"] + ["u"] * (units is not None), "both long, a long, b long, n long", count)
+    sums = made.agg(*[F.sum(c).cast("double").alias(c) for c in ("both", "a", "b", "n")])
     expected = F.col("a") * F.col("b") / (F.col("n") * (F.col("n") - 1) / 2)
     most = (F.col("a") + F.col("b")) / 2
     same = (F.col("both") == F.col("a")) & (F.col("both") == F.col("b"))
@@ -132,18 +158,19 @@ def error_summary(text: DataFrame, gold: DataFrame | None = None) -> DataFrame:
     """(category, word, n): gold words by what became of them: correct, over-, under- or mis-segmented.
 
     The utterance is cut at boundaries that both sides share; a chunk of one word on each side is correct, one gold word in several pieces
-    is over-, several gold words in one piece under-segmented, anything else mis-segmented. Shared boundaries are neighbours in the
-    sorted ends of both sides, and their places say how many words of each side a chunk has: an utterance is handled in its row, and only
-    (category, word) counts shuffle.
+    is over-, several gold words in one piece under-segmented, anything else mis-segmented. The places of shared boundaries among those of each side
+    say how many words of it a chunk has; only the (category, word) counts of batches shuffle.
     """
-    pairs = paired(text, gold)
-    placed = lambda e, side: F.transform(e, lambda x, k: F.struct(x.alias("x"), F.lit(side).alias("side"), k.alias("k")))
-    pairs = computed(pairs, ["g"], ends=F.array_sort(F.concat(placed("te", 0), placed("ge", 1))))
-    n = F.greatest(F.size("ends") - 1, F.lit(0))
-    same = F.zip_with(F.slice("ends", 1, n), F.slice("ends", 2, n), lambda t, g: F.when(t["x"] == g["x"], F.struct((t["k"] + 1).alias("t"), (g["k"] + 1).alias("g"))))
-    pairs = computed(pairs, ["g"], shared=F.filter(same, lambda x: x.isNotNull()))
-    counts = lambda side: steps(F.transform("shared", lambda x: x[side]))
-    category = lambda t, g: F.when((g == 1) & (t == 1), "correct").when(g == 1, "over").when(t == 1, "under").otherwise("mis")
-    chunks = F.zip_with(counts("t"), counts("g"), lambda t, g: F.array_repeat(category(t, g), g))
-    words = F.arrays_zip(F.flatten(chunks).alias("category"), F.split("g", " ").alias("word"))
-    return pairs.select(F.inline(words)).groupBy("category", "word").agg(F.count("*").alias("n"))
+
+    def count(t: pa.Array, g: pa.Array) -> list[pa.RecordBatch]:
+        te, ge = on_one_line(word_ends(t), word_ends(g))
+        shared = np.intersect1d(te, ge, assume_unique=True)
+        ours, theirs = (np.diff(np.searchsorted(e, shared), prepend=-1) for e in (te, ge))
+        kind = np.where(theirs == 1, np.where(ours == 1, 0, 1), np.where(ours == 1, 2, 3))
+        words = pc.dictionary_encode(pc.split_pattern(g, " ").flatten())
+        found, n = np.unique(words.indices.to_numpy().astype(np.int64) * 4 + np.repeat(kind, theirs), return_counts=True)
+        category = pa.array(CATEGORIES).take(pa.array(found % 4))
+        return [pa.RecordBatch.from_arrays([category, words.dictionary.take(pa.array(found // 4)).cast(pa.string()), pa.array(n.astype(np.int64))], ["category", "word", "n"])]
+
+    made = by_batch(paired(text, gold), ["t", "g"], "category string, word string, n long", count)
+    return made.groupBy("category", "word").agg(F.sum("n").alias("n"))
