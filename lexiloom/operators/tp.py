@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions.pairs import cut_by_scores
+from ..sources.text import kept
 from .prepare import ends_of_corpus, units_of, with_ends
 
 KEY = ["doc_id", "line_no"]
@@ -67,5 +68,6 @@ def segment(prepared: DataFrame, train: DataFrame | None = None, threshold: str
     """Train on ``train`` (default: the input itself) and segment ``prepared``."""
     if train is not None:
         return apply(prepared, fit(train, dependency), threshold)
+    prepared = kept(prepared, "prepared")  # three passes read it: its ends, the counts, the cuts
     ends = ends_of_corpus(prepared, KEY)
     return apply(prepared, fit(prepared, dependency, ends), threshold, ends)
