@@ -2,22 +2,59 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.pairs import cut_by_scores
 from ..functions.separator import Separator
+from ..sources.text import kept
 
 KEY = ["doc_id", "line_no"]
 
 
-def summary(tagged: DataFrame, separator: Separator = Separator(), level: str = "phone") -> dict:
-    """Counts of a tagged corpus: nlines, nwords, nphones, and the tables diphones (a, b, internal, spanning), initial, final and words."""
+MARK = "\u0001"
+
+
+def plain_separators(separator: Separator, level: str) -> bool:
+    """Whether units are apart by spaces and the other separators are literal, printable and without spaces."""
+    literal = lambda s: s is None or re.fullmatch(r"[!-~]+", s) and re.escape(s) == s
+    return level == "phone" and separator.phone == " " and separator.word is not None and all(map(literal, separator.upper_levels("phone") and (separator.syllable, separator.word)))
+
+
+def marked(text: Column, separator: Separator) -> Column:
+    """Units of a printable text apart by single spaces, MARK between words; words without units are left out."""
+    text = F.replace(text, F.lit(separator.word), F.lit(f" {MARK} "))
+    text = F.replace(text, F.lit(separator.syllable), F.lit(" ")) if separator.syllable else text
+    text = F.trim(F.regexp_replace(text, "  +", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(text, f"{MARK}(?: {MARK})+", MARK), f"^{MARK}|{MARK}\\z", ""))
+
+
+def marked_counts(lines: DataFrame) -> DataFrame:
+    """(kind, a, b, x, y) of texts ``t`` as ``marked`` makes them; arrays are only split and exploded, without a function for each unit."""
+    count = lambda c: F.length("t") - F.length(F.replace("t", F.lit(c), F.lit("")))
+    long, none = lambda x: F.coalesce(x, F.lit(0)).cast("long"), F.lit(None).cast("string")
+    row = lambda kind, a, b, x, y: (F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"), x.alias("x"), y.alias("y"))
+    full = lines.filter("t <> ''")
+    total = lines.agg(F.count("*").alias("n"), F.sum(F.when(F.col("t") != "", count(MARK) + 1)).alias("w"), F.sum(F.when(F.col("t") != "", count(" ") + 1 - count(MARK))).alias("u"))
+    sizes = total.select(F.inline(F.array(F.struct(*row("line", none, none, F.col("n"), F.lit(0).cast("long"))), F.struct(*row("size", none, none, long(F.col("w")), long(F.col("u")))))))
+    edges = full.select(F.inline(F.array(*[F.struct(F.lit(kind).alias("kind"), F.substring_index("t", " ", n).alias("a")) for kind, n in (("initial", 1), ("final", -1))])))
+    edges = edges.groupBy("kind", "a").agg(F.count("*").alias("x")).select("kind", "a", none.alias("b"), "x", F.lit(0).cast("long").alias("y"))
+    rows = full.select(F.split("t", " ", -1).alias("u"))
+    after = lambda k: F.slice("u", k, F.greatest(F.size("u") - k + 1, F.lit(0)))
+    pairs = rows.select(F.explode(F.arrays_zip(F.col("u").alias("a"), after(2).alias("b"), after(3).alias("c"))).alias("p"))
+    pairs = pairs.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("n"), F.when(F.col("p.b") == MARK, F.col("p.c")).otherwise(F.col("p.b")).alias("b")).agg(F.count("*").alias("k"))
+    pairs = pairs.filter((F.col("a") != MARK) & F.col("b").isNotNull())
+    spans = F.col("n") == MARK
+    return sizes.unionByName(edges).unionByName(pairs.select(*row("pair", F.col("a"), F.col("b"), F.when(spans, 0).otherwise(F.col("k")).cast("long"), F.when(spans, F.col("k")).otherwise(0).cast("long"))))
+
+
+def general_counts(lines: DataFrame, separator: Separator, units: Callable[[Column], Column]) -> DataFrame:
+    """(kind, a, b, x, y) of tagged texts with any separators."""
     words = separator.tokenize(F.col("text"), "word", keep_boundaries=True)
-    rows = tagged.filter(F.trim("text") != "").select(F.filter(words, lambda w: w != "").alias("w"))
-    units = lambda w: separator.tokenize(w, level, keep_boundaries=False)
+    rows = lines.select(F.filter(words, lambda w: w != "").alias("w"))
     rows = rows.withColumn("u", F.transform("w", units)).withColumn("f", F.flatten("u"))
     # for each unit, whether its word ends there
     rows = rows.withColumn("e", F.flatten(F.transform("u", lambda w: F.transform(w, lambda x, i: i == F.size(w) - 1))))
@@ -28,8 +65,29 @@ def summary(tagged: DataFrame, separator: Separator = Separator(), level: str =
     edges = F.filter(F.array(row("initial", F.get("f", F.lit(0)), none, one, zero), row("final", F.get("f", F.size("f") - 1), none, one, zero)), lambda r: r["a"].isNotNull())
     seen = F.array(row("line", none, none, one, zero), row("size", none, none, F.size("w"), F.size("f")))
     found = F.concat(seen, edges, F.transform(pairs, lambda p: row("pair", p["a"], p["b"], F.when(p["cut"], 0).otherwise(1), F.when(p["cut"], 1).otherwise(0))))
-    # one pass over the corpus counts all; the table of pair types is kept for what is drawn from it
-    table = rows.select(F.inline(found)).groupBy("kind", "a", "b").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).persist()
+    return rows.select(F.inline(found))
+
+
+def word_types(lines: DataFrame, separator: Separator) -> DataFrame:
+    """(word): the different words of tagged texts, with their inner separators. What stands between word separators is made distinct before it is stripped."""
+    raw = F.split("text", separator.word, -1) if separator.word else F.array("text")
+    types = lines.select(F.explode(raw).alias("raw")).distinct().filter("raw <> ''")
+    bare = separator.strip(separator.strip(F.col("raw"), "word")) if separator.word else separator.strip(F.col("raw"))
+    return types.select(bare.alias("word")).filter("word <> ''").distinct()
+
+
+def summary(tagged: DataFrame, separator: Separator = Separator(), level: str = "phone") -> dict:
+    """Counts of a tagged corpus: nlines, nwords, nphones, and the tables diphones (a, b, internal, spanning), initial, final and words."""
+    units = lambda w: separator.tokenize(w, level, keep_boundaries=False)
+    lines = tagged.filter(F.trim("text") != "")
+    if plain_separators(separator, level):
+        strange = F.col("text").rlike("[^ -~]")
+        held = kept(lines.select(F.when(~strange, marked(F.col("text"), separator)).alias("t"), F.when(strange, F.col("text")).alias("text")), "marked")
+        found = marked_counts(held.filter("t is not null")).unionByName(general_counts(held.filter("text is not null"), separator, units))
+    else:
+        found = general_counts(lines, separator, units)
+    # the table of pair types is kept for what is drawn from it
+    table = found.groupBy("kind", "a", "b").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).persist()
     own = lambda kind: table.filter(F.col("kind") == kind)
     total = lambda kind, c: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col(c))), F.lit(0)).cast("long")
     edge = lambda kind: own(kind).select(F.col("a").alias("unit"), F.col("x").alias("n"))
@@ -38,7 +96,7 @@ def summary(tagged: DataFrame, separator: Separator = Separator(), level: str =
         "diphones": own("pair").select("a", "b", F.col("x").alias("internal"), F.col("y").alias("spanning")),
         "initial": edge("initial"),
         "final": edge("final"),
-        "words": rows.select(F.explode("w").alias("word")).distinct(),
+        "words": word_types(lines, separator),
         "units": units,
     }
 

@@ -341,3 +341,12 @@ def test_small_and_large_pair_models_cut_alike(lines, monkeypatch, threshold):
     small = texts(tp.apply(own, model, threshold))
     monkeypatch.setattr(pairs, "MAP_PAIRS", 0)
     assert texts(tp.apply(own, model, threshold)) == small
+
+
+def test_dibs_counts_of_plain_texts_are_those_of_any(lines, monkeypatch):
+    own = lines(["a b ;eword c ;esyll d ;eword", ";eword a ;eword ;eword b a;eword", " ;eword", "é a ;eword b ;eword", "x ;eword", "   "])
+    seen = lambda: {k: sorted(map(tuple, v.collect()), key=str) for k, v in dibs.summary(own).items() if k != "units"}
+    assert dibs.plain_separators(Separator(), "phone")
+    plain = seen()
+    monkeypatch.setattr(dibs, "plain_separators", lambda separator, level: False)
+    assert seen() == plain
