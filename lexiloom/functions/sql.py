@@ -22,7 +22,8 @@ def pieces(text: str, separator: str) -> str:
 
 # name, parameters, result, body; default separators
 FUNCTIONS = [
-    ("squeeze", "t STRING", "STRING", "trim(regexp_replace(t, '(?U)[\\\\s\\\\x1c-\\\\x1f]+', ' '))"),
+    # the class of Unicode is read only where a text has more than printable ASCII
+    ("squeeze", "t STRING", "STRING", "trim(CASE WHEN t RLIKE '[^ -~]' THEN regexp_replace(t, '(?U)[\\\\s\\\\x1c-\\\\x1f]+', ' ') ELSE regexp_replace(t, '  +', ' ') END)"),
     ("prepare_phones", "t STRING", "STRING", "squeeze(replace(replace(t, ';esyll', ''), ';eword', ''))"),
     ("prepare_syllables", "t STRING", "STRING", "squeeze(replace(replace(replace(t, ';eword', ''), ' ', ''), ';esyll', ' '))"),
     ("gold_words", "t STRING", "STRING", "squeeze(replace(replace(replace(t, ';esyll', ''), ' ', ''), ';eword', ' '))"),
