@@ -10,9 +10,11 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import udtf
+from pyspark.sql.functions import arrow_udf, udtf
 
+from .splits import Words, split_texts
 
 
 def pieces(text: str, separator: str) -> str:
@@ -116,6 +118,20 @@ class BestWords:
         yield from enumerate(self.split.best((t or "").split()))
 
 
+def register_lexicon(spark: SparkSession, name: str, counts: dict[str, int], b: float = 1.0) -> None:
+    """Make ``name(text)`` known to ``spark``: a text of units apart by single spaces as the words of its best split under a small lexicon, which goes to each task once.
+
+    ``best_words`` is handed its lexicon with every row, and is for few rows.
+    """
+    own = Split(counts, b)
+    words = Words(own.words, own.letters, own.letter, own.new)
+
+    def split(texts: pa.Array) -> pa.Array:
+        return pa.array(split_texts(texts, words)[0], pa.string())
+
+    spark.udf.register(name, arrow_udf(split, "string"))
+
+
 def register(spark: SparkSession) -> list[str]:
     """Make the functions known to ``spark``: scalar ones, and the table functions; their names."""
     for name, parameters, result, body in FUNCTIONS:

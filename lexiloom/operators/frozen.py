@@ -1,8 +1,8 @@
-"""Best splits under a frozen lexicon, as a fold over arrays: no Python worker, no lexicon in memory beyond a checked broadcast.
+"""Best splits under a frozen lexicon: batches of utterances in arrays of numbers, or a fold over arrays where a lexicon is too large to be held.
 
 The lexicon is a table of words and counts; with its letters it gives every word a cost, minus the logarithm of its probability in a restaurant
 that is open to new words (concentration ``b``, base by letters), in whole millionths, so that sums are exact and equal splits tie everywhere.
-Stretches of units that are words meet their costs in a join. A new word costs the sum of its units and a constant, so the
+A lexicon of few words goes to every task; for others stretches of units that are words meet their costs in a join. A new word costs the sum of its units and a constant, so the
 best new word that ends at a place follows from a running minimum, and a fold reads an utterance once: linear in its units and the
 words that it holds.
 """
@@ -11,10 +11,13 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.binding import let
+from ..functions.separator import squeezed
+from ..functions.splits import Words, split_texts
 from ..sources.text import kept, sized
 from .prepare import units_of
 
@@ -23,6 +26,8 @@ KEY = ["doc_id", "line_no"]
 #: Rows of a lexicon that are broadcast; a larger one is joined by a shuffle.
 WORDS = 500_000
 MICRO = 1_000_000
+#: Words of a lexicon that goes to every task as a tree.
+TREE = 50_000
 
 #: Starts that a chunk holds.
 CHUNK = 256
@@ -114,10 +119,20 @@ def cut_starts(back: Column) -> Column:
 def viterbi(prepared: DataFrame, costs: Costs, most: int = WORDS) -> DataFrame:
     """(doc_id, line_no, text, cost): each utterance of ``prepared`` by its best split, and what it costs in millionths.
 
-    Stretches of at most as many units as the longest word has letters are looked up, by a broadcast of the lexicon below ``most`` words, counted
+    A lexicon of at most ``TREE`` words, and ``most``, goes to every task, and utterances are split where they are. For a larger one, stretches of at most as many units as the longest word has letters are looked up, by a broadcast of the lexicon below ``most`` words, counted
     first. Utterances of nothing stay as they are, with cost 0.
     """
     rows = prepared.select(*KEY, "text")
+    held = costs.words.select("word", "cost").limit(min(most, TREE) + 1).collect()
+    if len(held) <= min(most, TREE):
+        words = Words(dict(map(tuple, held)), costs.letters.first()["letters"] or {}, costs.letter, costs.new)
+        kind = pa.struct([("text", pa.string()), ("cost", pa.int64())])
+
+        def split(texts: pa.Array) -> pa.Array:
+            found, own = split_texts(texts, words)
+            return pa.StructArray.from_arrays([pa.array(found, pa.string()), pa.array(own)], fields=list(kind))
+
+        return rows.select(*KEY, F.arrow_udf(split, "text string, cost long")(squeezed(F.col("text"))).alias("_best")).select(*KEY, "_best.text", "_best.cost")
     most_units = F.lit(max(1, costs.longest))
     stretch = lambda u, i, k: F.struct((i + k).alias("stop"), i.alias("start"), F.array_join(F.slice(u, i + 1, k), "").alias("word"))
     from_ = lambda u, i: F.transform(F.sequence(F.lit(1), F.least(most_units, F.size(u) - i)), lambda k: stretch(u, i, k))

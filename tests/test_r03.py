@@ -2,11 +2,13 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lexiloom.functions import splits, sql
 from lexiloom.functions.separator import Separator
-from lexiloom.operators import syllables
+from lexiloom.operators import frozen, syllables
 
 ODD = ["", " ", "a ;esyll b c ;esyll ;eword ", "a;esyllb;eword", ";eword;eword a ;eword", ";ewo;esyllrd a ;eword", "a\t;esyll b ;eword", "a;b ;eword c", "é ;esyll ;eword", "  a   b ;esyll;eword", "a ;esyll ;esyll ;eword ;eword", ";", "a ;es yll b ;eword", None]
 
@@ -39,3 +41,21 @@ def test_plain_syllables_are_those_letter_by_letter(spark, monkeypatch, phones,
     monkeypatch.setattr(syllables.Plain, "holds", lambda self, text: F.lit(False))
     assert fast == found() and len(fast) > 20
 
+
+
+def test_best_splits_in_arrays_are_those_letter_by_letter():
+    draw = random.Random(3)
+    counts = {"".join(draw.choice("abcde") for _ in range(draw.randint(1, 6))): draw.randint(1, 50) for _ in range(60)}
+    texts = [" ".join("".join(draw.choice("abcdef\u00e9") for _ in range(draw.choice([1, 1, 1, 2]))) for _ in range(draw.randint(0, 50))) for _ in range(300)] + [None, "", "a"]
+    for lexicon in (counts, {"a": 1}):
+        own = sql.Split(lexicon)
+        found, _ = splits.split_texts(pa.array(texts), splits.Words(own.words, own.letters, own.letter, own.new))
+        assert found == [" ".join(own.best((t or "").split())) for t in texts]
+
+
+def test_a_lexicon_in_memory_gives_what_a_joined_one_does(spark):
+    rows = spark.createDataFrame([(0, 0, "a b c a b"), (0, 1, "ab c  d a"), (0, 2, ""), (0, 3, None), (0, 4, "x yz a")], "doc_id long, line_no int, text string")
+    costs = frozen.Costs(spark.createDataFrame([("ab", 5), ("abc", 2), ("c", 3), ("da", 1)], "word string, n long"))
+    held, joined = frozen.viterbi(rows, costs), frozen.viterbi(rows, costs, 0)
+    assert sorted(map(tuple, held.collect())) == sorted(map(tuple, joined.collect()))
+    assert "Join" not in held._jdf.queryExecution().optimizedPlan().toString()
