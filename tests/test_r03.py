@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lexiloom.functions import splits, sql
 from lexiloom.functions.separator import Separator
 from lexiloom.operators import frozen, syllables
+from lexiloom.sources import text
 
 ODD = ["", " ", "a ;esyll b c ;esyll ;eword ", "a;esyllb;eword", ";eword;eword a ;eword", ";ewo;esyllrd a ;eword", "a\t;esyll b ;eword", "a;b ;eword c", "é ;esyll ;eword", "  a   b ;esyll;eword", "a ;esyll ;esyll ;eword ;eword", ";", "a ;es yll b ;eword", None]
 
@@ -59,3 +60,13 @@ def test_a_lexicon_in_memory_gives_what_a_joined_one_does(spark):
     held, joined = frozen.viterbi(rows, costs), frozen.viterbi(rows, costs, 0)
     assert sorted(map(tuple, held.collect())) == sorted(map(tuple, joined.collect()))
     assert "Join" not in held._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_sample_runs_on_over_files_and_ranges(spark, tmp_path):
+    for k, part in enumerate(["a b\nc\r\n", "d\n\n \na\n", "\x0b\nc\nd\n\t\r\n", "stopped\n"]):
+        (tmp_path / f"part-{k}.txt").write_bytes(part.encode())
+    read = lambda **options: sorted(map(tuple, text.read_parses(spark, str(tmp_path), **options).collect()))
+    whole = [(0, 0, "a b"), (0, 1, "c"), (0, 2, "d"), (1, 0, "a"), (1, 1, "c"), (1, 2, "d")]
+    assert read(among="corpus", ranges=2) == read(among="corpus") == whole
+    assert read(among="corpus", keep_incomplete=True) == [*whole, (2, 0, "stopped")]
+    assert read(keep_incomplete=True, ranges=3) == [(0, 0, "a b"), (0, 1, "c"), (1, 0, "d"), (2, 0, "a"), (3, 0, "c"), (3, 1, "d"), (4, 0, "stopped")]
