@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,8 @@ KEY = ["doc_id", "line_no"]
 MODEL = "kind string, item string, n long"
 #: Rows that a frozen model may have to be sent to every task.
 MODEL_ROWS = 500_000
+#: Letters by which words are looked up together with how long they may be, and rows of models that are sent on together.
+HEAD, ROWS = 4, 10_000
 
 
 class Learner:
@@ -28,14 +31,12 @@ class Learner:
         self.window, self.by_frequency, self.memory = window, by_frequency, memory
         self.words, self.begins, self.ends = Counter(), Counter(), Counter()
         self.touched: set[str] = set()
-        self.tree: dict = {}  # known words letter by letter, so that a search stops where no word goes on
+        self.sizes: dict[str, Counter] = {}  # numbers of the known words by their first letters and their length, from HEAD letters on
 
     def know(self, word: str, n: int = 1) -> None:
         if word not in self.words:
-            node = self.tree
-            for c in word:
-                node = node.setdefault(c, {})
-            node[""] = {}
+            if len(word) >= HEAD:
+                self.sizes.setdefault(word[:HEAD], Counter())[len(word)] += 1
         elif self.memory:
             n += self.words.pop(word)  # the order of the words is that of learning
         self.words[word] += n
@@ -46,25 +47,28 @@ class Learner:
         while self.memory and len(self.words) > self.memory:
             word = next(iter(self.words))
             del self.words[word]
-            path = [self.tree]
-            for c in word:
-                path.append(path[-1][c])
-            del path[-1][""]
-            for c, node in zip(reversed(word), reversed(path[:-1]), strict=True):
-                if node[c]:
-                    break
-                del node[c]
-
-    def known_ends(self, units: list[str], i: int) -> Iterator[int]:
-        """The j for which units i to j make a known word."""
-        node = self.tree
-        for j in range(i, len(units)):
-            for c in units[j]:
-                node = node.get(c)
-                if node is None:
-                    return
-            if "" in node:
-                yield j
+            if len(word) >= HEAD:
+                sizes = self.sizes[word[:HEAD]]
+                sizes[len(word)] -= 1
+                if not sizes[len(word)]:
+                    del sizes[len(word)]
+                if not sizes:
+                    del self.sizes[word[:HEAD]]
+
+    def known_ends(self, units: list[str] | str, i: int) -> list[int]:
+        """The j for which units i to j make a known word; units of one letter may be a string."""
+        plain = isinstance(units, str)
+        head = units[i : i + HEAD] if plain else "".join(units[i : i + HEAD])[:HEAD]
+        out = [k for k in range(1, HEAD) if head[:k] in self.words and k <= len(head)]
+        if head in self.sizes:
+            sizes = self.sizes[head]
+            text = units if plain else "".join(units)
+            at = i if plain else sum(map(len, units[:i]))
+            out += [k for k in (sorted(sizes) if len(sizes) > 1 else sizes) if at + k <= len(text) and text[at : at + k] in self.words]
+        if plain or not out:
+            return [i + k - 1 for k in out]
+        ends = dict(zip(accumulate(map(len, units[i:])), range(i, len(units)), strict=True))
+        return [ends[k] for k in out if k in ends]
 
     def learn(self, units: list[str], i: int, j: int) -> None:
         """Units i to j of an utterance are a word. Edges are slices of the utterance, so with wide windows they may pass the word's own ends."""
@@ -73,23 +77,26 @@ class Learner:
             self.begins["".join(units[i : i + self.window])] += 1
             self.ends["".join(units[j + 1 - self.window : j + 1])] += 1
 
-    def find(self, units: list[str]) -> tuple[int, int] | None:
+    def find(self, units: list[str] | str) -> tuple[int, int] | None:
         """First (start, end) of a known word whose edges fit: the units before end words, those after begin words."""
-        n, w = len(units), self.window
+        n, w, begins, ends = len(units), self.window, self.begins, self.ends
+        plain = isinstance(units, str)
+        joined = str if plain else "".join
         for i in range(n):
-            left = "".join(units[i - w : i])
-            if i and left not in self.ends:
+            if i and (units[i - w : i] if plain else "".join(units[i - w : i])) not in ends:
                 continue
-            known = list(self.known_ends(units, i))
+            known = self.known_ends(units, i)
             if self.by_frequency:  # each candidate gives way to the most frequent of those as long or longer, the longest of equals
-                known = [max((self.words["".join(units[i : k + 1])], k) for k in known[at:])[1] for at in range(len(known))]
+                known = [max((self.words[joined(units[i : k + 1])], k) for k in known[at:])[1] for at in range(len(known))]
             for j in known:
-                if "".join(units[j + 1 : j + 1 + w]) in self.begins:
+                if joined(units[j + 1 : j + 1 + w]) in begins:
                     return i, j
         return None
 
     def segment(self, units: list[str], update: bool = True) -> list[str]:
-        out = []
+        out, text = [], "".join(units)
+        if len(text) == len(units):  # of units of one letter, slices of the text are slices of the units
+            units = text
         while units:
             found = self.find(units)
             cuts = [(0, len(units) - 1)] if found is None else [(0, found[0] - 1), found]
@@ -115,29 +122,60 @@ class Learner:
         return self
 
 
+def in_turn(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """``rows`` with those of a ``group`` one after the other in one task, by ``order``, null last."""
+    return rows.repartition(*group).sortWithinPartitions(*group, *[F.col(c).asc_nulls_last() for c in order])
+
+
+def with_text(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
+    at = batch.schema.get_field_index("text")
+    return batch.set_column(at, batch.schema.field(at), pa.array(texts, type=batch.schema.field(at).type))
+
+
 def segment_online(prepared: DataFrame, group: list[str] = ("doc_id",), order: list[str] = ("line_no",), window: int = 2, by_frequency: bool = False, memory: int = 0) -> DataFrame:
-    """``prepared`` segmented while learning, one fresh learner for each ``group``, whose rows come in ``order``."""
-    group, order, columns = list(group), list(order), prepared.columns
+    """``prepared`` segmented while learning, one fresh learner for each ``group``, whose rows come in ``order``.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        learner = Learner(window, by_frequency, memory)
-        pdf = pdf.sort_values(order, ignore_index=True)
-        return pdf.assign(text=[" ".join(learner.segment(t.split())) for t in pdf["text"]])[columns]
+    Rows stream through a task, which holds one learner at a time and no whole group.
+    """
+    group, order = list(group), list(order)
+
+    def run(batches):
+        last, learner = None, None
+        for batch in batches:
+            out = []
+            for *own, text in zip(*(batch.column(c).to_pylist() for c in [*group, "text"]), strict=True):
+                if learner is None or own != last:
+                    last, learner = own, Learner(window, by_frequency, memory)
+                out.append(" ".join(learner.segment(text.split())))
+            yield with_text(batch, out)
 
-    return prepared.groupBy(*group).applyInPandas(run, prepared.schema)
+    return in_turn(prepared, group, order).mapInArrow(run, prepared.schema)
 
 
 def train(prepared: DataFrame, group: list[str] = ("doc_id",), order: list[str] = ("line_no",), window: int = 2, by_frequency: bool = False) -> DataFrame:
     """(kind, item, n): the summed models of one learner for each group."""
-    order = list(order)
+    group, order = list(group), list(order)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        learner = Learner(window, by_frequency)
-        for text in pdf.sort_values(order)["text"]:
-            learner.segment(text.split())
-        return pd.DataFrame(learner.rows(), columns=["kind", "item", "n"])
+    def rows_of(held):
+        kinds, items, counts = zip(*held, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(items, pa.string()), pa.array(counts, pa.int64())], names=["kind", "item", "n"])
 
-    return prepared.groupBy(*group).applyInPandas(run, MODEL).groupBy("kind", "item").agg(F.sum("n").alias("n"))
+    def run(batches):
+        last, learner, held = None, None, []
+        for batch in batches:
+            for *own, text in zip(*(batch.column(c).to_pylist() for c in [*group, "text"]), strict=True):
+                if learner is None or own != last:
+                    held += learner.rows() if learner else []
+                    last, learner = own, Learner(window, by_frequency)
+                    if len(held) >= ROWS:
+                        yield rows_of(held)
+                        held = []
+                learner.segment(text.split())
+        held += learner.rows() if learner else []
+        if held:
+            yield rows_of(held)
+
+    return in_turn(prepared, group, order).mapInArrow(run, MODEL).groupBy("kind", "item").agg(F.sum("n").alias("n"))
 
 
 def known(words: DataFrame, window: int = 2) -> DataFrame:
