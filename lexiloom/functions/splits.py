@@ -8,6 +8,8 @@ import pyarrow as pa
 #: Letters, with those that fill up shorter utterances, that are split together.
 CELLS = 1 << 18
 NONE = 1 << 60
+#: Cells of a table of all steps of a tree; larger trees are searched.
+STEPS = 1 << 22
 
 
 class Words:
@@ -31,6 +33,9 @@ class Words:
         self.costs = np.array(costs, dtype=np.int64)
         keys = np.array(sorted(steps), dtype=np.int64)
         self.keys, self.nodes = keys, np.array([steps[k] for k in keys.tolist()], dtype=np.int64)
+        self.table = np.zeros(len(costs) * self.wide, dtype=np.int32) if len(costs) * self.wide <= STEPS else None
+        if self.table is not None:
+            self.table[keys] = self.nodes
 
     def numbers(self, codes: np.ndarray) -> np.ndarray:
         if not len(self.known):
@@ -42,6 +47,8 @@ class Words:
         if not len(self.keys):
             return np.zeros(len(nodes), dtype=np.int64)
         wanted = nodes * self.wide + letters
+        if self.table is not None:
+            return self.table[wanted].astype(np.int64)
         at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
         return np.where(self.keys[at] == wanted, self.nodes[at], 0)
 

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import known as known_words
 from . import folding
 
 KEY = ["doc_id", "line_no"]
@@ -205,10 +206,16 @@ def apply(prepared: DataFrame, model: DataFrame, window: int = 2, by_frequency:
 
     def run(batches):
         learner = Learner(window, by_frequency).load(held.value)
-        for pdf in batches:
-            yield pdf.assign(text=[" ".join(learner.segment(t.split(), update=False)) for t in pdf["text"]])
+        edges = learner.begins, learner.ends
+        arrays = known_words.Model(learner.words, *edges, window, by_frequency) if known_words.Model.fits(*edges, window) else None
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            # of units of one letter, apart by single spaces, the letters are cut all at once
+            plain = [k for k, t in enumerate(texts) if t[1::2] == " " * (len(t) // 2) and t[::2].split() == [t[::2]]] if arrays else []
+            out = dict(zip(plain, arrays.cut([texts[k][::2] for k in plain]), strict=True)) if plain else {}
+            yield with_text(batch, [out[k] if k in out else " ".join(learner.segment(t.split(), update=False)) for k, t in enumerate(texts)])
 
-    return prepared.mapInPandas(run, prepared.schema)
+    return prepared.mapInArrow(run, prepared.schema)
 
 
 def apply_joined(prepared: DataFrame, model: DataFrame, window: int, by_frequency: bool) -> DataFrame:
