@@ -153,7 +153,7 @@ def block_bounds(blocks: int) -> list[tuple[int, int]]:
     return [(s, e - s) for s, e in zip(edges, edges[1:], strict=False)]
 
 
-def dealt(prints: DataFrame, words: int, blocks: int) -> DataFrame:
+def dealt(prints: DataFrame, words: int, blocks: int, split: int = SPLIT) -> DataFrame:
     """The rows of ``prints`` (fingerprint, anything else) once for each block of the first ``words`` words, together with all that agree in it."""
     bounds = block_bounds(blocks)
 
@@ -169,17 +169,22 @@ def dealt(prints: DataFrame, words: int, blocks: int) -> DataFrame:
 
     kind = ", ".join(f"{n} {t}" for n, t in prints.dtypes) + ", table int, key long"
     rows = written(prints.mapInPandas(keyed, kind), "blocks")
-    crowded = rows.groupBy("table", "key").count().filter(F.col("count") > SPLIT)
-    crowded = crowded.select("table", "key", F.ceil(F.col("count") / SPLIT).cast("int").alias("_chunks"))
+    crowded = rows.groupBy("table", "key").count().filter(F.col("count") > split)
+    crowded = crowded.select("table", "key", F.ceil(F.col("count") / split).cast("int").alias("_chunks"))
     rows = bounded_join(rows, crowded, ["table", "key"]).withColumn("_chunks", F.coalesce("_chunks", F.lit(1)))
     chunk = F.pmod(F.xxhash64("fingerprint"), F.col("_chunks")).cast("int")
     rows = rows.withColumn("_chunk", chunk).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
     rows = rows.select("table", "key", F.least("_chunk", "_other").alias("one"), F.greatest("_chunk", "_other").alias("other"), *prints.columns)
+    return together(rows)
+
+
+def together(rows: DataFrame) -> DataFrame:
+    """``rows`` with those that meet in one task, in the order that ``runs`` needs."""
     return rows.repartition("table", "key", "one", "other").sortWithinPartitions("table", "one", "other", "key")
 
 
-def runs(batches) -> Iterator[pd.DataFrame]:
-    """Rows of one (table, one, other) from rows sorted by it and key: ``HELD`` rows or more, cut where the key changes, never inside a key."""
+def runs(batches, most: int = HELD) -> Iterator[pd.DataFrame]:
+    """Rows of one (table, one, other) from rows sorted by it and key: ``most`` rows or more, cut where the key changes, never inside a key."""
     held, size, last = [], 0, None
     for pdf in batches:
         if not len(pdf):
@@ -191,8 +196,8 @@ def runs(batches) -> Iterator[pd.DataFrame]:
         key = np.flatnonzero((meet != before).any(axis=1))
         done = 0
         for end in [*group.tolist(), len(pdf)]:
-            while end - done + size > HELD:
-                at = key[(k := np.searchsorted(key, done + max(HELD - size, 0))) : k + 1]
+            while end - done + size > most:
+                at = key[(k := np.searchsorted(key, done + max(most - size, 0))) : k + 1]
                 if not len(at) or at[0] > end or (at[0] == done and not size):
                     break
                 yield pd.concat([*held, pdf.iloc[done : at[0]]], ignore_index=True)
@@ -207,9 +212,9 @@ def runs(batches) -> Iterator[pd.DataFrame]:
         yield pd.concat(held, ignore_index=True)
 
 
-def buckets(batches, bounds: list[tuple[int, int]]) -> Iterator[tuple[pd.DataFrame, GrayIndex, np.ndarray]]:
+def buckets(batches, bounds: list[tuple[int, int]], most: int = HELD) -> Iterator[tuple[pd.DataFrame, GrayIndex, np.ndarray]]:
     """(rows, index, codes) of groups of rows that meet, rows and codes in the order of the index; a bounded number at a time."""
-    for part in runs(batches):
+    for part in runs(batches, most):
         if len(part) < 2:
             continue
         t = int(part["table"].iloc[0])
@@ -276,8 +281,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, words: int = 1, blocks: i
 #: average, with a deviation of 8.1.
 SIMILAR = {"shingle": 5, "words": 5, "spare": 3, "blocks": 6, "word_distance": 24, "distance": 94}
 JACCARD = 0.8
-#: Candidates of a node in each table that the first round of checks after the joining pairs takes, and how that grows from round to round.
-NEAREST, MORE = 8, 16
+#: Rows with their sets of shingles that are held together, and beyond which a block value is dealt out; pairs that are compared at once, and the
+#: 64-bit cells of the table of shared shingles that serves them.
+HELD_SETS, SPLIT_SETS, PAIRS, CELLS = 1 << 12, 1 << 13, 1 << 14, 1 << 22
 
 
 def tree_links(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -299,17 +305,6 @@ def tree_links(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarr
     return root, np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
-def nearest(a: np.ndarray, b: np.ndarray, apart: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(kept, cut): places of the pairs that are among the ``most`` closest of either member, and the members with further ones."""
-    me, other = np.concatenate([a, b]), np.concatenate([b, a])
-    order = np.lexsort((other, np.concatenate([apart, apart]), me))
-    own, at = me[order], np.arange(len(me))
-    first = np.ones(len(me), dtype=bool)
-    first[1:] = own[1:] != own[:-1]
-    near = at - np.maximum.accumulate(np.where(first, at, 0)) < most
-    return np.unique(order[near] % len(a)), np.unique(own[~near])
-
-
 def met_before(differ: np.ndarray, table: int, bounds: list[tuple[int, int]], word_distance: int) -> np.ndarray:
     """Whether pairs, given by the bits of all words in which they differ, meet in a table before ``table`` too."""
     out = np.zeros(len(differ), dtype=bool)
@@ -321,62 +316,114 @@ def met_before(differ: np.ndarray, table: int, bounds: list[tuple[int, int]], wo
     return out
 
 
-def candidates(prints: DataFrame, most: int | None, words: int, blocks: int, word_distance: int, distance: int, jaccard: float) -> DataFrame:
-    """(a, b), distinct and written: nodes of different ``group`` that may be similar, of ``prints`` (node, n, group, fingerprint), n the size of the set.
+def near_pairs(rows: pd.DataFrame, index: GrayIndex, codes: np.ndarray, apart_yet, bounds: list[tuple[int, int]], word_distance: int, distance: int, jaccard: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, bits apart) of rows (n, table) that may be similar and for which ``apart_yet`` holds, each pair in the first table where it meets."""
+    n, table = rows["n"].to_numpy(), int(rows["table"].iloc[0])
+    for a, b in index.close_pairs(word_distance):
+        keep = apart_yet(a, b) & (np.minimum(n[a], n[b]) >= jaccard * np.maximum(n[a], n[b]) - 1e-6)
+        a, b = a[keep], b[keep]
+        differ = codes[a] ^ codes[b]
+        apart = np.bitwise_count(differ).sum(axis=1, dtype=np.int64)
+        keep = np.flatnonzero(apart <= distance)
+        keep = keep[~met_before(differ[keep], table, bounds, word_distance)]
+        if len(keep):
+            yield a[keep], b[keep], apart[keep]
 
-    Each pair comes from the first table where it meets. With ``most`` null only pairs that join all others of a block value, close ones
-    first; else the ``most`` closest ones of each node in each table, and (node, node) if it has further ones.
+
+def joining(prints: DataFrame, words: int, blocks: int, word_distance: int, distance: int, jaccard: float) -> DataFrame:
+    """(a, b), distinct and written: pairs of ``prints`` (node, n, fingerprint) that join all candidates of each block value, close ones first.
+
+    n is the size of the set. A block value gives fewer pairs than it has nodes.
     """
     bounds = block_bounds(blocks)
 
     def pairs(batches):
         for rows, index, codes in buckets(batches, bounds):
-            node, n, group, table = rows["node"].to_numpy(), rows["n"].to_numpy(), rows["group"].to_numpy(), int(rows["table"].iloc[0])
-            if most is None:
-                group = np.arange(len(node))
-            held, size, cut = [], 0, []
+            node, root = rows["node"].to_numpy(), np.arange(len(rows))
+            for a, b, apart in near_pairs(rows, index, codes, lambda a, b: root[a] != root[b], bounds, word_distance, distance, jaccard):  # noqa: B023
+                order = np.lexsort((np.maximum(node[a], node[b]), np.minimum(node[a], node[b]), apart))
+                root, a, b = tree_links(root, a[order], b[order])
+                yield pd.DataFrame({"a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b])})
 
-            def cull(held, cut, node=node):
-                a, b, apart = (np.concatenate(x) for x in zip(*held, strict=True))
-                kept, more = nearest(a, b, apart, most)
-                return [(a[kept], b[kept], apart[kept])], [*cut, node[more]]
+    return written(dealt(prints, words, blocks).mapInPandas(pairs, "a long, b long").distinct(), "candidates")
 
-            for a, b in index.close_pairs(word_distance):
-                keep = (group[a] != group[b]) & (np.minimum(n[a], n[b]) >= jaccard * np.maximum(n[a], n[b]) - 1e-6)
-                a, b = a[keep], b[keep]
-                differ = codes[a] ^ codes[b]
-                apart = np.bitwise_count(differ).sum(axis=1, dtype=np.int64)
-                keep = np.flatnonzero(apart <= distance)
-                keep = keep[~met_before(differ[keep], table, bounds, word_distance)]
-                a, b, apart = a[keep], b[keep], apart[keep]
-                if not len(a):
-                    continue
-                if most is None:
-                    order = np.lexsort((np.maximum(node[a], node[b]), np.minimum(node[a], node[b]), apart))
-                    group, a, b = tree_links(group, a[order], b[order])
-                    yield pd.DataFrame({"a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b])})
-                    continue
-                held.append((a, b, apart))
-                size += len(a)
-                if size > max(1 << 18, 4 * most * len(node)):
-                    held, cut = cull(held, cut)
-                    size = len(held[0][0])
-            if held:
-                held, cut = cull(held, cut)
-                a, b, _ = held[0]
-                again = np.unique(np.concatenate(cut))
-                yield pd.DataFrame({"a": np.concatenate([np.minimum(node[a], node[b]), again]), "b": np.concatenate([np.maximum(node[a], node[b]), again])})
 
-    return written(dealt(prints, words, blocks).mapInPandas(pairs, "a long, b long").distinct(), "candidates")
+def shared_counts(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many elements the sets ``a`` and ``b`` of each pair have in common.
 
+    Where few sets make many pairs, elements that several have become bits of a table; else each pair is compared by itself.
+    """
+    own, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    if len(a) < 8 * len(own):
+        return np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(a.tolist(), b.tolist(), strict=True)], dtype=np.int64)
+    owner = np.repeat(np.arange(len(own)), [len(sets[k]) for k in own.tolist()])
+    _, element, times = np.unique(np.concatenate([sets[k] for k in own.tolist()]), return_inverse=True, return_counts=True)
+    common = times > 1
+    wide = max(1, -(-int(common.sum()) // 64))
+    if wide * len(own) > CELLS and len(a) > 1:
+        half = len(a) // 2
+        return np.concatenate([shared_counts(sets, a[:half], b[:half]), shared_counts(sets, a[half:], b[half:])])
+    place = (np.cumsum(common) - 1)[element[common[element]]]
+    bits = np.zeros((len(own), wide), dtype=np.uint64)
+    np.bitwise_or.at(bits, (owner[common[element]], place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
+    x, y, some = at[: len(a)], at[len(a) :], max(1, CELLS // (4 * wide))
+    return np.concatenate([np.bitwise_count(bits[x[i : i + some]] & bits[y[i : i + some]]).sum(axis=1, dtype=np.int64) for i in range(0, len(a), some)])
+
+
+def similar_groups(prints: DataFrame, sets: DataFrame, words: int, blocks: int, word_distance: int, distance: int, jaccard: float) -> DataFrame:
+    """(a, b), distinct and written: links that join all groups with a similar pair of nodes, of ``prints`` (node, n, fingerprint, group); ``sets`` has node and grams.
+
+    Sets go only to the block values where a node has a candidate of another group. There all candidates whose groups aren't joined yet are compared
+    where they meet, so a block value gives fewer links than it has groups: no pair of nodes leaves a task.
+    """
+    bounds = block_bounds(blocks)
+    size = (bounds, word_distance, distance, jaccard)
 
-def judged(pairs: DataFrame, texts: DataFrame, shingle: int, jaccard: float) -> DataFrame:
-    """(a, b, ok), written: whether the shingle sets of two nodes have a Jaccard of ``jaccard`` or more; ``texts`` has node and text, nodes once."""
+    def having(batches):
+        for rows, index, codes in buckets(batches, bounds):
+            group, some = rows["group"].to_numpy(), np.zeros(len(rows), dtype=bool)
+            for a, b, _ in near_pairs(rows, index, codes, lambda a, b: group[a] != group[b], *size):  # noqa: B023
+                some[a] = some[b] = True
+            if some.any():
+                yield rows[some]
+
+    def links(batches):
+        for rows, index, codes in buckets(batches, bounds, HELD_SETS):
+            n, grams = rows["n"].to_numpy(), [np.frombuffer(x, dtype=np.uint64) for x in rows["grams"]]
+            names, group = np.unique(rows["group"].to_numpy(), return_inverse=True)
+            root = np.arange(len(names))
+            for a, b, _ in near_pairs(rows, index, codes, lambda a, b: root[group[a]] != root[group[b]], *size):  # noqa: B023
+                for i in range(0, len(a), PAIRS):
+                    x, y = a[i : i + PAIRS], b[i : i + PAIRS]
+                    keep = root[group[x]] != root[group[y]]
+                    x, y = x[keep], y[keep]
+                    if not len(x):
+                        continue
+                    both = shared_counts(grams, x, y)
+                    keep = both >= jaccard * (n[x] + n[y] - both) - 1e-9
+                    root, one, other = tree_links(root, group[x[keep]], group[y[keep]])
+                    if len(one):
+                        yield pd.DataFrame({"a": names[one], "b": names[other]})
+
+    rows = dealt(prints, words, blocks, SPLIT_SETS)
+    kind = ", ".join(f"{name} {t}" for name, t in rows.dtypes)
+    rows = written(rows.mapInPandas(having, kind), "partners")
+    return written(together(rows.join(sets, "node")).mapInPandas(links, "a long, b long").distinct(), "links")
+
+
+def sets_of(texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, grams), written: the sorted hashes of the distinct shingles; ``texts`` has node and text, nodes once."""
 
     @F.pandas_udf("binary")
     def grams(texts: pd.Series) -> pd.Series:
         return pd.Series([np.unique(gram_hashes(t, shingle)).tobytes() for t in texts], dtype=object)
 
+    return written(texts.select("node", grams("text").alias("grams")), "sets")
+
+
+def judged(pairs: DataFrame, sets: DataFrame, jaccard: float) -> DataFrame:
+    """(a, b, ok), written: whether the shingle sets of two nodes have a Jaccard of ``jaccard`` or more; ``sets`` has node and grams."""
+
     @F.pandas_udf("boolean")
     def similar(a: pd.Series, b: pd.Series) -> pd.Series:
         out = []
@@ -386,7 +433,6 @@ def judged(pairs: DataFrame, texts: DataFrame, shingle: int, jaccard: float) ->
             out.append(both >= jaccard * (len(x) + len(y) - both) - 1e-9)
         return pd.Series(out, dtype=bool)
 
-    sets = written(texts.select("node", grams("text").alias("grams")), "sets")
     pairs = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
     return written(pairs.select("a", "b", similar("x", "y").alias("ok")), "judged")
 
@@ -411,9 +457,9 @@ def one_of_each(docs: DataFrame, shingle: int = 5, words: int = 5, spare: int =
     """The rows of ``docs`` less near-duplicates: of each group of linked texts the row of least doc_id stays (null last), then of least text hash.
 
     Texts link if the Jaccard of their sets of shingles is ``jaccard`` or more. Fingerprints of the sets only give the candidates. First, pairs
-    that join each block value are checked. Around those that aren't similar, each node's closest candidates of other groups are checked,
-    ever more of them, until no node has further ones, so no candidate is left out, and a large group of copies needs few checks. Where most texts of
-    a large group are just short of similar, all their candidates are checked: no link can be ruled out otherwise.
+    that join each block value are checked. Around those that aren't similar, all candidates of groups that aren't joined yet are compared inside the
+    tasks where they meet, and only links that join groups leave them, so no candidate is left out and no table of pairs grows with the square of
+    a group. Where most texts of a large group are just short of similar, the comparisons still do: no link can be ruled out otherwise.
 
     Of wholly equal rows (doc_id and text) one stays. Null texts count as empty, and texts without words are one group. A very long text is
     held by one task as words and hashes, about thirty times its size. Ties go to the lesser doc_id, then to the lesser hash. All columns stay, whatever
@@ -435,28 +481,24 @@ def one_of_each(docs: DataFrame, shingle: int = 5, words: int = 5, spare: int =
     prints = written(made.groupBy("node").agg(F.first("n").alias("n"), F.first("fingerprint").alias("fingerprint"), F.min(F.struct("_id", "_hash")).alias("at")), "nodes")
     size = (words, blocks, word_distance, distance, jaccard)
 
-    def check(pairs: DataFrame) -> DataFrame:
-        met = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        where = written(prints.join(met, "node").select("node", F.col("at._id").alias(key), F.col("at._hash").alias(hash_)), "met")
+    def sets_for(nodes: DataFrame) -> DataFrame:
+        where = written(prints.join(nodes, "node").select("node", F.col("at._id").alias(key), F.col("at._hash").alias(hash_)), "met")
         texts = bounded_join(keyed.select(key, hash_, "text"), where, [key, hash_], "inner")
         # equal rows have equal sets: one of them will do
-        return judged(pairs, texts.dropDuplicates(["node"]) if repeats else texts, shingle, jaccard)
+        return sets_of(texts.dropDuplicates(["node"]) if repeats else texts, shingle)
 
     repeats = not made.groupBy("_id", "_hash").count().filter("count > 1").isEmpty()
     plain = prints.select("node", "n", "fingerprint")
-    checked = check(candidates(plain.withColumn("group", F.col("node")), None, *size))
-    links = checked.filter("ok").select("a", "b")
-    roots = written(components(links), "roots")
+    pairs = joining(plain, *size)
+    sets = sets_for(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    checked = judged(pairs, sets, jaccard)
+    roots = written(components(checked.filter("ok").select("a", "b")), "roots")
     open_ = around(checked.filter("not ok"), roots)
-    most = NEAREST
-    while not open_.isEmpty():
-        found = candidates(plain.join(in_groups(open_, roots), "node"), most, *size)
-        more = check(found.filter("a <> b").join(checked, ["a", "b"], "left_anti"))
-        checked = checked.unionByName(more)
-        new = more.filter("ok").select("a", "b")
+    if not open_.isEmpty():
+        # all of them stand in a pair that was checked, so their sets are there
+        new = similar_groups(plain.join(in_groups(open_, roots), "node"), sets, *size)
         if not new.isEmpty():
             roots = written(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new)), "roots")
-        open_, most = found.filter("a = b").select(F.col("a").alias("node")), most * MORE
     known = plain.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("_root"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("_id"), F.col("_hash"))
     first = made.groupBy("node").agg(F.min(order).alias("first")).join(known, "node").groupBy("_root").agg(F.min("first").alias("first"))
