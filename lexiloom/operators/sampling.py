@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.text import kept, sized
+
 KEY = ["doc_id", "line_no"]
 
 
@@ -98,3 +100,21 @@ def vote(samples_: DataFrame) -> DataFrame:
     counted = samples_.groupBy(*KEY, "text").agg(F.count("*").alias("n"), F.min(F.struct("run", "sample")).alias("at"))
     best = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("n"), "at"))
     return counted.withColumn("_r", best).filter("_r = 1").select(*KEY, "text")
+
+
+def vote_in_place(parses: DataFrame, block: int = 4096) -> DataFrame:
+    """(utterance, text) of (sample, utterance, text), utterances being numbers from 0, without nulls: what ``vote`` finds, but no text is moved.
+
+    SHA-256 digests of the texts are counted. Which sample wins goes back to where the texts are, as bits: one row a sample and ``block`` utterances, a multiple of 64.
+    """
+    at = {"_block": F.expr(f"utterance div {block}"), "_word": F.expr(f"cast(utterance % {block} div 64 as int)"), "_bit": F.expr("cast(utterance % 64 as int)")}
+    seen = parses.select("utterance", "sample", F.unhex(F.sha2("text", 256)).alias("_digest"), at["_block"].alias("_block")).repartition("_block")
+    # all groups below hold _block, so that they are made where its rows are
+    counted = seen.groupBy("_block", "utterance", "_digest").agg(F.count("*").alias("n"), F.min("sample").alias("sample"))
+    best = F.row_number().over(Window.partitionBy("_block", "utterance").orderBy(F.desc("n"), "sample"))
+    won = counted.withColumn("_r", best).filter("_r = 1").withColumns({k: at[k] for k in ("_word", "_bit")})
+    words = won.groupBy("sample", "_block", "_word").agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("won"))
+    words = words.groupBy("sample", "_block").agg(F.map_from_entries(F.collect_list(F.struct("_word", "won"))).alias("_own"))
+    bits = words.select("sample", "_block", F.transform(F.sequence(F.lit(0), F.lit(block // 64 - 1)), lambda k: F.coalesce(F.try_element_at("_own", k), F.lit(0))).alias("_won"))
+    rows = sized(parses.withColumns(at), kept(bits, "won"), ["sample", "_block"])
+    return rows.filter(F.getbit(F.get("_won", F.col("_word")), F.col("_bit")) == 1).select("utterance", "text")
