@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import computed, let
 from ..functions.pairs import cut_by_scores
 from ..functions.separator import Separator
 from ..sources.text import kept
@@ -16,6 +20,8 @@ KEY = ["doc_id", "line_no"]
 
 
 MARK = "\u0001"
+#: Pairs of units that are counted in a table; beyond, they are sorted.
+CELLS = 1 << 22
 
 
 def plain_separators(separator: Separator, level: str) -> bool:
@@ -26,29 +32,49 @@ def plain_separators(separator: Separator, level: str) -> bool:
 
 def marked(text: Column, separator: Separator) -> Column:
     """Units of a printable text apart by single spaces, MARK between words; words without units are left out."""
-    text = F.replace(text, F.lit(separator.word), F.lit(f" {MARK} "))
+    mark = f" {MARK} "
+    # a space before a separator goes with it, so that most texts have no spaces in a row and no pattern is needed
+    text = F.replace(F.replace(text, F.lit(" " + separator.word), F.lit(mark)), F.lit(separator.word), F.lit(mark))
     text = F.replace(text, F.lit(separator.syllable), F.lit(" ")) if separator.syllable else text
-    text = F.trim(F.regexp_replace(text, "  +", " "))
-    return F.trim(F.regexp_replace(F.regexp_replace(text, f"{MARK}(?: {MARK})+", MARK), f"^{MARK}|{MARK}\\z", ""))
+    text = let(text, lambda t: F.when(F.contains(t, F.lit("  ")), F.regexp_replace(t, "  +", " ")).otherwise(t))
+    text = let(text, lambda t: F.when(F.contains(t, F.lit(f"{MARK} {MARK}")), F.regexp_replace(t, f"{MARK}(?: {MARK})+", MARK)).otherwise(t))
+    return F.btrim(text, F.lit(f" {MARK}"))
+
+
+def batch_counts(texts: pa.Array) -> pa.RecordBatch:
+    """(kind, a, b, x, y) of a batch of texts as ``marked`` makes them, in arrays of numbers."""
+    full = texts.filter(pc.not_equal(texts, ""))
+    lists = pc.split_pattern(full.cast(pa.large_string()), " ")
+    flat, stops = pc.dictionary_encode(lists.flatten()), lists.offsets.to_numpy()
+    names = flat.dictionary.cast(pa.string())
+    codes, row, n = flat.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(full)), np.diff(stops)), len(names)
+    at = np.flatnonzero(codes != pc.index(names, MARK).as_py())
+    units, row = codes[at], row[at]
+    # a mark is never alone at an end, nor beside another, so units that a mark parts stand two apart
+    first = np.ones(len(at), dtype=bool)
+    first[1:] = row[1:] != row[:-1]
+    keys = ((units[:-1] * n + units[1:]) * 2 + (np.diff(at) == 2))[~first[1:]]
+    pairs, k = np.unique(keys, return_counts=True) if 2 * n * n > CELLS else (np.flatnonzero(own := np.bincount(keys, minlength=1)), own[own > 0])
+    edges = [np.unique(units[e], return_counts=True) for e in (first, np.append(first[1:], True)[: len(at)])]
+    apart = pairs % 2 == 1
+    none = pa.nulls(2, pa.string())
+    take = lambda x: names.take(pa.array(x))
+    kind = ["line", "size", *["initial"] * len(edges[0][0]), *["final"] * len(edges[1][0]), *["pair"] * len(pairs)]
+    left = pa.concat_arrays([none, *(take(e) for e, _ in edges), take(pairs // 2 // n if n else pairs)])
+    right = pa.concat_arrays([none, pa.nulls(sum(len(e) for e, _ in edges), pa.string()), take(pairs // 2 % n if n else pairs)])
+    x = np.concatenate([[len(texts), len(codes) - len(at) + len(full)], *(c for _, c in edges), np.where(apart, 0, k)])
+    y = np.concatenate([[0, len(at)], *(0 * c for _, c in edges), np.where(apart, k, 0)])
+    return pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), left, right, pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["kind", "a", "b", "x", "y"])
 
 
 def marked_counts(lines: DataFrame) -> DataFrame:
-    """(kind, a, b, x, y) of texts ``t`` as ``marked`` makes them; arrays are only split and exploded, without a function for each unit."""
-    count = lambda c: F.length("t") - F.length(F.replace("t", F.lit(c), F.lit("")))
-    long, none = lambda x: F.coalesce(x, F.lit(0)).cast("long"), F.lit(None).cast("string")
-    row = lambda kind, a, b, x, y: (F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"), x.alias("x"), y.alias("y"))
-    full = lines.filter("t <> ''")
-    total = lines.agg(F.count("*").alias("n"), F.sum(F.when(F.col("t") != "", count(MARK) + 1)).alias("w"), F.sum(F.when(F.col("t") != "", count(" ") + 1 - count(MARK))).alias("u"))
-    sizes = total.select(F.inline(F.array(F.struct(*row("line", none, none, F.col("n"), F.lit(0).cast("long"))), F.struct(*row("size", none, none, long(F.col("w")), long(F.col("u")))))))
-    edges = full.select(F.inline(F.array(*[F.struct(F.lit(kind).alias("kind"), F.substring_index("t", " ", n).alias("a")) for kind, n in (("initial", 1), ("final", -1))])))
-    edges = edges.groupBy("kind", "a").agg(F.count("*").alias("x")).select("kind", "a", none.alias("b"), "x", F.lit(0).cast("long").alias("y"))
-    rows = full.select(F.split("t", " ", -1).alias("u"))
-    after = lambda k: F.slice("u", k, F.greatest(F.size("u") - k + 1, F.lit(0)))
-    pairs = rows.select(F.explode(F.arrays_zip(F.col("u").alias("a"), after(2).alias("b"), after(3).alias("c"))).alias("p"))
-    pairs = pairs.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("n"), F.when(F.col("p.b") == MARK, F.col("p.c")).otherwise(F.col("p.b")).alias("b")).agg(F.count("*").alias("k"))
-    pairs = pairs.filter((F.col("a") != MARK) & F.col("b").isNotNull())
-    spans = F.col("n") == MARK
-    return sizes.unionByName(edges).unionByName(pairs.select(*row("pair", F.col("a"), F.col("b"), F.when(spans, 0).otherwise(F.col("k")).cast("long"), F.when(spans, F.col("k")).otherwise(0).cast("long"))))
+    """(kind, a, b, x, y), a batch's counts in a few rows, of texts ``t`` as ``marked`` makes them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch_counts(batch.column(0))
+
+    return lines.select("t").mapInArrow(run, "kind string, a string, b string, x long, y long")
 
 
 def general_counts(lines: DataFrame, separator: Separator, units: Callable[[Column], Column]) -> DataFrame:
@@ -76,16 +102,26 @@ def word_types(lines: DataFrame, separator: Separator) -> DataFrame:
     return types.select(bare.alias("word")).filter("word <> ''").distinct()
 
 
+def marked_words(lines: DataFrame) -> DataFrame:
+    """(word): the words, repeated, of texts ``t`` as ``marked`` makes them."""
+    return lines.select(F.explode(F.split("t", MARK, -1)).alias("word")).select(F.trim("word").alias("word")).filter("word <> ''")
+
+
 def summary(tagged: DataFrame, separator: Separator = Separator(), level: str = "phone") -> dict:
     """Counts of a tagged corpus: nlines, nwords, nphones, and the tables diphones (a, b, internal, spanning), initial, final and words."""
     units = lambda w: separator.tokenize(w, level, keep_boundaries=False)
-    lines = tagged.filter(F.trim("text") != "")
+    # the text is computed once: filters and all that is read of it would otherwise take along what makes it
+    lines = computed(tagged, [], text=F.col("text")).filter(F.trim("text") != "")
     if plain_separators(separator, level):
         strange = F.col("text").rlike("[^ -~]")
-        held = kept(lines.select(F.when(~strange, marked(F.col("text"), separator)).alias("t"), F.when(strange, F.col("text")).alias("text")), "marked")
+        # what marked texts don't tell of words: their syllables, and spaces in a row
+        inner = ~strange & (F.contains("text", F.lit("  ")) | (F.contains("text", F.lit(separator.syllable)) if separator.syllable else F.lit(False)))
+        held = kept(lines.select(F.when(~strange, marked(F.col("text"), separator)).alias("t"), F.when(strange, F.col("text")).alias("text"), F.when(inner, F.col("text")).alias("inner")), "marked")
         found = marked_counts(held.filter("t is not null")).unionByName(general_counts(held.filter("text is not null"), separator, units))
+        words = word_types(held.select(F.coalesce("text", "inner").alias("text")).filter("text is not null"), separator)
+        words = words.unionByName(marked_words(held.filter("t is not null and inner is null"))).distinct()
     else:
-        found = general_counts(lines, separator, units)
+        found, words = general_counts(lines, separator, units), word_types(lines, separator)
     # the table of pair types is kept for what is drawn from it
     table = found.groupBy("kind", "a", "b").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).persist()
     own = lambda kind: table.filter(F.col("kind") == kind)
@@ -96,7 +132,7 @@ def summary(tagged: DataFrame, separator: Separator = Separator(), level: str =
         "diphones": own("pair").select("a", "b", F.col("x").alias("internal"), F.col("y").alias("spanning")),
         "initial": edge("initial"),
         "final": edge("final"),
-        "words": word_types(lines, separator),
+        "words": words,
         "units": units,
     }
 
@@ -118,7 +154,9 @@ def fit(trained: dict, kind: str = "phrasal", pwb: float | None = None, unit_edg
             (F.get(trained["units"](word), F.lit(0)) if unit_edges else F.substring(word, 1, 1)).alias("first"),
             (F.element_at(trained["units"](word), -1) if unit_edges else F.expr("right(word, 1)")).alias("last"),
         )
-        side = lambda c: ends.groupBy(F.col(c).alias("unit")).agg(F.count("*").alias("n"))
+        # word types are made once; both sides and their totals come from the pairs of their ends
+        ends = kept(ends.groupBy("first", "last").agg(F.count("*").alias("n")), "ends")
+        side = lambda c: ends.groupBy(F.col(c).alias("unit")).agg(F.sum("n").alias("n"))
         first, last = side("first"), side("last")
     else:
         raise ValueError(f"kind must be gold, phrasal or lexical, it is '{kind}'")

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from lexiloom.operators import sampling
+from lexiloom.operators import dibs, sampling
 from lexiloom.sources import text
 
 
@@ -68,3 +68,45 @@ def test_settings_of_a_passing_write_are_given_back(spark):
         assert spark.conf.get(key) == "4"
         1 / 0
     assert spark.conf.get(key) == old
+
+
+def random_tagged(draw):
+    """Tagged texts, most of them plain; some with syllables, runs of spaces, other white space, letters beyond ASCII, empty words, no separator at the end."""
+    unit = lambda: draw.choice(["a", "b", "c", "ab", "ch"])
+    word = lambda gap: gap.join(unit() for _ in range(draw.randint(1, 4)))
+    out = ["", " ", ";eword", " ;eword ;eword ", "a", "é ;eword", "a\tb ;eword", ";eworda ;eword", "a ;eword;eword b ;eword", "a ;esyll ;eword", " a  b ;eword a b ;eword"]
+    for _ in range(300):
+        gap = draw.choice([" "] * 6 + [" ;esyll ", "  "])
+        out.append("".join(word(gap) + draw.choice([" ;eword", " ;eword", ";eword ", " ;eword "]) for _ in range(draw.randint(1, 6))))
+    return out
+
+
+def test_diphones_and_word_types_in_batches_are_those_of_any_separators(spark, monkeypatch):
+    texts = random_tagged(random.Random(11))
+    tagged = spark.createDataFrame([(0, i, t) for i, t in enumerate(texts)], "doc_id long, line_no int, text string").repartition(3)
+
+    def found():
+        own = dibs.summary(tagged)
+        return {k: sorted(map(tuple, own[k].collect()), key=str) for k in ("counts", "diphones", "initial", "final", "words")}
+
+    fast = found()
+    monkeypatch.setattr(dibs, "CELLS", 0)
+    assert found() == fast
+    monkeypatch.setattr(dibs, "plain_separators", lambda *a: False)
+    assert found() == fast and len(fast["words"]) > 100
+
+
+def test_word_types_are_made_once_for_a_lexical_model(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            seen.add(1)
+            yield batch
+
+    tagged = spark.createDataFrame([(0, 0, "a b ;eword b a c ;eword"), (0, 1, "c a ;eword a b ;eword")], "doc_id long, line_no int, text string")
+    trained = dibs.summary(tagged)
+    wanted = sorted(map(tuple, dibs.fit(trained, "lexical").collect()))
+    words = spark.createDataFrame(trained["words"].collect(), "word string").coalesce(1).mapInArrow(run, "word string")
+    assert sorted(map(tuple, dibs.fit(trained | {"words": words}, "lexical").collect())) == wanted
+    assert seen.value == 1
