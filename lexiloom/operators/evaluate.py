@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.binding import computed
@@ -60,17 +60,17 @@ def by_batch(pairs: DataFrame, columns: list[str], schema: str, count: Callable[
     return pairs.select(*columns).mapInArrow(run, schema)
 
 
-def paired(text: DataFrame, gold: DataFrame | None) -> DataFrame:
+def paired(text: DataFrame, gold: DataFrame | None, **more: Column) -> DataFrame:
     """(key, t, g): squeezed texts of both sides. Utterances must match and have the same letters, else the job fails.
 
-    Without ``gold``, ``text`` has a column gold: both sides come from one row and nothing is joined.
+    Without ``gold``, ``text`` has a column gold: both sides come from one row and nothing is joined; ``more`` of its columns may stand beside them.
     """
     at = F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("line_no").cast("string"))
     letters = lambda c: F.replace(c, F.lit(" "), F.lit(""))
     checked = F.when(F.col("t").isNull() | F.col("g").isNull(), F.raise_error(F.concat(F.lit("only one side has utterance "), at)).cast("string"))
     checked = checked.when(letters("t") != letters("g"), F.raise_error(F.concat(F.lit("letters differ in utterance "), at)).cast("string")).otherwise(F.col("t"))
     if gold is None:
-        rows = computed(text, KEY, t=squeezed(F.col("text")), g=squeezed(F.col("gold")))
+        rows = computed(text, KEY, t=squeezed(F.col("text")), g=squeezed(F.col("gold")), **more)
     else:
         rows = text.select(*KEY, squeezed(F.col("text")).alias("t")).join(gold.select(*KEY, squeezed(F.col("text")).alias("g")), KEY, "full")
     # empty rows go after the join: a filter before it would be pushed down with all that computes the text
@@ -119,14 +119,20 @@ def evaluate(text: DataFrame, gold: DataFrame, units: DataFrame | None = None) -
     return out
 
 
-def adjusted_rand_index(text: DataFrame, gold: DataFrame | None = None, units: DataFrame | None = None) -> DataFrame:
+def adjusted_rand_index(text: DataFrame, gold: DataFrame | None = None, units: DataFrame | str | None = None) -> DataFrame:
     """One row: the index over units, each word token a class of its own.
 
     Both sides partition the same letters, so the cells of the contingency table are the stretches between boundaries of either
-    side. ``units`` has the prepared utterances; without it, units are characters. A word's units are those that end in it.
+    side. ``units`` has the prepared utterances or, without ``gold``, names their column in ``text``, so that nothing is joined; without it, units are characters.
+    A word's units are those that end in it.
     """
-    rows = paired(text, gold)
-    if units is not None:
+    if isinstance(units, str):
+        if gold is not None:
+            raise ValueError("a column of units needs gold in the same row")
+        rows = paired(text, None, u=squeezed(F.col(units))).filter("u <> ''")
+    else:
+        rows = paired(text, gold)
+    if isinstance(units, DataFrame):
         rows = rows.join(units.select(*KEY, squeezed(F.col("text")).alias("u")).filter("u <> ''"), KEY)
 
     def count(t: pa.Array, g: pa.Array, u: pa.Array | None = None) -> list[pa.RecordBatch]:

@@ -64,10 +64,11 @@ def apply(prepared: DataFrame, model: DataFrame, threshold: str = "relative", en
     return out.select(*prepared.columns)
 
 
-def segment(prepared: DataFrame, train: DataFrame | None = None, threshold: str = "relative", dependency: str = "ftp") -> DataFrame:
-    """Train on ``train`` (default: the input itself) and segment ``prepared``."""
+def segment(prepared: DataFrame, train: DataFrame | None = None, threshold: str = "relative", dependency: str = "ftp", units: str | None = None) -> DataFrame:
+    """Train on ``train`` (default: the input itself) and segment ``prepared``; ``units`` names a column that takes the text as it was."""
+    beside = lambda df: df if units is None else df.withColumn(units, F.col("text"))
     if train is not None:
-        return apply(prepared, fit(train, dependency), threshold)
+        return apply(beside(prepared), fit(train, dependency), threshold)
     prepared = kept(prepared, "prepared")  # three passes read it: its ends, the counts, the cuts
     ends = ends_of_corpus(prepared, KEY)
-    return apply(prepared, fit(prepared, dependency, ends), threshold, ends)
+    return apply(beside(prepared), fit(prepared, dependency, ends), threshold, ends)

@@ -4,7 +4,8 @@ import random
 
 import pytest
 
-from lexiloom.operators import dibs, sampling
+from lexiloom.operators import dibs, evaluate, sampling
+from lexiloom.plans import catalog
 from lexiloom.sources import text
 
 
@@ -110,3 +111,16 @@ def test_word_types_are_made_once_for_a_lexical_model(spark):
     words = spark.createDataFrame(trained["words"].collect(), "word string").coalesce(1).mapInArrow(run, "word string")
     assert sorted(map(tuple, dibs.fit(trained | {"words": words}, "lexical").collect())) == wanted
     assert seen.value == 1
+
+
+def test_the_index_over_units_joins_nothing(spark, data):
+    gold = spark.createDataFrame([(0, 0, "chat sat"), (0, 1, "the mat"), (1, 0, "a"), (1, 1, "")], "doc_id long, line_no int, text string")
+    text_ = spark.createDataFrame([(0, 0, "cha tsat"), (0, 1, "the mat"), (1, 0, "a"), (1, 1, "")], "doc_id long, line_no int, text string")
+    units = spark.createDataFrame([(0, 0, "ch a t s a t"), (0, 1, "th e  m a t"), (1, 0, "a"), (1, 1, "")], "doc_id long, line_no int, text string")
+    joined = evaluate.adjusted_rand_index(text_, gold, units).first()[0]
+    beside = text_.join(gold.withColumnRenamed("text", "gold"), ["doc_id", "line_no"]).join(units.withColumnRenamed("text", "u"), ["doc_id", "line_no"])
+    assert evaluate.adjusted_rand_index(beside, units="u").first()[0] == joined != 1.0
+    with pytest.raises(ValueError, match="same row"):
+        evaluate.adjusted_rand_index(beside, gold, "u")
+    plan = catalog.queries()["ari_units_tp"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
